@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from docsift.llm.exact_dedup import exact_dedup
 from docsift.llm.language_id import identify, prototypes
 from docsift.llm.shared import table
+from docsift.llm.substring_dedup import substring_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -21,7 +26,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op9_language_id": op9_language_id}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_language_id": op9_language_id}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
