@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.exact_dedup import exact_dedup
+from docsift.llm.jaccard_join import jaccard_join
 from docsift.llm.language_id import identify, prototypes
+from docsift.llm.packing import pack
 from docsift.llm.shared import table
 from docsift.llm.substring_dedup import substring_dedup
 
@@ -19,6 +22,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the rank file is the vocabulary of byte_bpe_50k.json
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -26,7 +34,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_language_id": op9_language_id}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
