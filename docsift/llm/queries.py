@@ -6,18 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.llm.byte_bpe import round_trip
 from docsift.llm.exact_dedup import exact_dedup
 from docsift.llm.jaccard_join import jaccard_join
 from docsift.llm.language_id import identify, prototypes
 from docsift.llm.packing import pack
 from docsift.llm.shared import table
 from docsift.llm.substring_dedup import substring_dedup
+from docsift.llm.token_counts import token_counts
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
