@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.byte_bpe import round_trip
 from docsift.llm.exact_dedup import exact_dedup
+from docsift.llm.graph_index import nearest
 from docsift.llm.jaccard_join import jaccard_join
 from docsift.llm.language_id import identify, prototypes
 from docsift.llm.packing import pack
@@ -32,6 +33,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_graph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the rank file is the vocabulary of byte_bpe_50k.json
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -48,7 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op6_graph_index": op6_graph_index, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
