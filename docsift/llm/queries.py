@@ -11,16 +11,44 @@ from docsift.llm.exact_dedup import exact_dedup
 from docsift.llm.graph_index import nearest
 from docsift.llm.jaccard_join import jaccard_join
 from docsift.llm.language_id import identify, prototypes
+from docsift.llm.license_scan import RULES, SENTENCES, license_scan, sentences
 from docsift.llm.packing import pack
 from docsift.llm.shared import table
 from docsift.llm.substring_dedup import substring_dedup
 from docsift.llm.token_counts import token_counts
+from docsift.llm.url_filter import LIST_SCHEMA, url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: The list that op2 evaluates: rule, category, action, day. An entry that is neither block nor allow ends the rule's last one.
+URL_LIST = (
+    ("ads-track.example.com", "ads", "block", "2024-01-10"),
+    ("ads-track.example.com", "ads", "remove", "2024-08-01"),
+    ("casino-win.example.net", "gambling", "block", "2023-11-05"),
+    ("spam-farm.example.org", "spam", "block", "2024-02-20"),
+    ("www.spam-farm.example.org", "spam", "allow", "2024-06-01"),
+    ("www.spam-farm.example.org", "spam", "remove", "2024-09-15"),
+    ("adult-x.example.com", "adult", "block", "2023-05-01"),
+    ("cheap-pills.example.net", "pharmacy", "block", "2024-04-01"),
+    ("cheap-pills.example.net", "pharmacy", "remove", "2024-05-01"),
+    ("cheap-pills.example.net", "pharmacy", "block", "2024-07-01"),
+    ("free-bets.example.net", "gambling", "block", "2024-03-15"),
+    ("tionsh.example.net/fr", "quality", "block", "2024-10-01"),
+    ("blog.tionble.example.com/de", "quality", "block", "2024-01-01"),
+    ("blog.tionble.example.com/de", "quality", "remove", "2024-03-01"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages have no date of their own: page_id spreads them over the days of 2024
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date '2024-01-01', cast(page_id % 366 as int))").alias("fetched_on"))
+    out = url_filter(pages, spark.createDataFrame(URL_LIST, LIST_SCHEMA))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "listed_on")})
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -38,6 +66,10 @@ def op6_graph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the rank file is the vocabulary of byte_bpe_50k.json
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -54,7 +86,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op6_graph_index": op6_graph_index, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op6_graph_index": op6_graph_index, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+_KNOWN = _values((i, sentences(text)[0]) for i, text in SENTENCES.items())
+_RULES = _values((name, ",".join(map(str, rule))) for name, rule in RULES)
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -62,4 +102,28 @@ ORACLE_SQL = {
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op2_url_filter": f"""
+        WITH list AS (SELECT rule, category, action, CAST(day AS DATE) AS day, lead(CAST(day AS DATE)) OVER (PARTITION BY rule ORDER BY day) AS until
+                      FROM (VALUES {_values(URL_LIST)}) t(rule, category, action, day)),
+        captures AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
+                            lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+                            regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        met AS (SELECT c.page_id, l.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(l.rule) DESC) AS rn
+                FROM captures c JOIN list l ON l.day <= c.fetched_on AND (l.until IS NULL OR c.fetched_on < l.until)
+                 AND (c.host = split_part(l.rule, '/', 1) OR c.host LIKE '%.' || split_part(l.rule, '/', 1))
+                 AND (l.rule NOT LIKE '%/%' OR c.path || '/' LIKE '/' || split_part(l.rule, '/', 2) || '/%'))
+        SELECT c.page_id, c.host, CAST(c.fetched_on AS VARCHAR) AS fetched_on, coalesce(m.action = 'block', false) AS blocked, m.rule, m.category, CAST(m.day AS VARCHAR) AS listed_on
+        FROM captures c LEFT JOIN met m ON m.page_id = c.page_id AND m.rn = 1 AND m.action IN ('block', 'allow')
+    """,
+    "op7_license_scan": f"""
+        WITH known(id, sentence) AS (VALUES {_KNOWN}), rules(name, ids) AS (VALUES {_RULES}),
+        cut AS (SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?;:\\s])[ \\t\\r]*\\n[ \\t]*([a-z(])', '\\1 \\2', 'g') || chr(10),
+                       '[.!?;]+[ \\t\\r\\n]+', chr(10), 'g'), '[^A-Za-z0-9.+/\\n-]+', ' ', 'g')), chr(10)) AS parts FROM documents),
+        each AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
+        found AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids FROM each JOIN known ON trim(part, ' ') = sentence GROUP BY doc_id),
+        held AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n
+                 FROM found f JOIN rules r ON contains(',' || f.ids || ',', ',' || r.ids || ',') GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(f.ids, '') AS sentence_ids, coalesce(h.names, '') AS licenses, CAST(coalesce(h.n, 0) AS INTEGER) AS n_licenses
+        FROM documents d LEFT JOIN found f USING (doc_id) LEFT JOIN held h USING (doc_id)
+    """,
 }
