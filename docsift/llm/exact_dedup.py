@@ -40,7 +40,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = tables.write(hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     # all blocks occur elsewhere; rows: how often this id has this text
     candidates = tables.write(hashes.join(shared, "h").groupBy("id", "sha", "n").agg(F.count("*").alias("c")).where("c % n = 0").select("id", "sha", "n", (F.col("c") / F.col("n")).cast("long").alias("rows")))
-    texts = base.select("id", F.sha2("bytes", 256).alias("sha"), "bytes").alias("a").join(candidates.alias("b"), F.expr("a.id <=> b.id and a.sha = b.sha"), "left_semi")
+    # always by a merge join, so that the plan is the same at every size
+    texts = base.select("id", F.sha2("bytes", 256).alias("sha"), "bytes").alias("a").join(candidates.alias("b").hint("merge"), F.expr("a.id <=> b.id and a.sha = b.sha"), "left_semi")
     blocks = tables.write(texts.select("id", "sha", F.posexplode(F.expr(cut)).alias("i", "block")).withColumn("h", F.xxhash64("block")))
 
     names = _named(tables, blocks, ["h", "block"])
