@@ -126,26 +126,51 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     language first in order. Null ids and repeated rows are kept; whole texts are read.
     """
     names = sorted(known)
-    dimensions = len(known[names[0]]) if names else DIMENSIONS
-    protos = np.stack([known[n] / max(np.linalg.norm(known[n]), 1e-12) for n in names]).astype(np.float32) if names else np.zeros((0, dimensions), np.float32)
+    protos, dimensions = _matrix(known, names)
 
     def predict(batches):
         for batch in batches:
-            langs, scores = [], []
-            for _, texts in _chunks(batch.column(1), 64):
-                grams, rows = _grams(texts)
-                v = _bundles(grams, rows, len(texts), dimensions)
-                some = np.bincount(rows, minlength=len(texts)) > 0
-                if not len(protos):
-                    some[:] = False
-                    best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-                else:
-                    cosine = (v @ protos.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
-                    best = cosine.argmax(axis=1)
-                    score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-                langs += [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
-                scores += np.where(some, score, 0.0).tolist()
+            langs, scores = _predictions(batch.column(1), names, protos, dimensions)
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     return frame.mapInArrow(predict, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known with at least that score."""
+    names = sorted(known)
+    protos, dimensions = _matrix(known, names)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            langs, scores = _predictions(batch.column(at).cast(pa.string()), names, protos, dimensions)
+            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _matrix(known: dict[str, np.ndarray], names: list[str]) -> tuple[np.ndarray, int]:
+    dimensions = len(known[names[0]]) if names else DIMENSIONS
+    if not names:
+        return np.zeros((0, dimensions), np.float32), dimensions
+    return np.stack([known[n] / max(np.linalg.norm(known[n]), 1e-12) for n in names]).astype(np.float32), dimensions
+
+
+def _predictions(column: pa.Array, names: list[str], protos: np.ndarray, dimensions: int) -> tuple[list[str], list[float]]:
+    langs, scores = [], []
+    for _, texts in _chunks(column, 64):
+        grams, rows = _grams(texts)
+        some = np.bincount(rows, minlength=len(texts)) > 0
+        if not names:
+            langs += [UNKNOWN] * len(texts)
+            scores += [0.0] * len(texts)
+            continue
+        v = _bundles(grams, rows, len(texts), dimensions)
+        cosine = (v @ protos.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
+        best = cosine.argmax(axis=1)
+        score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
+        langs += [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
+        scores += np.where(some, score, 0.0).tolist()
+    return langs, scores
