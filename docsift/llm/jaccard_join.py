@@ -3,11 +3,11 @@
 A text's set holds its runs of ``gram`` consecutive words. In each of several independent
 runs, sets are split on sampled shared tokens: a node of the path tree draws a random order
 of tokens, and a set follows its first token in that order (its min-hash), so two sets stay
-together with a probability equal to their similarity. Nodes that hold more than ``bucket``
-sets are split again, down to ``depth``; the leaves are searched by brute force, exactly.
-At similarity s a pair is missed by all runs with probability (1 - s) ** runs where leaves
-are found at the root, and (1 - s ** depth) ** runs at worst: with the defaults 4e-9 and
-0.003 at s = 0.8, and no more than 2e-6 even at worst from s = 0.9.
+together with a probability equal to their similarity. Every set is split ``start`` times,
+and nodes that still hold more than ``bucket`` sets again, down to ``depth``; the leaves are
+searched by brute force, exactly. At similarity s a pair is missed by all runs with
+probability (1 - s ** start) ** runs, or (1 - s ** depth) ** runs in the largest nodes: with
+the defaults 5e-6 and 0.002 at s = 0.8, 2e-9 and 3e-6 at s = 0.9.
 
 Sets that are equal are searched once. Leaves with the same members count as one, and a pair
 that meets in several leaves is counted in the first. Leaves beyond a size are compared block
@@ -32,9 +32,10 @@ from docsift.llm.shared import Tables
 GRAM_WORDS = 5
 SIMILARITY = 0.8
 RUNS = 12
+START = 2
 DEPTH = 4
 BUCKET = 512
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 16
 COLUMNS = 2048
 
 
@@ -188,12 +189,12 @@ def _search(similarity: float, runs: int):
     return run
 
 
-def _leaves(tables: Tables, reps: DataFrame, runs: int, depth: int, bucket: int) -> DataFrame:
+def _leaves(tables: Tables, reps: DataFrame, runs: int, start: int, depth: int, bucket: int) -> DataFrame:
     """(id, n, r, leaf, size) for each set and run in which it does not end up alone."""
     key = lambda d: f"nullif(xxhash64(r, slice(sig, r * {depth} + 1, {d + 1})), 0)"
-    rows = reps.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")).select("id", "n", "r", F.expr(key(0)).alias("leaf"))
+    rows = reps.select("id", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r")).select("id", "n", "r", F.expr(key(start - 1)).alias("leaf"))
     found = None
-    for d in range(depth):
+    for d in range(start - 1, depth):
         sizes = tables.write(rows.groupBy("leaf").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("leaf", "size"))
         level = tables.write(rows.join(sizes, "leaf").select("id", "n", "r", "leaf", "size"))
         final = level if d == depth - 1 else level.where(f"size <= {bucket}")
@@ -206,7 +207,7 @@ def _leaves(tables: Tables, reps: DataFrame, runs: int, depth: int, bucket: int)
     return found
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM_WORDS, similarity: float = SIMILARITY, runs: int = RUNS, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM_WORDS, similarity: float = SIMILARITY, runs: int = RUNS, start: int = START, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs``: id, class_id, class_size, n_links, rep_id, n_shingles.
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. rep_id is the least id with the same shingle
@@ -224,7 +225,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = tables.write(sketch.select("id", "digest", "n").where("n > 0").join(equal, "digest").select("id", "n", "rep"))
     reps = tables.write(sketch.where("n > 0").join(equal, "digest").where("id = rep").select("id", "n", "sig"))
 
-    leaves = tables.write(_leaves(tables, reps, runs, depth, bucket))
+    leaves = tables.write(_leaves(tables, reps, runs, start, depth, bucket))
     # leaves with the same members are one
     prints = leaves.groupBy("leaf").agg(F.count("*").alias("c"), F.sum(F.expr("xxhash64(id) div 4294967296")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x"), F.sum("n").alias("shingles"))
     prints = tables.write(prints)
