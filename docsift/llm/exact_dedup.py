@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = base.select("id", F.sha2("bytes", 256).alias("sha"), "bytes").alias("a").join(candidates.alias("b").hint("merge"), F.expr("a.id <=> b.id and a.sha = b.sha"), "left_semi")
     blocks = tables.write(texts.select("id", "sha", F.posexplode(F.expr(cut)).alias("i", "block")).withColumn("h", F.xxhash64("block")))
 
-    names = _named(tables, blocks, ["h", "block"])
+    names = _named(tables, blocks, ["h", "block"], ["h"])
     level = tables.write(blocks.join(names, ["h", "block"]).select("id", "sha", "i", "name").distinct())
     # a document that has come down to one name is done; depth tells names of different levels apart
     done, depth = [], 0
@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         depth += 1
         pairs = open_.groupBy("id", "sha", "n", "rows", F.shiftright("i", 1).alias("i")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
         pairs = tables.write(pairs)
-        names = _named(tables, pairs, ["left", "right"])
+        names = _named(tables, pairs, ["left", "right"], ["left", "right"])
         level = tables.write(pairs.join(names, ["left", "right"]).select("id", "sha", "i", "name", "n", "rows"))
         done.append(level.where(f"n <= {left}").select("id", "sha", "n", "name", "rows"))
     named = done[0]
@@ -72,7 +72,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("a.id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("a.id").eqNullSafe(keep).alias("kept"), F.col("a.sha").alias("text_sha256"))
 
 
-def _named(tables: Tables, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys in sorted order with an integer name each; written, so a name never changes."""
+def _named(tables: Tables, rows: DataFrame, keys: list[str], ranged: list[str]) -> DataFrame:
+    """Distinct keys in sorted order with an integer name each; written, so a name never changes.
+
+    ranged: the first keys, by which rows are dealt; Spark samples these on the driver, so they are short.
+    """
     distinct = tables.write(rows.select(*keys).distinct())
-    return tables.write(distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
+    return tables.write(distinct.repartitionByRange(*ranged).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
