@@ -2,7 +2,7 @@
 
 Each letter has a random vector of +1 and -1. A trigram's vector is the product of its
 letters' vectors, permuted (rotated) by their place; a text's vector is the sum over its
-trigrams, a language's prototype the sum over its training texts. The language whose
+trigrams, damped by how often each occurs, a language's prototype the sum over its training texts. The language whose
 prototype has the largest cosine with the text's vector is predicted.
 """
 
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.arrays import U, mix
+from docsift.llm.arrays import U, mix, releasing
+from docsift.llm.shared import small_batches
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -65,17 +66,22 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(ends, place[middle], "left")
 
 
-def _bundles(grams: np.ndarray, rows: np.ndarray, n: int, dimensions: int) -> np.ndarray:
-    """Sums of the trigrams' vectors, for each of n rows."""
-    out = np.zeros((n, dimensions), np.float32)
+def _bundles(grams: np.ndarray, rows: np.ndarray, n: int, dimensions: int, groups: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the trigrams' vectors for each of n texts, or for each group of texts.
+
+    A trigram that a text has c times counts log(1 + c), so that no repetitive text outweighs others.
+    """
+    out = np.zeros((n if groups is None else int(groups.max()) + 1, dimensions), np.float32)
     distinct, at = np.unique(grams, return_inverse=True)
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
+    member = None if groups is None else (groups[None, :] == np.arange(len(out))[:, None]).astype(np.float32)
     for lo in range(0, len(distinct), GRAMS_AT_ONCE):
         hi = min(lo + GRAMS_AT_ONCE, len(distinct))
         a, b = np.searchsorted(at, [lo, hi])
         counts = np.bincount(rows[a:b] * (hi - lo) + at[a:b] - lo, minlength=n * (hi - lo)).reshape(n, hi - lo)
-        out += counts.astype(np.float32) @ _vectors(distinct[lo:hi], dimensions)
+        weights = np.log1p(counts.astype(np.float32))
+        out += (weights if member is None else member @ weights) @ _vectors(distinct[lo:hi], dimensions)
     return out
 
 
@@ -102,18 +108,19 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for at, texts in _chunks(batch.column(0), 4096):
+            for at, texts in _chunks(batch.column(0), 256):
                 grams, rows = _grams(texts)
                 names = sorted(set(langs[at : at + len(texts)]))
                 of = np.array([names.index(x) for x in langs[at : at + len(texts)]], np.int64)
-                for name, v in zip(names, _bundles(grams, of[rows], len(names), dimensions), strict=True):
+                for name, v in zip(names, _bundles(grams, rows, len(texts), dimensions, of), strict=True):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         for name, v in sums.items():
             yield pa.record_batch([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
 
+    small_batches(docs.sparkSession)
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     out: dict[str, np.ndarray] = {}
-    for name, i, v in known.mapInArrow(bundle, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v")).collect():
+    for name, i, v in known.mapInArrow(releasing(bundle), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v")).collect():
         out.setdefault(name, np.zeros(dimensions))[i] = v
     return out
 
@@ -133,8 +140,9 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
             langs, scores = _predictions(batch.column(1), names, protos, dimensions)
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return frame.mapInArrow(predict, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    return frame.mapInArrow(releasing(predict), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: float, text_col: str = "text") -> DataFrame:
@@ -148,7 +156,8 @@ def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: fl
             langs, scores = _predictions(batch.column(at).cast(pa.string()), names, protos, dimensions)
             yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(releasing(keep), docs.schema)
 
 
 def _matrix(known: dict[str, np.ndarray], names: list[str]) -> tuple[np.ndarray, int]:
