@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Queries whose vectors go to every task at once; more are searched block by block.
@@ -44,7 +45,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_co
 
 def _search_block(vectors: DataFrame, queries: DataFrame, block: list, k: int, vector_col: str, hints: dict | None) -> DataFrame:
     q_type, c_type, o_type = (queries.schema["qid"].dataType.simpleString(), *(vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "ordinal")))
-    qids = [r["qid"] for r in block]
+    kind, qids = to_arrow_type(queries.schema["qid"].dataType), [r["qid"] for r in block]
     matrix = np.array([r["v"] for r in block], np.float64) if block else np.zeros((0, 0))
     if hints is not None:
         vectors = vectors.where(F.col("source_file").isin(*sorted({s for v in hints.values() for s in v}))) if hints else vectors.limit(0)
@@ -65,6 +66,6 @@ def _search_block(vectors: DataFrame, queries: DataFrame, block: list, k: int, v
                 floor = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
                 q, r = np.nonzero((score >= floor[:, None]) & (score > 0))
                 if len(q):
-                    yield pa.record_batch([pa.array([qids[i] for i in q]), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(score[q, r])], ["qid", "chunk_id", "ordinal", "score"])
+                    yield pa.record_batch([pa.array([qids[i] for i in q], kind), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(score[q, r])], ["qid", "chunk_id", "ordinal", "score"])
 
     return frame.mapInArrow(search, f"qid {q_type}, chunk_id {c_type}, ordinal {o_type}, score double")

@@ -25,17 +25,23 @@ BLOCK_COLUMNS = ("doc_key", "source_file", "block_pos", "page", "block_type", "t
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(doc_key, file, path) of the files in child folders with a full.md and a layout file; by folder name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    # child folders only: one level below the root, wherever the root is
-    below = F.regexp_replace("path", "^.*?" + _quoted(root.rstrip("/").rpartition("/")[2]) + "/(?=[^/]+/[^/]+$)", "")
-    rows = files.select("path", F.split(below, "/").alias("p")).where("size(p) = 2").select(F.col("p")[0].alias("doc_key"), F.col("p")[1].alias("file"), "path")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    fs, listed = at.getFileSystem(conf), []
+    # names only, by the file system's own listing: Spark's sources leave out empty files
+    for folder in fs.listStatus(at):
+        if folder.isDirectory():
+            listed += [(folder.getPath().getName(), f.getPath().getName(), f.getPath().toString()) for f in fs.listStatus(folder.getPath()) if f.isFile()]
+    rows = spark.createDataFrame(listed, "doc_key string, file string, path string").withColumn("path", plain_path(F.col("path")))
     layout = F.col("file").endswith("_content_list.json") | (F.col("file") == "block_list.json") | F.col("file").endswith("_content_list_v2.json")
     dirs = rows.groupBy("doc_key").agg(F.max((F.col("file") == "full.md").cast("int")).alias("full"), F.max((F.col("file").endswith("_content_list.json") | (F.col("file") == "block_list.json")).cast("int")).alias("has"))
     return rows.where(layout | F.col("file").endswith("_origin.pdf")).join(dirs.where("full = 1 and has = 1").select("doc_key"), "doc_key")
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def plain_path(path: Column) -> Column:
+    """A path without scheme and percent-encoding, which Spark's listings use to different degrees."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(decoded, "^[a-z0-9]+:/*", "/")
 
 
 def source_name(doc_key: Column, origin: Column) -> Column:
@@ -53,8 +59,13 @@ def first_text(item: Column) -> Column:
     return clean(raw)
 
 
+def json_type(item: Column, field: str) -> Column:
+    """The type of a JSON object's field: STRING, BIGINT and so on; null without it."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{field}", "variant"))
+
+
 def is_string(item: Column, field: str) -> Column:
-    return F.coalesce(F.expr("schema_of_variant(v)") == "STRING", F.lit(False)) if item is None else F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{field}", "variant")) == "STRING", F.lit(False))
+    return F.coalesce(json_type(item, field) == "STRING", F.lit(False))
 
 
 def title_level(title: Column, level: Column) -> Column:
@@ -94,7 +105,8 @@ def blocks_of_items(items: DataFrame, flat: bool) -> DataFrame:
     discarded blocks are left out.
     """
     get = lambda f: F.get_json_object("item", f"$.{f}")
-    level = F.when(get("text_level" if flat else "level").rlike("^-?[0-9]+$"), get("text_level" if flat else "level").try_cast("int"))
+    depth = "text_level" if flat else "level"
+    level = F.when(json_type(F.col("item"), depth) == "BIGINT", get(depth).try_cast("int"))
     rows = items.withColumn("kind", F.coalesce(get("type"), F.lit(""))).where(F.col("kind").isin(*CONTENT_TYPES))
     if not flat:
         dropped = F.coalesce(get("is_discarded"), F.lit("false")).isin("false", "0", "", "null")
@@ -117,10 +129,8 @@ def load_blocks(spark: SparkSession, root: str) -> DataFrame:
     flat = F.col("file") != "block_list.json"
     rank = F.when(~flat, F.lit("3")).when(F.col("file").contains("_v2"), F.concat(F.lit("2"), F.col("file"))).otherwise(F.concat(F.lit("1"), F.col("file")))
     found = found.select("doc_key", source_name(F.col("doc_key"), F.col("origin")).alias("source_file"), "path", flat.alias("flat"), rank.alias("priority"))
-    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("value"), F.input_file_name().alias("at"))
-    # input_file_name is percent-encoded, the binary listing is not
-    rows = texts.withColumn("path", F.coalesce(F.try_url_decode(F.replace(F.col("at"), F.lit("+"), F.lit("%2B"))), F.col("at")))
-    rows = found.withColumn("path", F.regexp_replace("path", "^[a-z]+:/*", "/")).join(rows.withColumn("path", F.regexp_replace("path", "^[a-z]+:/*", "/")), "path")
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", plain_path(F.input_file_name()).alias("path"))
+    rows = found.join(texts, "path")
     one = rows.where("flat").select("doc_key", "source_file", "priority", F.posexplode(F.from_json("value", "array<string>")).alias("block_pos", "item"))
     pages = rows.where("not flat").select("doc_key", "source_file", "priority", F.posexplode(F.from_json("value", "pdfData array<array<string>>")["pdfData"]).alias("a", "page_items"))
     two = pages.select("doc_key", "source_file", "priority", "a", F.posexplode("page_items").alias("b", "item")).select("doc_key", "source_file", "priority", (F.col("a") * 1_000_000 + F.col("b")).alias("block_pos"), "item")
