@@ -21,11 +21,11 @@ from pyspark.sql.window import Window
 
 from docsift.llm.shared import Tables
 
-SHARD_VECTORS = 4096
+SHARD_VECTORS = 8192
 QUERY_BLOCK = 4096
 DEGREE = 32
 BUILD_BEAM = 96
-SEARCH_BEAM = 160
+SEARCH_BEAM = 128
 ALPHA = 1.2
 BATCH = 256
 STEP = 4
@@ -167,7 +167,7 @@ def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_i
     dimensions, largest = sizes[0]["d"], float(sizes[0]["m"])
     good = good.where(F.size("v") == dimensions).withColumn("h", F.xxhash64("v"))
     least = Window.partitionBy("h", "v").orderBy("id")
-    nodes = good.withColumn("rn", F.row_number().over(least)).where(F.col("rn") <= k + 1)
+    nodes = good.withColumn("rn", F.dense_rank().over(least)).where(F.col("rn") <= k + 1)
     nodes = tables.write(nodes.groupBy("h", "v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     shards = max(1, -(-nodes.count() // shard_vectors))
 
@@ -180,7 +180,7 @@ def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_i
         return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), group.column("ids"), group.column("v"), lists], ["shard", "node", "ids", "embedding", "neighbors"])
 
     placed = nodes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(h), {shards}) as int)"))
-    return tables.write(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA)), shards, largest, dimensions
+    return tables.write(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, largest, dimensions
 
 
 def search(index: DataFrame, shards: int, largest: float, dimensions: int, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
