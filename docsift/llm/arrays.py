@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,20 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def releasing(run):
+    """A function over batches that gives the memory it took back to the system when it ends: workers live on, idle."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64."""
     have = _POWERS.get(int(base))

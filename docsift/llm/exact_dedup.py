@@ -42,24 +42,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = tables.write(hashes.join(shared, "h").groupBy("id", "sha", "n").agg(F.count("*").alias("c")).where("c % n = 0").select("id", "sha", "n", (F.col("c") / F.col("n")).cast("long").alias("rows")))
     # always by a merge join, so that the plan is the same at every size
     texts = base.select("id", F.sha2("bytes", 256).alias("sha"), "bytes").alias("a").join(candidates.alias("b").hint("merge"), F.expr("a.id <=> b.id and a.sha = b.sha"), "left_semi")
-    blocks = tables.write(texts.select("id", "sha", F.posexplode(F.expr(cut)).alias("i", "block")).withColumn("h", F.xxhash64("block")))
+    blocks = tables.write(texts.select("id", "sha", F.posexplode(F.expr(cut)).alias("i", "block")).withColumn("h", F.xxhash64("block")), wide=True)
 
     names = _named(tables, blocks, ["h", "block"], ["h"])
-    level = tables.write(blocks.join(names, ["h", "block"]).select("id", "sha", "i", "name").distinct())
-    # a document that has come down to one name is done; depth tells names of different levels apart
-    done, depth = [], 0
-    level = tables.write(level.alias("a").join(candidates.alias("b"), F.expr("a.id <=> b.id and a.sha = b.sha")).select("a.id", "a.sha", "i", "name", "n", "rows"))
+    first = tables.write(blocks.join(names, ["h", "block"]).select("id", "sha", "i", "name").distinct())
+    # a document that has come down to one name is done; the number of blocks tells names of different levels apart
+    done, stale = [], [shared, blocks, names, candidates]
+    level = tables.write(first.alias("a").join(candidates.alias("b"), F.expr("a.id <=> b.id and a.sha = b.sha")).select("a.id", "a.sha", "i", "name", "n", "rows"))
+    stale += [first, level]
     most = level.agg(F.max("n")).first()[0] or 1
     done.append(level.where("n = 1").select("id", "sha", "n", "name", "rows"))
     left = 1
     while left < most:
         open_ = level.where(f"n > {left}")
         left *= 2
-        depth += 1
         pairs = open_.groupBy("id", "sha", "n", "rows", F.shiftright("i", 1).alias("i")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
         pairs = tables.write(pairs)
         names = _named(tables, pairs, ["left", "right"], ["left", "right"])
         level = tables.write(pairs.join(names, ["left", "right"]).select("id", "sha", "i", "name", "n", "rows"))
+        stale += [pairs, names, level]
         done.append(level.where(f"n <= {left}").select("id", "sha", "n", "name", "rows"))
     named = done[0]
     for part in done[1:]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.arrays import U, mix, text_slices, windows, word_hashes, words
+from docsift.llm.arrays import U, mix, releasing, text_slices, windows, word_hashes, words
 from docsift.llm.components import components
 from docsift.llm.shared import Tables
 
@@ -220,7 +220,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = Tables(docs.sparkSession, "jaccard_join")
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = tables.write(source.mapInArrow(_sketch(gram, runs, depth), f"id {id_type}, digest binary, n int, sig array<int>"))
+    sketch = tables.write(source.mapInArrow(releasing(_sketch(gram, runs, depth)), f"id {id_type}, digest binary, n int, sig array<int>"))
     equal = tables.write(sketch.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")))
     members = tables.write(sketch.select("id", "digest", "n").where("n > 0").join(equal, "digest").select("id", "n", "rep"))
     reps = tables.write(sketch.where("n > 0").join(equal, "digest").where("id = rep").select("id", "n", "sig"))
@@ -232,15 +232,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = prints.groupBy("c", "s", "x").agg(F.min("leaf").alias("canon"), F.max("shingles").alias("shingles"))
     canon = tables.write(prints.drop("shingles").join(same, ["c", "s", "x"]).select("leaf", "canon", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks")))
     lists = leaves.join(canon, "leaf").groupBy("id").agg(F.collect_set(F.struct("r", F.col("canon").alias("leaf"), "blocks")).alias("leaves"))
-    sets = source.join(lists, "id").dropDuplicates(["id"]).select("id", "text", "leaves").mapInArrow(_with_sets(gram), f"id {id_type}, leaves array<struct<r:int,leaf:bigint,blocks:int>>, shingles binary")
-    sets = tables.write(sets)
+    sets = source.join(lists, "id").dropDuplicates(["id"]).select("id", "text", "leaves").mapInArrow(releasing(_with_sets(gram)), f"id {id_type}, leaves array<struct<r:int,leaf:bigint,blocks:int>>, shingles binary")
+    sets = tables.write(sets, wide=True)
 
     # each set goes to its leaves; where a leaf has several blocks, to every two blocks with its own
     placed = sets.select("id", "leaves", "shingles", F.explode(F.expr("array_distinct(transform(leaves, x -> struct(x.leaf as leaf, x.blocks as blocks)))")).alias("at"))
     placed = placed.select("id", "leaves", "shingles", F.col("at.leaf").alias("leaf"), F.expr("pmod(xxhash64(id), at.blocks)").cast("int").alias("own"), F.explode(F.expr("sequence(0, at.blocks - 1)")).alias("other"))
     placed = placed.select("leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", (F.col("own") > F.col("other")).alias("side"), "leaves", "shingles")
     placed = placed.repartition("leaf", "p", "q").sortWithinPartitions("leaf", "p", "q")
-    found = tables.write(placed.mapInArrow(_search(similarity, runs), f"id {id_type}, links long, root {id_type}"))
+    found = tables.write(placed.mapInArrow(releasing(_search(similarity, runs)), f"id {id_type}, links long, root {id_type}"), wide=True)
 
     roots = tables.write(components(tables, found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep"))
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("n_links"))

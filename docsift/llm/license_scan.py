@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.arrays import releasing
+from docsift.llm.shared import small_batches
+
 #: Known sentences, by identifier. Fixed values, from the public licences and notices.
 SENTENCES = {
     1: "Licensed under the Apache License, Version 2.0",
@@ -83,5 +86,6 @@ def license_scan(docs: DataFrame, known: dict[int, str] = SENTENCES, rules: tupl
                 counts.append(len(held))
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int32())], [id_col, "sentence_ids", "licenses", "n_licenses"])
 
+    small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return frame.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sentence_ids string, licenses string, n_licenses int")
+    return frame.mapInArrow(releasing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, sentence_ids string, licenses string, n_licenses int")

@@ -24,6 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.arrays import releasing
+from docsift.llm.shared import small_batches
+
 WINDOW = 1024
 SENTENCE_PENALTY = 2.0
 INNER_PENALTY = 8.0
@@ -142,5 +145,6 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, end_text: str = "<|endof
     An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return frame.mapInArrow(_pack(rank_file, pattern, end_text, end_id, stop_id, size, id_col), f"`{id_col}` {kind}, {SCHEMA}")
+    return frame.mapInArrow(releasing(_pack(rank_file, pattern, end_text, end_id, stop_id, size, id_col)), f"`{id_col}` {kind}, {SCHEMA}")

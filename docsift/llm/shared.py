@@ -18,6 +18,21 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Rows and bytes in an Arrow batch, and rows in a batch of the Parquet reader. What a batch
+#: holds is in memory several times over, and long texts make batches of the default size large.
+BATCH_ROWS = 1024
+BATCH_BYTES = 4 << 20
+READER_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches, unless they are bounded lower."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        digits = spark.conf.get(key).rstrip("bB")
+        if not digits.isdigit() or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Tables:
     """Intermediate tables, as Parquet in the shared folder.
 
@@ -26,15 +41,22 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/docsift/{name}-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._delete, self.root)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, wide: bool = False) -> DataFrame:
+        """The rows, written and read again. What is not wide (texts, or much work a byte) goes to few files."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        path, key = f"{self.root}/{self.n}", "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, before if wide else "false")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._docsift_path = path
         return out

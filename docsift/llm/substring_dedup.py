@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.arrays import U, mix, text_slices, windows, word_hashes, words
+from docsift.llm.arrays import U, mix, releasing, text_slices, windows, word_hashes, words
 from docsift.llm.shared import Tables
 
 WINDOW_WORDS = 50
@@ -133,7 +133,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     text = F.col(text_col).cast("string").alias("text")
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text)
-    profile = tables.write(source.mapInArrow(_profile(length, gram), f"id {id_type}, n_words long, sha string, minimizers array<long>"))
+    profile = tables.write(source.mapInArrow(releasing(_profile(length, gram)), f"id {id_type}, n_words long, sha string, minimizers array<long>"))
 
     # whole word sequences first: all but the first document of each are covered
     known = profile.where(f"id is not null and n_words >= {length}")
@@ -142,14 +142,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     rows = marked.where("not copy").select("id", F.explode(F.array_distinct("minimizers")).alias("m"))
     repeated = tables.write(rows.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("m"))
     lists = rows.join(repeated, "m").groupBy("id").agg(F.collect_list("m").alias("ms"))
-    open_ = tables.write(source.join(lists, "id").dropDuplicates(["id"]))
+    open_ = tables.write(source.join(lists, "id").dropDuplicates(["id"]), wide=True)
 
-    found = open_.mapInArrow(_shared_windows(length, gram), f"id {id_type}, start int, hash long, check int")
+    found = open_.mapInArrow(releasing(_shared_windows(length, gram)), f"id {id_type}, start int, hash long, check int")
     found = tables.write(found)
     earliest = tables.write(found.groupBy("hash", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "check", "low"))
     covered = found.join(earliest, ["hash", "check"]).where("id > low").select("id", "start")
     covered = covered.groupBy("id").agg(F.collect_set("start").alias("starts"))
-    partly = open_.select("id", "text").join(covered, "id").mapInArrow(_remove(length), f"id {id_type}, n_removed long, kept_text string, spans array<struct<start:bigint,end:bigint>>")
+    partly = open_.select("id", "text").join(covered, "id").mapInArrow(releasing(_remove(length)), f"id {id_type}, n_removed long, kept_text string, spans array<struct<start:bigint,end:bigint>>")
     whole = marked.where("copy").select("id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct()
     return profile.select("id", "n_words", F.col("sha").alias("words_sha")), partly.unionByName(whole)
 

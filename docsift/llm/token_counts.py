@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.arrays import releasing
+from docsift.llm.shared import small_batches
+
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 256
 BATCH_CHARS = 1 << 17
@@ -96,5 +99,6 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     held, size = [], 0
             yield pa.record_batch([batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
-    return frame.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return frame.mapInArrow(releasing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
