@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,8 @@ def main(argv: list[str] | None = None) -> int:
     commands.add_parser("check", help="whether the index fits the active embedder")
     args = parser.parse_args(argv)
 
-    s = get_settings(".env", data_dir=args.data)
+    # a relative path is relative to this process, not to the JVM
+    s = get_settings(".env", data_dir=args.data if "://" in args.data else str(Path(args.data).resolve()))
     spark = SparkSession.builder.appName("docsift").getOrCreate()
     if args.command == "build":
         print(f"{build_chunk_tables(spark, s, args.root)} chunks")
