@@ -50,7 +50,7 @@ def kind_of(doc_id):
 # --- text ---------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {TOKENS.format(CLEAN.format('text'))} AS t FROM documents)")
+@query(f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {TOKENS.format(CLEAN.format('text'))} AS t FROM documents)")
 def tokenize_counts(spark, sf_dir):
     t = tx.tokenize(tx.strip_markup(F.col("text")))
     return read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
@@ -272,9 +272,9 @@ def outline_index(spark, sf_dir):
     return _shown(chunking.outline_chunks(leaves(spark, sf_dir)))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS family, chunk_id, source_file, page_start, page_end, section, display_text FROM ({ORACLE_SQL[name]})" for k, name in enumerate(("leaf_chunks", "page_aggregate", "section_aggregate", "heading_window_index", "graph_index", "outline_index"))))
 def build_chunks(spark, sf_dir):
-    return chunking.build_chunks(document_blocks(spark, sf_dir)).drop("order_key")
+    return chunking.build_chunks(document_blocks(spark, sf_dir)).select("family", "chunk_id", "source_file", "page_start", "page_end", "section", "display_text")
 
 
 # --- search -------------------------------------------------------------------------------
@@ -387,8 +387,8 @@ def source_hint_weight(spark, sf_dir):
 
 
 @query(f"""
-    SELECT doc_id, round(CASE WHEN k IN ('title', 'outline', 'local_heading_index', 'graph_index') THEN 0.72 WHEN k IN ('table', 'table_body') THEN 1.12 WHEN k = 'page_summary' THEN 1.04 WHEN k = 'llm_summary' THEN 0.82 ELSE 1.0 END
-           * CASE WHEN n < 25 THEN 0.55 WHEN n < 80 THEN 0.82 ELSE 1.0 END, 9) AS weight
+    SELECT doc_id, round(CAST(CASE WHEN k IN ('title', 'outline', 'local_heading_index', 'graph_index') THEN 0.72 WHEN k IN ('table', 'table_body') THEN 1.12 WHEN k = 'page_summary' THEN 1.04 WHEN k = 'llm_summary' THEN 0.82 ELSE 1.0 END
+           * CASE WHEN n < 25 THEN 0.55 WHEN n < 80 THEN 0.82 ELSE 1.0 END AS DOUBLE), 9) AS weight
     FROM (SELECT doc_id, {KIND_SQL} AS k, length(regexp_replace(substr(text, 1, CAST(doc_id % 120 AS INTEGER)), '^\\s+|\\s+$', '', 'g')) AS n FROM documents)
 """)
 def quality_weight(spark, sf_dir):
