@@ -55,7 +55,7 @@ RULES = (
 )
 
 WRAPPED = r"([^.!?;:\s])[ \t\r]*\n[ \t]*([a-z(])"
-ENDS = r"[.!?;]+[ \t\r\n]+"
+ENDS = r"(?<![.!?;])[.!?;]++[ \t\r\n]+"  # from the start of a run only, so that long runs cost no more than short ones
 OTHER = r"[^A-Za-z0-9.+/\n-]+"
 
 

@@ -126,4 +126,30 @@ ORACLE_SQL = {
         SELECT d.doc_id, coalesce(f.ids, '') AS sentence_ids, coalesce(h.names, '') AS licenses, CAST(coalesce(h.n, 0) AS INTEGER) AS n_licenses
         FROM documents d LEFT JOIN found f USING (doc_id) LEFT JOIN held h USING (doc_id)
     """,
+    "op4_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+        windows AS (SELECT doc_id, i, sha256(array_to_string(list_slice(words, CAST(i AS INTEGER), CAST(i + 49 AS INTEGER)), ' ')) AS h FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM w WHERE len(words) >= 50)),
+        first AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM windows JOIN first USING (h), generate_series(0, 49) g(k) WHERE low < doc_id),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+        counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM w LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+        grams AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, CAST(i AS INTEGER), CAST(i + 4 AS INTEGER)), ' ') AS g FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0)),
+        sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS h FROM grams GROUP BY doc_id),
+        reps AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS rep FROM sets),
+        own AS (SELECT g.* FROM grams g JOIN reps r ON g.doc_id = r.doc_id AND r.doc_id = r.rep),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM own a JOIN own b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT p.a, p.b FROM pairs p JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b WHERE p.c >= 0.8 * (x.n + y.n - p.c) - 1e-9),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        roots AS (SELECT a AS rep, least(a, min(b)) AS root FROM reach GROUP BY a),
+        counts AS (SELECT a AS rep, count(*) AS n_links FROM links GROUP BY a),
+        classed AS (SELECT w.doc_id, coalesce(root, r.rep, w.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(r.rep, w.doc_id) AS rep_id, CAST(coalesce(r.n, 0) AS INTEGER) AS n_shingles
+                    FROM w LEFT JOIN reps r USING (doc_id) LEFT JOIN roots ON roots.rep = r.rep LEFT JOIN counts ON counts.rep = r.rep)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_links, rep_id, n_shingles FROM classed
+    """,
 }

@@ -87,6 +87,7 @@ def test_license_rules(spark):
     got = sorted((str(r.doc_id), r.licenses, r.n_licenses) for r in license_scan(documents(spark, rows)).collect())
     assert got == sorted([("1", "Apache-2.0", 1), ("2", "MIT", 1), ("3", "MIT", 1), ("4", "", 0), ("5", "", 0), ("6", "", 0), ("7", "CC-BY-NC-4.0,MIT", 2), ("8", "Apache-2.0", 1), ("8", "", 0), ("None", "MIT", 1)])
     assert len({sentences(t)[0] for t in SENTENCES.values()}) == len(SENTENCES)
+    assert len(sentences("." * 300_000 + "x" + "!?" * 100_000 + " y")) == 3  # in linear time
 
 
 def brute(vectors, q, k):
