@@ -17,6 +17,7 @@ from docsift.operators.merge import summary_candidates, summary_chunks, upsert
 from docsift.plans import models
 from docsift.plans.config import Settings, get_settings
 from docsift.plans.engine import Engine
+from docsift.plans.ship import ship
 from docsift.sources import storage
 from docsift.sources.layout import load_blocks
 
@@ -80,6 +81,7 @@ def main(argv: list[str] | None = None) -> int:
     # a relative path is relative to this process, not to the JVM
     s = get_settings(".env", data_dir=args.data if "://" in args.data else str(Path(args.data).resolve()))
     spark = SparkSession.builder.appName("docsift").getOrCreate()
+    ship(spark)
     if args.command == "build":
         print(f"{build_chunk_tables(spark, s, args.root)} chunks")
         if args.summaries is not None:

@@ -16,6 +16,7 @@ from docsift.operators import fusion
 from docsift.operators.bm25 import BM25Index, bm25_scores, build_bm25, top_k
 from docsift.operators.vectors import vector_search
 from docsift.plans.models import Embedder, HashEmbedder, Reranker
+from docsift.plans.ship import ship
 
 CANDIDATES = 30
 HIT_COLUMNS = ("qid", "rank", "chunk_id", "score", "source_file", "page_start", "page_end", "section", "block_type", "display_text")
@@ -33,6 +34,7 @@ class Engine:
 
     @staticmethod
     def build(chunks: DataFrame, embedder: Embedder | None = None, reranker: Reranker | None = None) -> Engine:
+        ship(chunks.sparkSession)
         embedder = embedder or HashEmbedder()
         if "ordinal" not in chunks.columns:
             chunks = chunks.withColumn("ordinal", F.struct("family", "order_key"))
