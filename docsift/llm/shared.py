@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docsift.plans.ship import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests), a temporary one."""
@@ -26,7 +28,8 @@ READER_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's batches, unless they are bounded lower."""
+    """Bounds the session's batches, unless they are bounded lower; ships the package to its workers."""
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
         digits = spark.conf.get(key).rstrip("bB")
         if not digits.isdigit() or not 0 < int(digits) <= most:
