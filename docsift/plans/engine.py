@@ -15,7 +15,7 @@ from docsift.functions.text import clean, is_navigation, navigation_terms, query
 from docsift.operators import fusion
 from docsift.operators.bm25 import BM25Index, bm25_scores, build_bm25, top_k
 from docsift.operators.vectors import vector_search
-from docsift.plans.models import Embedder, HashEmbedder, Reranker
+from docsift.plans.models import Chat, Embedder, HashEmbedder, Reranker, generate
 from docsift.plans.ship import ship
 
 CANDIDATES = 30
@@ -95,3 +95,7 @@ class Engine:
         shown = self.chunks.select("chunk_id", "source_file", "page_start", "page_end", "section", "block_type", "display_text")
         fused = both.join(shown, "chunk_id").select(*HIT_COLUMNS)
         return first.join(changed.select("qid"), "qid", "left_anti").where(F.col("rank") <= k).unionByName(fused)
+
+    def answer(self, queries: DataFrame, k: int = 8, chat: Chat | None = None, verify: bool = False) -> DataFrame:
+        """(qid, answer): a model's answer from the hits, or extracts of them without a model."""
+        return generate(queries, self.retrieve(queries, k), chat, verify)

@@ -231,6 +231,20 @@ def test_enhanced_queries_are_fused(spark):
     assert got.where("qid = 1").exceptAll(plain.where("qid = 1")).count() > 0
 
 
+def test_answers_cite_the_hits(spark):
+    engine = Engine.build(chunks_of(spark, corpus(5)))
+    q = spark.createDataFrame([(1, "设备频率"), (2, "qqqq")], "qid int, query string")
+    got = {r.qid: r.answer for r in engine.answer(q, 2).collect()}
+    assert "[1] 《" in got[1] and "[2] 《" in got[1] and "[3] 《" not in got[1] and got[2] == "文档中没有提供相关信息。"
+
+
+def test_a_small_query_batch_is_broadcast_and_columns_are_pruned(spark):
+    chunks = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_file"), F.col("doc_id").alias("ordinal"), F.col("text").alias("index_text"))
+    plan = bm25_search(build_bm25(chunks), spark.createDataFrame([(1, "a")], "qid int, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan
+    assert all("n_chars" not in line for line in plan.split("\n") if "ReadSchema" in line)
+
+
 def test_hash_embedder_is_the_plain_one(spark):
     row = spark.createDataFrame([("GSM-R 频率",)], "s string").select(HashEmbedder().embed(F.col("s"))).first()[0]
     assert row == pytest.approx(hash_vector(tokens_of("GSM-R 频率")))
