@@ -23,6 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.arrays import releasing
+from docsift.llm.shared import small_batches
+
 CACHED_MATCHES = 200_000
 CACHED_PAIRS = 400_000
 _CODECS: dict = {}
@@ -35,6 +38,7 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.shift = max(ranks.values(), default=1).bit_length()
         self.halves = {}  # a token's last merge; single bytes and tokens that no merge reaches have none
         for data, token in ranks.items():
             if len(data) > 1 and len(parts := self._merged(data, token)) == 2:
@@ -64,7 +68,7 @@ class Vocabulary:
         stands right of it. Merges run in rank order, so going back in time means to undo
         the later of the two sides' last merges.
         """
-        key = left << 32 | right
+        key = left << self.shift | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
@@ -72,6 +76,29 @@ class Vocabulary:
             known = self.pairs[key] = not self._crossed(left, right)
         return known
 
+    def encode(self, data: bytes) -> tuple[int, ...]:
+        """The same dynamic program as ``PrefixEncoder``, for bytes that stay as they are."""
+        last, sizes, pairs, valid, shift, done = [], [], self.pairs, self.valid, self.shift, 0
+        for at, (token, size) in self.suffixes.iter(data.decode("latin-1")):
+            if at == done:
+                if at >= size:
+                    before = last[at - size]
+                    known = pairs.get(before << shift | token)
+                    if known is None:
+                        known = valid(before, token)
+                    if not known:
+                        continue
+                last.append(token)
+                sizes.append(size)
+                done += 1
+        if done < len(data):
+            raise ValueError("a byte has no token")
+        out = []
+        while done:
+            out.append(last[done - 1])
+            done -= sizes[done - 1]
+        return tuple(out[::-1])
+
     def _crossed(self, left: int, right: int) -> bool:
         halves, joined = self.halves, self.joined
         # a merge across the border happens in time if its rank comes before the merge that was undone last;
@@ -107,7 +134,7 @@ class PrefixEncoder:
                 continue
             begin = at + 1 - size
             if begin:
-                known = pairs.get(last[begin - 1] << 32 | token)
+                known = pairs.get(last[begin - 1] << v.shift | token)
                 if not (check(last[begin - 1], token) if known is None else known):
                     continue
             last.append(token)
@@ -141,7 +168,7 @@ class Codec(dict):
     def __missing__(self, match: str) -> tuple[int, ...]:
         data = match.encode("utf-8", "replace")
         whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(PrefixEncoder(self.vocabulary, data).ids())
+        ids = (whole,) if whole is not None else self.vocabulary.encode(data)
         if len(match) <= 64:
             if len(self) >= CACHED_MATCHES:
                 self.clear()
@@ -178,7 +205,7 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
                 ids = c.encode(batch.column(1)[k].as_py() or "")
                 yield pa.record_batch([batch.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -190,7 +217,8 @@ def decode_ids(rows: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
             out = [None if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
 
-    return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, bytes binary")
+    small_batches(rows.sparkSession)
+    return rows.select(id_col, ids_col).mapInArrow(releasing(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, bytes binary")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,8 +239,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
                 decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs, id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
