@@ -29,8 +29,13 @@ def build_chunk_tables(spark: SparkSession, s: Settings, root: str) -> int:
     return storage.read_chunks(spark, s.chunks_path).count()
 
 
-def build_summaries(spark: SparkSession, s: Settings, limit: int) -> int:
-    """Adds a model's summaries to the chunks; they are written beside the old chunks first, which are then replaced."""
+def build_summaries(spark: SparkSession, s: Settings, limit: int, dry_run: bool = False) -> int:
+    """Adds a model's summaries to the chunks; they are written beside the old chunks first, which are then replaced.
+
+    A dry run counts the chunks that would be summarised and calls nothing.
+    """
+    if dry_run:
+        return summary_candidates(storage.read_chunks(spark, s.chunks_path), limit).count()
     chat = models.chat_client(s, timeout=90, retries=2)
     if chat is None:
         raise SystemExit("summaries need LLM_API_KEY")
@@ -68,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     build = commands.add_parser("build", help="parsed layouts to chunks, summaries if asked for, indexes")
     build.add_argument("root")
     build.add_argument("--summaries", type=int, default=None, metavar="LIMIT", help="0: all")
+    build.add_argument("--dry-run", action="store_true", help="only count what would be summarised")
     commands.add_parser("index", help="indexes of the chunks there are")
     ask = commands.add_parser("ask")
     ask.add_argument("question")
@@ -85,7 +91,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "build":
         print(f"{build_chunk_tables(spark, s, args.root)} chunks")
         if args.summaries is not None:
-            print(f"{build_summaries(spark, s, args.summaries)} chunks with summaries")
+            n = build_summaries(spark, s, args.summaries, args.dry_run)
+            print(f"{n} chunks to summarise" if args.dry_run else f"{n} chunks with summaries")
         build_index(spark, s)
     elif args.command == "index":
         build_index(spark, s)
