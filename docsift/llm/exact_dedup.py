@@ -67,6 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = named.unionByName(part)
     named = tables.write(named)
     classes = tables.write(named.groupBy("n", "name").agg(F.max("id").alias("keep_id"), F.sum("rows").alias("group_size")).where("group_size > 1"))
+    tables.drop(*stale)
     found = named.join(classes, ["n", "name"]).select("id", "sha", "keep_id", "group_size")
     out = signed.select("id", "sha").alias("a").join(found.alias("b"), F.expr("a.id <=> b.id and a.sha = b.sha"), "left")
     keep = F.coalesce("keep_id", "a.id")

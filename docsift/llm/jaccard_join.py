@@ -247,6 +247,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = tables.write(links.join(roots, "rep", "left"))
     classed = tables.write(members.join(known, "rep", "left").select("id", "n", "rep", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     counts = tables.write(classed.groupBy("class_id").agg(F.count("*").alias("class_size")))
+    tables.drop(equal, members, reps, leaves, prints, canon, sets, found, roots, known)
     out = classed.alias("a").join(counts.alias("b"), F.expr("a.class_id <=> b.class_id"), "left").select("id", "a.class_id", "class_size", "n_links", F.col("rep").alias("rep_id"), F.col("n").alias("n_shingles"))
     alone = sketch.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("rep_id"), F.col("n").alias("n_shingles"))
     return out.unionByName(alone).withColumnRenamed("id", id_col)

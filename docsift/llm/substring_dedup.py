@@ -13,6 +13,7 @@ Documents with the word sequence of an earlier one are settled by that alone.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ WINDOW_WORDS = 50
 GRAM_WORDS = 8
 SECOND_BASE = U(0xD6E8FEB86659FD93)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def _minimizers(hashes: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,34 +97,38 @@ def _shared_windows(length: int, gram: int):
 
 
 def _remove(length: int):
-    """Merges window starts into maximal intervals, and digests what is left of each text."""
+    """Merges window starts into maximal intervals, cuts these out and digests the words left."""
 
     def run(batches):
         for batch in batches:
             texts, starts = batch.column(1), batch.column(2)
-            counts, kept, spans = [], [], []
+            counts, kept, digests, spans = [], [], [], []
             for i in range(batch.num_rows):
-                tokens = (texts[i].as_py() or "").encode("utf-8", "surrogatepass").split()
+                data = (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
+                starts_at = [m.start() for m in WORD.finditer(data)] + [len(data)]
                 at = np.sort(starts[i].values.to_numpy(zero_copy_only=False)).astype(np.int64)
                 new = np.flatnonzero(np.diff(at, prepend=-length - 1) > length)
                 lows, highs = at[new], at[np.append(new[1:], len(at)) - 1] + length
                 left, last = [], 0
                 for a, b in zip(lows.tolist(), highs.tolist(), strict=True):
-                    left += tokens[last:a]
-                    last = b
-                left += tokens[last:]
-                counts.append(len(tokens) - len(left))
-                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+                    left.append(data[last : starts_at[a]])
+                    last = starts_at[b]
+                left.append(data[last:])
+                rest = b"".join(left)
+                counts.append(int((highs - lows).sum()))
+                kept.append(rest.decode("utf-8", "surrogatepass"))
+                digests.append(hashlib.sha256(b" ".join(rest.split())).hexdigest())
                 spans.append([{"start": a, "end": b} for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "n_removed", "kept_text", "spans"])
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "n_removed", "kept_text", "kept_sha", "spans"])
 
     return run
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(all documents: id, n_words, words_sha; those that lose words: id, n_removed, kept_text, spans).
+    """(all documents: id, n_words, words_sha; those that lose words: id, n_removed, kept_text, kept_sha, spans).
 
-    words_sha is the digest of all words joined by one space. spans are half-open intervals
+    words_sha and kept_sha are digests of all words, and of those left, joined by one space.
+    kept_text is the text without the words and the blanks after them. spans are half-open intervals
     of word positions, maximal and in order. Null texts have no words. A document with fewer
     words than a window loses none. Windows are judged on the input: a removed window still
     counts as an earlier occurrence. Rows with a null id neither lose words nor make others
@@ -148,15 +154,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = tables.write(found)
     earliest = tables.write(found.groupBy("hash", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "check", "low"))
     covered = found.join(earliest, ["hash", "check"]).where("id > low").select("id", "start")
-    covered = covered.groupBy("id").agg(F.collect_set("start").alias("starts"))
-    partly = open_.select("id", "text").join(covered, "id").mapInArrow(releasing(_remove(length)), f"id {id_type}, n_removed long, kept_text string, spans array<struct<start:bigint,end:bigint>>")
-    whole = marked.where("copy").select("id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct()
+    covered = tables.write(covered.groupBy("id").agg(F.collect_set("start").alias("starts")))
+    tables.drop(leaders, repeated, found, earliest)
+    partly = open_.select("id", "text").join(covered, "id").mapInArrow(releasing(_remove(length)), f"id {id_type}, n_removed long, kept_text string, kept_sha string, spans array<struct<start:bigint,end:bigint>>")
+    whole = marked.where("copy").select("id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), F.lit(EMPTY_SHA).alias("kept_sha"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct()
     return profile.select("id", "n_words", F.col("sha").alias("words_sha")), partly.unionByName(whole)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256; see ``removals``."""
     every, lost = removals(docs, id_col, text_col, length)
-    lost = lost.select("id", "n_removed", F.sha2("kept_text", 256).alias("kept"))
+    lost = lost.select("id", "n_removed", F.col("kept_sha").alias("kept"))
     out = every.join(lost, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "words_sha").alias("kept_sha256"))
