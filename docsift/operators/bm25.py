@@ -12,6 +12,8 @@ from docsift.functions.text import tokenize
 
 K1 = 1.5
 B = 0.75
+#: Queries whose terms are sent to every task; more are joined by shuffling.
+BROADCAST_QUERIES = 4096
 
 
 @dataclass(frozen=True)
@@ -24,8 +26,9 @@ class BM25Index:
     chunks: DataFrame
 
     def persist(self) -> BM25Index:
-        """For several batches of queries in one session."""
-        return BM25Index(self.postings.persist(), self.terms.persist(), self.stats.persist(), self.chunks.persist())
+        """Keeps the postings: the statistics come from them too, so a search reads texts once, further ones not at all."""
+        self.postings.persist()
+        return self
 
 
 def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
@@ -42,8 +45,10 @@ def build_bm25(chunks: DataFrame, text_col: str = "index_text") -> BM25Index:
     tokens = chunks.select("chunk_id", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     words = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     postings = words.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    stats = tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats), how="cross")
+    # all statistics come from the postings, so that texts are read once where these are persisted or saved
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    terms = postings.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df")).join(F.broadcast(stats), how="cross")
     terms = terms.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return BM25Index(postings, terms, stats, chunks.select("chunk_id", *[c for c in ("source_file", "ordinal") if c in chunks.columns]))
 
@@ -57,12 +62,18 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
 def bm25_scores(index: BM25Index, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(key columns of queries, chunk_id, score) of every chunk that shares a term with a query.
 
-    Query terms join postings on the term, so only matching postings are touched; Spark
-    broadcasts the query side if it is small. Parts of a score add up before the shuffle.
+    Only postings of the queries' terms are touched. Where the batch is small enough to be
+    sent to every task, these postings are dealt by chunk first: a chunk's scores then add up
+    in one task, instead of a row for each query and chunk in every task. Larger batches join
+    on the term.
     """
     keys = [c for c in queries.columns if c != text_col]
     wanted = query_terms(queries, text_col).join(index.terms, "term")
-    hits = index.postings.join(wanted, "term").join(F.broadcast(index.stats), how="cross")
+    postings = index.postings
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        postings = postings.join(F.broadcast(query_terms(queries, text_col).select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+        wanted = F.broadcast(wanted)
+    hits = postings.join(wanted, "term").join(F.broadcast(index.stats), how="cross")
     norm = F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     # rounded beyond any meaning: sums in another order must not part texts that tie

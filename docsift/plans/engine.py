@@ -41,6 +41,12 @@ class Engine:
         vectors = chunks.select("chunk_id", "ordinal", "source_file", embedder.embed(F.col("index_text")).alias("embedding"))
         return Engine(chunks, build_bm25(chunks), vectors, embedder, reranker)
 
+    def persist(self) -> Engine:
+        """Keeps postings and vectors for the searches of this session."""
+        self.bm25.persist()
+        self.vectors.persist()
+        return self
+
     def ranked_lists(self, asked: DataFrame, variants: DataFrame) -> DataFrame:
         """(qid, list_no, chunk_id, score, rank): for each variant, words and vectors, over all chunks and over hinted sources."""
         most = F.col("candidates")

@@ -301,7 +301,7 @@ BM25 = f"""
 
 @query(BM25 + "SELECT term, df, round(idf, 9) AS idf FROM terms")
 def term_df_idf(spark, sf_dir):
-    return bm25.build_bm25(document_chunks(spark, sf_dir)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return bm25.build_bm25(document_chunks(spark, sf_dir)).persist().terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(BM25 + "SELECT n, round(avgdl, 9) AS avgdl FROM stats")
@@ -311,7 +311,7 @@ def doc_length_stats(spark, sf_dir):
 
 @query(BM25 + "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)), questions(spark, sf_dir), 10)
+    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)).persist(), questions(spark, sf_dir), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -319,7 +319,7 @@ def bm25_topk(spark, sf_dir):
 def bm25_source_restricted(spark, sf_dir):
     q = questions(spark, sf_dir)
     allowed = q.select("qid", F.concat(F.lit("src"), (F.col("qid") % 5).cast("string")).alias("source_file"))
-    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)), q, 10, allowed=allowed)
+    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)).persist(), q, 10, allowed=allowed)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -580,4 +580,4 @@ def hybrid(spark, sf_dir) -> DataFrame:
     body = tx.strip_markup(F.col("text"))
     chunks = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_file"), page.alias("page_start"), page.alias("page_end"), F.lit("").alias("section"), F.lit("text").alias("block_type"), body.alias("index_text"), body.alias("display_text"), F.col("doc_id").alias("ordinal"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return Engine.build(chunks).retrieve(asked, 8).select("qid", "rank", "chunk_id", "source_file", "page_start", F.round("score", 9).alias("score"))
+    return Engine.build(chunks).persist().retrieve(asked, 8).select("qid", "rank", "chunk_id", "source_file", "page_start", F.round("score", 9).alias("score"))
