@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import textwrap
 
 import numpy as np
 
@@ -90,6 +91,20 @@ def test_license_rules(spark):
     assert len(sentences("." * 300_000 + "x" + "!?" * 100_000 + " y")) == 3  # in linear time
 
 
+def test_licenses_of_commented_headers(spark):
+    mit = "Copyright (c) 2020 Someone\n" + SENTENCES[11] + "\n\n" + SENTENCES[12] + "."
+    two = f"{SENTENCES[13]}\n\n1. {SENTENCES[14]}.\n2. {SENTENCES[15]}.\n"
+    three = two + "3. Neither the name of Some Company, Inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    cases = [("// SPDX-License-Identifier: MIT\nint main()", "MIT"), ("/* SPDX-License-Identifier: MPL-2.0 */\nint main()", "MPL-2.0"), ("-- SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL-3.0-or-later"), ("# SPDX-License-Identifier: ISC\nimport os", "ISC"),
+             ("; SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"), ("/* Licensed under the Apache\n   License, Version 2.0 */\nint main()", "Apache-2.0"), ("# a heading\n- a line\n\ntext", "")]
+    for text, name in [(mit, "MIT"), (two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (SENTENCES[16] + ".", "GPL-3.0-or-later"), (lesser, "LGPL-2.1-or-later")]:
+        for mark in ("", "# ", "// ", " * ", "-- ", "; "):
+            cases.append(("\n".join(mark + line for part in text.split("\n") for line in (textwrap.wrap(part, 61) or [""])), name))
+    got = {r.doc_id: r.licenses for r in license_scan(documents(spark, [(i, text) for i, (text, _) in enumerate(cases)])).collect()}
+    assert [(cases[i][0], got[i]) for i in sorted(got)] == cases
+
+
 def brute(vectors, q, k):
     own = vectors[q]
     scored = sorted((-float(np.dot(v, own)), i) for i, v in vectors.items() if i != q)
