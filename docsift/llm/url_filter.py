@@ -3,7 +3,8 @@
 A list is a history of dated entries: from its day on, an entry's action holds for its rule
 until the rule's next entry. A rule is a host, which covers its subdomains, or a host and
 leading path segments. Entries become validity intervals; each capture is evaluated against
-the intervals that hold on the day it was fetched, and the longest rule decides.
+the intervals that hold on the day it was fetched, and the longest rule decides. An entry
+whose action is neither ``block`` nor ``allow`` ends the rule's last one and decides nothing.
 """
 
 from __future__ import annotations
@@ -50,8 +51,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     paths = f"transform(sequence(0, size({steps})), j -> array_join(slice(concat(array(''), {steps}), 1, j + 1), '/'))"
     keyed = base.where("host <> '' and day is not null").select("id", "url", "day", F.explode(F.expr(hosts)).alias("suffix"), F.expr(paths).alias("paths"))
     keyed = keyed.select("id", "url", "day", F.explode(F.expr("transform(paths, p -> suffix || p)")).alias("rule"))
-    met = keyed.join(validity(entries), "rule").where("day >= valid_from and (valid_to is null or day < valid_to)")
+    met = keyed.join(validity(entries), "rule").where("day >= valid_from and (valid_to is null or day < valid_to) and action in ('block', 'allow')")
     best = met.groupBy("id", "url", "day").agg(F.max(F.struct(F.length("rule"), F.col("rule").alias("rule"), F.col("category").alias("category"), F.col("action").alias("action"), F.col("valid_from").alias("listed_on"))).alias("e"))
-    best = best.where("e.action in ('block', 'allow')")
     out = base.alias("a").join(best.alias("b"), F.expr("a.id <=> b.id and a.url = b.url and a.day = b.day"), "left")
     return out.select(F.col("a.id").alias(id_col), "a.host", F.col("a.day").alias("fetched_on"), F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"), F.col("e.rule").alias("rule"), F.col("e.category").alias("category"), F.col("e.listed_on").alias("listed_on"))

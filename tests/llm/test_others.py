@@ -81,6 +81,13 @@ def test_url_filter_matches_the_plain_version(spark):
     assert url_filter(df.limit(0), listed).count() == 0 and not any(r.blocked for r in url_filter(df, listed.limit(0)).collect())
 
 
+def test_url_filter_an_ended_longer_rule_hides_no_shorter_one(spark):
+    entries = [("farm.example", "x", "block", "2024-01-05"), ("www.farm.example", "x", "allow", "2024-01-10"), ("www.farm.example", "x", "remove", "2024-01-15"), ("farm.example/a", "y", "allow", "2024-01-06"), ("farm.example/a", "y", "remove", "2024-01-08")]
+    rows = [(1, "http://www.farm.example/", "2024-01-07"), (2, "http://www.farm.example/", "2024-01-12"), (3, "http://www.farm.example/", "2024-01-20"), (4, "http://farm.example/a", "2024-01-07"), (5, "http://farm.example/a", "2024-01-09")]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string, fetched_on string"), spark.createDataFrame(entries, LIST_SCHEMA)).collect()
+    assert sorted((r.page_id, r.blocked, r.rule) for r in got) == [(1, True, "farm.example"), (2, False, "www.farm.example"), (3, True, "farm.example"), (4, False, "farm.example/a"), (5, True, "farm.example")]
+
+
 def test_license_rules(spark):
     mit = SENTENCES[11] + "\n\n" + SENTENCES[12] + "."
     wrapped = mit.replace(" copies ", "\ncopies ").replace(" without ", "\n  without ")
