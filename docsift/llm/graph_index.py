@@ -6,8 +6,9 @@ pruning keeps a few diverse ones: a candidate goes if a kept one is nearer to it
 factor ``alpha``, than the new vector is. Kept edges are also offered in reverse, and lists
 that overflow are pruned again. A query is answered by a beam search over every shard.
 
-An extra component brings all vectors to one length, which makes the largest inner product
-the smallest distance. Equal vectors are one node, which holds the least of their ids: as
+An extra component brings the vectors of a shard to one length, which makes the largest inner
+product the smallest distance. Vectors of very different lengths lie in different shards, so
+that a shard's longest one leaves the distances between the others large enough to tell. Equal vectors are one node, which holds the least of their ids: as
 many as a result can name, so none is missed.
 """
 
@@ -30,6 +31,7 @@ ALPHA = 1.2
 BATCH = 256
 STEP = 4
 ENTRIES = 16
+BAND = 4  # a shard's lengths differ by at most so many powers of two
 INDEX_SCHEMA = "shard int, node int, ids array<long>, embedding array<double>, neighbors array<int>"
 
 
@@ -143,9 +145,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _level(v: np.ndarray, largest: float) -> np.ndarray:
-    """Vectors scaled to at most 1, with the component that makes their length 1."""
-    v = v / np.sqrt(largest)
+def _level(v: np.ndarray) -> np.ndarray:
+    """Vectors scaled so that the longest has length 1, with the component that makes their length 1."""
+    v = v / np.abs(v).max()
+    v = v / np.sqrt((v * v).sum(axis=1).max())
     return np.concatenate([v, np.sqrt(np.maximum(0.0, 1 - (v * v).sum(axis=1)))[:, None]], 1).astype(np.float32)
 
 
@@ -155,35 +158,42 @@ def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
     return vectors.where(f"{v} is not null and size({v}) > 0 and forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({v}, x -> x <> 0)")
 
 
-def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, int, float, int]:
-    """(index table, shards, largest square of a length, dimensions) over every usable vector.
+def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, int, int]:
+    """(index table, shards, dimensions) over every usable vector.
 
     Only vectors of the commonest number of components are indexed; of equally common ones, the least.
     """
     good = usable(vectors, vector_col).where(f"`{id_col}` is not null").select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")).alias("m")).orderBy(F.desc("c"), "d").limit(1).collect()
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").limit(1).collect()
     if not sizes:
-        return tables.write(tables.spark.createDataFrame([], INDEX_SCHEMA)), 0, 1.0, 0
-    dimensions, largest = sizes[0]["d"], float(sizes[0]["m"])
+        return tables.write(tables.spark.createDataFrame([], INDEX_SCHEMA)), 0, 0
+    dimensions = sizes[0]["d"]
     good = good.where(F.size("v") == dimensions).withColumn("h", F.xxhash64("v"))
     least = Window.partitionBy("h", "v").orderBy("id")
     nodes = good.withColumn("rn", F.dense_rank().over(least)).where(F.col("rn") <= k + 1)
-    nodes = tables.write(nodes.groupBy("h", "v").agg(F.sort_array(F.collect_set("id")).alias("ids")))
-    shards = max(1, -(-nodes.count() // shard_vectors))
+    nodes = nodes.groupBy("h", "v").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("most", F.expr("array_max(transform(v, x -> abs(x)))"))
+    length = "log2(most) + log2(aggregate(v, 0D, (s, x) -> s + (x / most) * (x / most))) / 2"  # no squares of the components themselves, which overflow
+    nodes = tables.write(nodes.withColumn("band", F.expr(f"cast(round(({length}) / {BAND}) as int)")).drop("most"))
+    shards, of, first = 0, [], []
+    for band, n in sorted(nodes.groupBy("band").count().collect()):  # as many as a double's exponent has bands
+        some = -(-n // shard_vectors)
+        of += [F.lit(band), F.lit(some)]
+        first += [F.lit(band), F.lit(shards)]
+        shards += some
 
     def build(key, group):
         h = group.column("h").to_numpy()
         group = group.take(pa.array(np.argsort(h, kind="stable")))  # the same order at every attempt
-        graph, _ = build_graph(_level(_matrix(group.column("v")), largest))
+        graph, _ = build_graph(_level(_matrix(group.column("v"))))
         n = group.num_rows
         lists = pa.array([row[row >= 0].astype(np.int32) for row in graph], pa.list_(pa.int32()))
         return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), group.column("ids"), group.column("v"), lists], ["shard", "node", "ids", "embedding", "neighbors"])
 
-    placed = nodes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(h), {shards}) as int)"))
-    return tables.write(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, largest, dimensions
+    placed = nodes.withColumn("shard", (F.create_map(*first)[F.col("band")] + F.pmod(F.xxhash64("h"), F.create_map(*of)[F.col("band")])).cast("int")).drop("band")
+    return tables.write(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, dimensions
 
 
-def search(index: DataFrame, shards: int, largest: float, dimensions: int, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
+def search(index: DataFrame, shards: int, dimensions: int, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each usable query, without its own id."""
     spark = index.sparkSession
     if not shards:
@@ -200,7 +210,7 @@ def search(index: DataFrame, shards: int, largest: float, dimensions: int, queri
             return empty
         nodes = nodes.take(pa.array(np.argsort(nodes.column("node").to_numpy())))
         original, ids = _matrix(nodes.column("embedding")), nodes.column("ids").to_pylist()
-        x = _level(original, largest)
+        x = _level(original)
         graph = np.full((len(x), DEGREE), -1, np.int64)
         for row, near in enumerate(nodes.column("neighbors").to_pylist()):
             graph[row, : len(near)] = near
@@ -234,5 +244,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     vectors in double precision. Empty tables give an empty result.
     """
     tables = Tables(vectors.sparkSession, "graph_index")
-    index, shards, largest, dimensions = build_index(vectors, k, tables, id_col, vector_col)
-    return search(index, shards, largest, dimensions, queries, k, id_col, vector_col)
+    index, shards, dimensions = build_index(vectors, k, tables, id_col, vector_col)
+    return search(index, shards, dimensions, queries, k, id_col, vector_col)

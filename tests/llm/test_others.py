@@ -137,6 +137,18 @@ def test_nearest_finds_nearly_all(spark, monkeypatch):
     assert len(recall) == 75 and np.mean(recall) > 0.95
 
 
+def test_nearest_beside_vectors_of_other_lengths(spark):
+    r = np.random.default_rng(2)
+    vectors = {i: v / np.linalg.norm(v) for i, v in enumerate(r.normal(size=(1500, 16)))}
+    vectors[7] = vectors[7] * 1e5
+    vectors |= {2000 + i: v * 1e-3 for i, v in enumerate(r.normal(size=(30, 16)))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for x in nearest(df, df.where("vec_id % 20 = 0"), k=10).collect():
+        found.setdefault(x.query_id, set()).add(x.vec_id)
+    assert len(found) == 77 and np.mean([len(hits & set(brute(vectors, q, 10))) / 10 for q, hits in found.items()]) > 0.95
+
+
 def test_nearest_of_ties_and_unusable_vectors(spark):
     same = [1.0, 0.0]
     rows = [(i, same) for i in range(40)] + [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [None, 1.0]), (180, [float("inf"), 1.0]), (200, []), (220, [1.0, 2.0, 3.0]), (None, same), (300, [0.0, 1.0]), (0, same)]
