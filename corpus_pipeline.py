@@ -18,12 +18,12 @@ from docsift.llm.shared import Tables, table
 from docsift.llm.substring_dedup import removals
 
 #: Below this cosine with every language a text is rejected. At 0 only texts without letters
-#: go: short clean texts, and languages without labels, have low scores too.
+#: go: short clean texts, and languages without labels, have low scores too. README has scores.
 MIN_LANGUAGE_SCORE = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, null ones too, and those below the least score; learns from the rows with a language."""
+    """Rejects texts without letters, null ones too, and those below the least score; learns from the rows with a language. Without such rows no text with letters goes."""
     return keep_identified(docs, prototypes(docs), MIN_LANGUAGE_SCORE)
 
 

@@ -146,13 +146,19 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
 
 
 def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with at least that score."""
+    """The rows of ``docs``, with all their columns, whose language is known with at least that score.
+
+    Where no language is known, all rows whose text has letters.
+    """
     names = sorted(known)
     protos, dimensions = _matrix(known, names)
     at = docs.columns.index(text_col)
 
     def keep(batches):
         for batch in batches:
+            if not names:
+                yield batch.filter(pa.array(_lettered(batch.column(at).cast(pa.string())), pa.bool_()))
+                continue
             langs, scores = _predictions(batch.column(at).cast(pa.string()), names, protos, dimensions)
             yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
@@ -167,6 +173,10 @@ def _matrix(known: dict[str, np.ndarray], names: list[str]) -> tuple[np.ndarray,
     return np.stack([known[n] / max(np.linalg.norm(known[n]), 1e-12) for n in names]).astype(np.float32), dimensions
 
 
+def _lettered(column: pa.Array) -> list[bool]:
+    return [some for _, texts in _chunks(column, 64) for some in (np.bincount(_grams(texts)[1], minlength=len(texts)) > 0).tolist()]
+
+
 def _predictions(column: pa.Array, names: list[str], protos: np.ndarray, dimensions: int) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for _, texts in _chunks(column, 64):

@@ -1,5 +1,7 @@
 import importlib
 
+from pyspark.sql import functions as F
+
 from .helpers import awkward, documents, linked, prose, removed
 from .test_tokens import check_pieces
 
@@ -54,6 +56,13 @@ def test_each_stage_does_what_its_brute_force_version_does(spark):
     check_pieces(stages().packing(spark, four.coalesce(1), SF).collect(), list(got.items()), 1024, 0.1)
 
 
+def test_texts_with_letters_stay_where_no_language_is_known(spark):
+    docs = documents(spark, [*awkward(), (None, "hello there")])
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = stages().language_id(spark, unlabelled, SF)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in [None, *range(1, 18)] if i not in (4, 5, 6, 15, 16))
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     t = prose(3, 60)
     docs = documents(spark, [(1, t), (1, t), (None, t), (None, "some other words here"), (None, "some other words here")])
