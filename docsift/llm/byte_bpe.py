@@ -8,26 +8,36 @@ backwards. Appending bytes only extends the table, and after an edit only the pr
 the edit lies in are computed anew.
 
 A text is split by the tokenizer's pattern and each match encoded by itself. Matches recur,
-so a process keeps the ids of those seen, up to a bound.
+so a process keeps what those seen lately encode to, up to a bound. The pattern library's
+Unicode tables may be of another version than the tokenizer library's; code points that the
+two class differently are found at the start, and matched as what the latter takes them for.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
-from itertools import chain
+import re
+from array import array
+from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.arrays import releasing
 from docsift.llm.shared import small_batches
 
-CACHED_MATCHES = 200_000
+CACHED_MATCHES = 150_000
 CACHED_PAIRS = 400_000
+PIECE_CHARS = 1 << 20
+WIDTHS = (8, 16, 32)
+CUT = re.compile(r"[0-9A-Za-z.,;:!?](?=[ \n])")
 _CODECS: dict = {}
 
 
@@ -158,28 +168,105 @@ class PrefixEncoder:
 
 
 class Codec(dict):
-    """Encodes and decodes texts; as a dictionary it holds the ids of matches seen."""
+    """Encodes and decodes texts; as a dictionary it holds what matches seen lately encode to.
+
+    A match's entry is its ids as 32-bit integers in bytes, so a text's ids are joined, written in
+    decimals and decoded without an object for each token.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.find = regex.compile(pattern).findall
-        self.text_of = {i: str(i) for i in ranks.values()}
-
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        data = match.encode("utf-8", "replace")
-        whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else self.vocabulary.encode(data)
+        self.places = regex.compile(pattern).finditer
+        self.stand_ins = stand_ins()
+        self.odd = set(map(chr, self.stand_ins))
+        self.before: dict = {}  # the entries of the last generation
+        self.whole = {}
+        for token, i in ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):
+                self.whole[token.decode()] = array("i", [i]).tobytes()
+        # what each id stands for, in so many bytes, the rest of them zeros: its digits and a comma, and its own bytes
+        most = max(ranks.values(), default=0)
+        self.decimals = np.array([f"{i},".encode() for i in range(most + 1)], "S8" if most < 10**7 else "S16")
+        own = [self.vocabulary.bytes_of.get(i, b"") for i in range(most + 1)]
+        self.sizes = np.array([len(b) if b"\0" not in b else WIDTHS[-1] + 1 for b in own])
+        self.own = [np.array([b if len(b) <= width else b"" for b in own], f"S{width}") for width in WIDTHS]
+
+    def __missing__(self, match: str) -> bytes:
+        entry = self.whole.get(match) or self.before.get(match)
+        if entry is None:
+            entry = array("i", self.vocabulary.encode(match.encode("utf-8", "replace"))).tobytes()
         if len(match) <= 64:
             if len(self) >= CACHED_MATCHES:
+                self.before = dict(self)
                 self.clear()
-            self[match] = ids
-        return ids
+            self[match] = entry
+        return entry
+
+    def matches(self, text: str) -> list[str]:
+        """The pattern's matches as the tokenizer library makes them, whose Unicode tables are of another version."""
+        try:
+            text.encode("latin-1")  # quickly tells most texts without any
+        except UnicodeEncodeError:
+            if not self.odd.isdisjoint(set(text)):
+                return [text[m.start() : m.end()] for m in self.places(text.translate(self.stand_ins))]
+        return self.find(text)
+
+    def ids(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text, piece by piece."""
+        for piece in pieces(text):
+            yield np.frombuffer(b"".join(map(self.__getitem__, self.matches(piece))), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        return np.concatenate(list(self.ids(text))).tolist()
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        """The bytes of tokens, by a table of a width that holds them all; the few that fit none, or hold a zero, one by one."""
+        ids = np.asarray(ids, np.int64)
+        longest = int(self.sizes[ids].max()) if len(ids) else 0
+        for width, own in zip(WIDTHS, self.own, strict=True):
+            if longest <= width:
+                return own[ids].tobytes().translate(None, b"\0")
+        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids.tolist()))
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, digest of the decimal ids joined by commas, digest of the bytes decoded from them)."""
+        n, decimal, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in self.ids(text):
+            digits = self.decimals[ids].tobytes().translate(None, b"\0")
+            decimal.update(b"," + digits[:-1] if n else digits[:-1])
+            decoded.update(self.decode(ids))
+            n += len(ids)
+        return n, decimal.hexdigest(), decoded.hexdigest()
+
+
+def pieces(text: str) -> Iterator[str]:
+    """Parts of a long text that encode as the whole does: cut before a blank after something else, where no match goes on."""
+    start = 0
+    while len(text) - start > PIECE_CHARS:
+        cut = CUT.search(text, start + PIECE_CHARS)
+        if not cut:
+            break
+        yield text[start : cut.start() + 1]
+        start = cut.start() + 1
+    yield text[start:] if start else text
+
+
+def stand_ins() -> dict[int, int]:
+    """Code points that the tokenizer library classes otherwise than the pattern library, each with one of the class that it has there."""
+    if "stand_ins" not in _CODECS:
+        points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        ranks, classes = {bytes([b]): b for b in range(256)}, []
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            probe = tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=ranks, special_tokens={})
+            classes.append((set(bytes(probe.encode_ordinary(points)).decode()), set(regex.findall(name, points))))
+        table: dict[int, int] = {}
+        for (theirs, ours), like in zip(classes, "a1 ", strict=True):
+            table |= {ord(c): ord(like) for c in theirs - ours}
+        for theirs, ours in classes:
+            table |= {ord(c): 0xE000 for c in ours - theirs if ord(c) not in table}
+        _CODECS["stand_ins"] = table
+    return _CODECS["stand_ins"]
 
 
 def codec(rank_file: str, pattern: str) -> Codec:
@@ -229,14 +316,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     def run(batches):
         c = codec(rank_file, pattern)
-        decimal = c.text_of.__getitem__
         for batch in batches:
-            counts, shas, decoded = [], [], []
-            for k in range(batch.num_rows):
-                ids = c.encode(batch.column(1)[k].as_py() or "")
-                counts.append(len(ids))
-                shas.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            rows = [c.digests(batch.column(1)[k].as_py() or "") for k in range(batch.num_rows)]
+            counts, shas, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs, id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

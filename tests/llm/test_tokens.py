@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from docsift.llm import byte_bpe
 from docsift.llm.byte_bpe import PrefixEncoder, codec, decode_ids, encode_texts, round_trip
 from docsift.llm.packing import cuts, pack
 from docsift.llm.token_counts import count_huge, token_counts, tokenizer
@@ -39,6 +40,25 @@ def test_encoding_agrees_with_the_library(reference):
         assert c.decode(ids) == text.encode()
 
 
+def test_every_code_point_is_split_as_the_library_does(reference):
+    c = codec(MULTI, P.PATTERN)
+    points = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x110000))]
+    for form in ("a{0}1{0} {0}", " {0}a .{0}'s{0}\n"):
+        for lo in range(0, len(points), 50_000):
+            text = "".join(form.format(x) for x in points[lo : lo + 50_000])
+            assert c.encode(text) == reference.encode_ordinary(text)
+
+
+def test_long_texts_are_encoded_in_pieces(reference, monkeypatch):
+    c = codec(MULTI, P.PATTERN)
+    texts = [noise(s, 400) for s in range(100)] + [" ".join(noise(s, 30) for s in range(50)), "a" * 3000, "\n" * 3000, "a b" * 500, "漢字 " * 400, "\0" * 50]
+    monkeypatch.setattr(byte_bpe, "PIECE_CHARS", 7)
+    for text in texts:
+        ids = reference.encode_ordinary(text)
+        assert c.digests(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert c.decode(ids) == text.encode()
+
+
 def test_appends_and_edits_give_the_encoding_of_the_whole():
     v, r = codec(MULTI, P.PATTERN).vocabulary, random.Random(2)
     for s in range(60):
