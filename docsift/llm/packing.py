@@ -1,8 +1,9 @@
 """Packing documents into windows of a fixed number of tokens, in order, by dynamic programming.
 
-The documents of a partition form one stream of ids. Windows are cut at document ends, at
-sentence ends or, where sentences are very long, in between, at every STRIDE-th token. The cost of a window is its
-padding plus the penalty of its last cut; the least total over the stream is found with
+The documents of a partition form one stream of ids. Windows are cut at document ends or at
+sentence ends; only within a sentence that no window holds also in between, at every STRIDE-th
+token. The cost of a window is its padding plus the penalty of its last cut; the least total
+over the stream is found with
 
     f[j] = penalty[j] + size - pos[j] + min(f[i] + pos[i])   over pos[j] - size <= pos[i] < pos[j]
 
@@ -14,6 +15,7 @@ cheaper.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 
@@ -33,6 +35,9 @@ INNER_PENALTY = 8.0
 STRIDE = 8
 STREAM_TOKENS = 1 << 20
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Runs of the blanks that the pattern's \\s stands for.
+HUGE = 1 << 15
+HUGE_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % HUGE)
 _ENCODINGS: dict = {}
 
 
@@ -49,14 +54,34 @@ def encoding(rank_file: str, pattern: str, end_text: str, end_id: int) -> tuple[
     return _ENCODINGS[key]
 
 
+def token_ids(enc: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a whole text, in which the special strings are special tokens.
+
+    The library's pattern backtracks over each run of blanks and fails on huge ones. Such a run
+    is one match, but for its last blank where something else follows: that belongs to what follows.
+    So it is encoded by itself, and the texts around it as usual.
+    """
+    parts, start = [], 0
+    for run in HUGE_BLANKS.finditer(text) if len(text) >= HUGE else ():
+        last = run.end() == len(text) or any(text.startswith(s, run.end()) for s in enc.special_tokens_set)
+        end = run.end() if last else run.end() - 1
+        parts += [enc.encode_to_numpy(text[start : run.start()], allowed_special="all"), np.array(enc._encode_single_piece(text[run.start() : end]), np.uint32)]
+        start = end
+    parts.append(enc.encode_to_numpy(text[start:] if start else text, allowed_special="all"))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def cuts(ends: np.ndarray, doc_ends: np.ndarray, size: int, sentence: float = SENTENCE_PENALTY, inner: float = INNER_PENALTY, stride: int = STRIDE) -> list[int]:
-    """Window ends of a stream. ends: positions after sentences, doc_ends: after documents, both ascending."""
+    """Window ends of a stream. ends: positions after sentences, doc_ends: after documents, both ascending.
+
+    Sentences longer than ``size`` may be cut at every ``stride``-th token as well, at the penalty ``inner``.
+    """
     if not len(doc_ends):
         return []
     total = int(doc_ends[-1])
     marks = np.union1d(ends, doc_ends)
     gaps = np.diff(marks, prepend=0)
-    wide = np.flatnonzero(gaps > 2 * stride)
+    wide = np.flatnonzero(gaps > size)
     if len(wide):
         marks = np.union1d(marks, np.concatenate([np.arange(marks[k] - gaps[k] + stride, marks[k], stride) for k in wide]))
     marks = marks[marks > 0]
@@ -119,7 +144,7 @@ def _pack(rank_file: str, pattern: str, end_text: str, end_id: int, stop_id: int
         for batch in batches:
             kind = batch.schema.field(0).type
             for k in range(batch.num_rows):
-                tokens = enc.encode_to_numpy(batch.column(1)[k].as_py() or "", allowed_special="all")
+                tokens = token_ids(enc, batch.column(1)[k].as_py() or "")
                 streams.append(np.append(tokens, np.uint32(stop_id)))
                 ids.append(batch.column(0)[k].as_py())
                 held += len(streams[-1])
@@ -137,11 +162,13 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, end_text: str = "<|endof
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text (null: empty), where end_text stands for
-    end_id, then stop_id. Each lies in exactly one piece; the pieces of a sequence follow
+    end_id, then stop_id. They are the ids that the tokenizers library makes with the JSON file
+    of the same vocabulary. Each lies in exactly one piece; the pieces of a sequence follow
     each other from offset 0 and fill at most ``size`` ids. Rows are packed in the order of
     their partition, in streams of about a million ids, so a partition of any size needs
-    little memory and only the last sequence of a stream can be much padded. Repeated rows
-    and null ids are packed like others. sequence_id tells partitions apart by its high bits.
+    little memory and only the last sequence of a stream can be much padded. Very long texts
+    are encoded whole, whatever they consist of, and lie in as many sequences as they fill.
+    Repeated rows and null ids are packed like others; other columns are ignored. sequence_id tells partitions apart by its high bits.
     An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from docsift.llm import byte_bpe
 from docsift.llm.byte_bpe import PrefixEncoder, codec, decode_ids, encode_texts, round_trip
-from docsift.llm.packing import cuts, pack
+from docsift.llm.packing import cuts, encoding, pack, token_ids
 from docsift.llm.token_counts import count_huge, token_counts, tokenizer
 
 from .helpers import awkward, documents, prose
@@ -113,7 +113,7 @@ def least_cost(ends, doc_ends, size, sentence, inner, stride):
     total = int(doc_ends[-1])
     marks = set(ends.tolist()) | set(doc_ends.tolist())
     for a, b in zip([0, *sorted(marks)], sorted(marks), strict=False):
-        if b - a > 2 * stride:
+        if b - a > size:
             marks |= set(range(a + stride, b, stride))
     marks = sorted(m for m in marks if m > 0)
     pen = {m: 0.0 if m in set(doc_ends.tolist()) else sentence if m in set(ends.tolist()) else inner for m in marks}
@@ -163,6 +163,22 @@ def check_pieces(rows, docs, size, padding):
     assert lost <= padding * total
 
 
+def test_packing_ids_are_the_tokenizers_librarys():
+    enc = encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, "<|endoftext|>", 50256)[0]
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    points = [*map(chr, range(0xD800)), *map(chr, range(0xE000, 0x110000))]
+    texts = ["".join(form.format(x) for x in points[lo : lo + 100_000]) for form in ("a{0}1{0} {0}", " {0}a .{0}'s{0}\n") for lo in range(0, len(points), 100_000)]
+    runs = [" " * 2_000_000, "\n" * 2_000_000, "a" * 500_000, "!" * 500_000, "\u3000" * 100_000]
+    texts += [a + run + b for run in runs for a, b in (("", ""), ("x", "y z"), ("x ", "\n"), ("", "<|endoftext|>z"), ("<|endoftext|>", " <|endoftext|>"), ("\x1c", "\x1c"))][:24] + ["a" + "\n" * 50_000 + " b" + " " * 50_000 + "c" + "\t" * 40_000]
+    for text in texts:
+        assert token_ids(enc, text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_huge_blank_runs(spark):
+    docs = [(1, " " * 1_500_000), (2, "word"), (3, "\n" * 1_200_000 + "end")]
+    check_pieces(pack(documents(spark, docs).coalesce(1), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect(), docs, 1024, 0.02)
+
+
 def test_packing_is_whole_and_tight(spark):
     docs = awkward() + [(200 + k, prose(k, 20 + 40 * k) + ".\nNext one. And so on.") for k in range(40)]
     ranks = P.path("byte_bpe_50k.tiktoken")
