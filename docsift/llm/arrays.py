@@ -78,10 +78,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(~space & last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """A hash of each word's bytes; those of two bases are independent."""
+    inverse = INVERSE if base == BASE else U(pow(int(base), -1, 2**64))
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(INVERSE, len(data)), out=sums[1:])
-    return mix(((sums[ends] - sums[starts]) * powers(BASE, len(data) + 1)[starts]) ^ mix((ends - starts).astype(U)))
+    np.cumsum((data.astype(U) + U(1)) * powers(inverse, len(data)), out=sums[1:])
+    return mix(((sums[ends] - sums[starts]) * powers(base, len(data) + 1)[starts]) ^ mix((ends - starts).astype(U) + (base - BASE)))
 
 
 def windows(hashes: np.ndarray, length: int, base: np.uint64 = BASE) -> np.ndarray:

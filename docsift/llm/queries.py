@@ -83,7 +83,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op6_graph_index": op6_graph_index, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}

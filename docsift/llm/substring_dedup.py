@@ -17,10 +17,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.arrays import U, mix, releasing, text_slices, windows, word_hashes, words
+from docsift.llm.arrays import U, releasing, text_slices, windows, word_hashes, words
 from docsift.llm.shared import Tables
 
 WINDOW_WORDS = 50
@@ -50,7 +50,7 @@ def _profile(length: int, gram: int):
     def run(batches):
         for batch in batches:
             n_words, digests, lists = [], [], []
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
                 starts, ends, doc = words(data, offsets)
                 least, at = _minimizers(word_hashes(data, starts, ends), doc, length, gram)
                 of = doc[at]
@@ -63,18 +63,18 @@ def _profile(length: int, gram: int):
                 raw = data.tobytes()
                 digests += [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             if digests:
-                yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(digests), pa.concat_arrays(lists)], ["id", "n_words", "sha", "minimizers"])
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(digests), pa.concat_arrays(lists)], ["id", "th", "n_words", "sha", "minimizers"])
 
     return run
 
 
 def _shared_windows(length: int, gram: int):
-    """Windows whose minimizer is in the document's list: start and two independent hashes."""
+    """Windows whose minimizer is in the document's list: start and two hashes, made of independent hashes of the words."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            lists = batch.column(3)
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
                 starts, ends, doc = words(data, offsets)
                 h = word_hashes(data, starts, ends)
                 least, at = _minimizers(h, doc, length, gram)
@@ -89,9 +89,9 @@ def _shared_windows(length: int, gram: int):
                         wanted[a:b] = np.isin(least[a:b], lists[lo + k].values.to_numpy(zero_copy_only=False).view(U))
                 at, of = at[wanted], of[wanted]
                 if len(at):
-                    check = (windows(mix(h ^ U(0xA5A5A5A5)), length, SECOND_BASE)[at] >> U(32)).astype(np.uint32).view(np.int32)
-                    ids = batch.column(0).take(pa.array(of + lo))
-                    yield pa.record_batch([ids, pa.array((at - first[of]).astype(np.int32)), pa.array(windows(h, length)[at].view(np.int64)), pa.array(check)], ["id", "start", "hash", "check"])
+                    check = (windows(word_hashes(data, starts, ends, SECOND_BASE), length, SECOND_BASE)[at] >> U(32)).astype(np.uint32).view(np.int32)
+                    rows, ids = (batch.column(k).take(pa.array(of + lo)) for k in (0, 1))
+                    yield pa.record_batch([rows, ids, pa.array((at - first[of]).astype(np.int32)), pa.array(windows(h, length)[at].view(np.int64)), pa.array(check)], ["row", "id", "start", "hash", "check"])
 
     return run
 
@@ -101,7 +101,7 @@ def _remove(length: int):
 
     def run(batches):
         for batch in batches:
-            texts, starts = batch.column(1), batch.column(2)
+            texts, starts = batch.column(2), batch.column(3)
             counts, kept, digests, spans = [], [], [], []
             for i in range(batch.num_rows):
                 data = (texts[i].as_py() or "").encode("utf-8", "surrogatepass")
@@ -119,51 +119,60 @@ def _remove(length: int):
                 kept.append(rest.decode("utf-8", "surrogatepass"))
                 digests.append(hashlib.sha256(b" ".join(rest.split())).hexdigest())
                 spans.append([{"start": a, "end": b} for a, b in zip(lows.tolist(), highs.tolist(), strict=True)])
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "n_removed", "kept_text", "kept_sha", "spans"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "th", "n_removed", "kept_text", "kept_sha", "spans"])
 
     return run
 
 
+def text_key(text: Column) -> Column:
+    """What tells the texts of an id apart: the digest of the bytes, null counting as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(all documents: id, n_words, words_sha; those that lose words: id, n_removed, kept_text, kept_sha, spans).
-
-    words_sha and kept_sha are digests of all words, and of those left, joined by one space.
-    kept_text is the text without the words and the blanks after them. spans are half-open intervals
-    of word positions, maximal and in order. Null texts have no words. A document with fewer
-    words than a window loses none. Windows are judged on the input: a removed window still
-    counts as an earlier occurrence. Rows with a null id neither lose words nor make others
-    lose any. Rows that repeat an id are one document to the rule: windows they share do not
-    count as repeated, and each row is listed; rows with one id should hold one text.
+    """(all documents: id, th, n_words, words_sha; those that lose words: id, th, n_removed, kept_text, kept_sha, spans).
+
+    th is ``text_key`` of the text. words_sha and kept_sha are digests of all words, and of
+    those left, joined by one space. kept_text is the text without the words and the blanks
+    after them. spans are half-open intervals of word positions, maximal and in order. Null texts
+    have no words. A document with fewer words than a window loses none. Windows are judged on
+    the input: a removed window still counts as an earlier occurrence. Rows with a null id neither
+    lose words nor make others lose any. An id's rows are no earlier documents to each other: of
+    rows that repeat an id and its text each is listed among all documents, and one among those
+    that lose words; where an id has several texts, each is judged by itself. Other columns are
+    ignored, whatever their names.
     """
     tables = Tables(docs.sparkSession, "substring_dedup")
-    text = F.col(text_col).cast("string").alias("text")
+    text = F.col(text_col).cast("string")
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), text)
-    profile = tables.write(source.mapInArrow(releasing(_profile(length, gram)), f"id {id_type}, n_words long, sha string, minimizers array<long>"))
+    source = docs.select(F.col(id_col).alias("id"), text_key(text).alias("th"), text.alias("text"))
+    profile = tables.write(source.mapInArrow(releasing(_profile(length, gram)), f"id {id_type}, th binary, n_words long, sha string, minimizers array<long>"))
 
     # whole word sequences first: all but the first document of each are covered
     known = profile.where(f"id is not null and n_words >= {length}")
     leaders = tables.write(known.groupBy("sha").agg(F.min("id").alias("first")))
-    marked = tables.write(known.join(leaders, "sha").select("id", "n_words", (F.col("id") > F.col("first")).alias("copy"), "minimizers"))
-    rows = marked.where("not copy").select("id", F.explode(F.array_distinct("minimizers")).alias("m"))
+    marked = tables.write(known.join(leaders, "sha").select("id", "th", "n_words", (F.col("id") > F.col("first")).alias("copy"), "minimizers"))
+    rows = marked.where("not copy").select("id", "th", F.explode(F.array_distinct("minimizers")).alias("m"))
     repeated = tables.write(rows.groupBy("m").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("m"))
-    lists = rows.join(repeated, "m").groupBy("id").agg(F.collect_list("m").alias("ms"))
-    open_ = tables.write(source.join(lists, "id").dropDuplicates(["id"]), wide=True)
+    lists = rows.join(repeated, "m").groupBy("id", "th").agg(F.collect_set("m").alias("ms"))
+    open_ = source.join(lists, ["id", "th"]).dropDuplicates(["id", "th"]).select(F.monotonically_increasing_id().alias("row"), "id", "text", "ms", "th")
+    open_ = tables.write(open_, wide=True)  # so that a row's number never changes
 
-    found = open_.mapInArrow(releasing(_shared_windows(length, gram)), f"id {id_type}, start int, hash long, check int")
+    found = open_.drop("th").mapInArrow(releasing(_shared_windows(length, gram)), f"row long, id {id_type}, start int, hash long, check int")
     found = tables.write(found)
     earliest = tables.write(found.groupBy("hash", "check").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "check", "low"))
-    covered = found.join(earliest, ["hash", "check"]).where("id > low").select("id", "start")
-    covered = tables.write(covered.groupBy("id").agg(F.collect_set("start").alias("starts")))
+    covered = found.join(earliest, ["hash", "check"]).where("id > low").select("row", "start")
+    covered = tables.write(covered.groupBy("row").agg(F.collect_set("start").alias("starts")))
     tables.drop(leaders, repeated, found, earliest)
-    partly = open_.select("id", "text").join(covered, "id").mapInArrow(releasing(_remove(length)), f"id {id_type}, n_removed long, kept_text string, kept_sha string, spans array<struct<start:bigint,end:bigint>>")
-    whole = marked.where("copy").select("id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), F.lit(EMPTY_SHA).alias("kept_sha"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct()
-    return profile.select("id", "n_words", F.col("sha").alias("words_sha")), partly.unionByName(whole)
+    partly = open_.select("row", "id", "th", "text").join(covered, "row").select("id", "th", "text", "starts")
+    partly = partly.mapInArrow(releasing(_remove(length)), f"id {id_type}, th binary, n_removed long, kept_text string, kept_sha string, spans array<struct<start:bigint,end:bigint>>")
+    whole = marked.where("copy").select("id", "th", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"), F.lit(EMPTY_SHA).alias("kept_sha"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct()
+    return profile.select("id", "th", "n_words", F.col("sha").alias("words_sha")), partly.unionByName(whole)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_removed, kept_sha256; see ``removals``."""
+    """One row per row of ``docs``: id, n_words, n_removed, kept_sha256; see ``removals``. An empty table gives an empty result."""
     every, lost = removals(docs, id_col, text_col, length)
-    lost = lost.select("id", "n_removed", F.col("kept_sha").alias("kept"))
-    out = every.join(lost, "id", "left")
+    lost = lost.select("id", "th", "n_removed", F.col("kept_sha").alias("kept"))
+    out = every.join(lost, ["id", "th"], "left")
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "words_sha").alias("kept_sha256"))

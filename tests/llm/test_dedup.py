@@ -106,21 +106,57 @@ def test_jaccard_join_matches_all_pairs(spark):
 
 
 def test_jaccard_join_of_large_groups_by_blocks_and_deep_paths(spark, monkeypatch):
-    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 500)
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 1500)
+    monkeypatch.setattr(jj, "BLOCK_SETS", 25)
     base = prose(4, 80).split()
     texts = {i: " ".join([*base[: i % 60], f"w{i}", *base[i % 60 + 1 :]]) for i in range(90)}
     texts |= {1000 + i: " ".join(base[:20]) + " " + prose(500 + i, 60) for i in range(30)}
-    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(documents(spark, texts.items()), runs=24, bucket=8).collect()}
-    assert got == linked(texts, 5, 0.8)
-
-
-def test_similar_pairs_agree_by_either_way():
+    texts |= {2000 + i: f"all of these begin with seven words w{i % 35}" for i in range(40)}
+    for kept in (0.7, 2.0):  # with and without leaves that are not worth splitting
+        monkeypatch.setattr(jj, "KEPT", kept)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(documents(spark, texts.items()), recall=1 - 1e-12, bucket=8).collect()}
+        assert got == linked(texts, 5, 0.8)
+
+
+def test_runs_follow_the_recall_asked_for():
+    assert jj.runs_for(0.99999) == 5 and jj.runs_for(0.9) == 1 and jj.runs_for(0.9, branch=1) > 4
+    assert jj.runs_for(0.99999, similarity=0.5) > jj.runs_for(0.99999, similarity=0.8)
+
+
+def test_the_recall_of_links_at_the_threshold(spark):
+    texts, r = {}, random.Random(8)
+    for k in range(150):  # pairs of 54 and 48 shingles, 46 of them common: 0.82; and at 0.9
+        words = prose(3000 + k, 58).split()
+        texts[10 * k] = " ".join(words)
+        texts[10 * k + 1] = " ".join(words[4:54] + [f"x{r.random()}", "y"])
+        texts[10 * k + 2] = " ".join(words[:57] + [f"x{r.random()}"])
+    want = linked(texts, 5, 0.8)
+    total = sum(x[1] for x in want.values())
+    for recall, least in ((0.9, 0.9), (0.99999, 1.0)):
+        got = jaccard_join(documents(spark, texts.items()), recall=recall, bucket=2).agg({"n_links": "sum"}).first()[0]
+        assert total * least <= got <= total
+
+
+def test_an_id_with_several_texts(spark):
+    a, b = prose(21, 70), prose(22, 70)
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (2, b), (2, near), (2, near + " "), (3, "start " + b), (3, a), (4, b + " " + prose(23, 55)), (4, "few words")]
+    got = sorted((r.doc_id, r.class_id, r.class_size, r.n_links, r.n_shingles) for r in jaccard_join(documents(spark, rows)).collect())
+    assert got == sorted([(1, 1, 4, 1, 66), (2, 1, 4, 1, 66), (2, 1, 4, 1, 66), (3, 1, 4, 1, 66), (2, 2, 2, 1, 66), (3, 2, 2, 1, 67), (4, 4, 1, 0, 121), (4, 4, 1, 0, 1)])
+    # each row is judged against smaller ids, by its own text
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(documents(spark, rows)).collect())
+    assert got == sorted([(1, 70, 0), (2, 70, 0), (2, 70, 69), (2, 70, 69), (3, 71, 70), (3, 70, 70), (4, 125, 70), (4, 2, 0)])
+
+
+def test_similar_pairs_agree_with_all_pairs():
     r = random.Random(3)
     pool = np.arange(1, 60, dtype=np.uint64)
     sets = [np.unique(np.array(r.sample(list(pool), 40), np.uint64)) for _ in range(12)]
-    i, j = jj._similar_pairs(sets, np.zeros(12, bool), False, 0.5)
     want = {(a, b) for a in range(12) for b in range(a + 1, 12) if len(set(sets[a]) & set(sets[b])) >= 0.5 * len(set(sets[a]) | set(sets[b]))}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    side = np.arange(12) % 2 == 0
+    for across in (False, True):
+        got = [(int(a), int(b)) for i, j in jj._similar_pairs(sets, side, across, 0.5) for a, b in zip(i, j, strict=True)]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if not across or side[a] != side[b]}
 
 
 def test_jaccard_join_of_null_ids_and_repeated_rows(spark):
