@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.arrays import U, mix, releasing, text_slices, windows, word_hashes, words
 from docsift.llm.components import components
-from docsift.llm.shared import Tables
+from docsift.llm.shared import Tables, text_key
 
 GRAM_WORDS = 5
 SIMILARITY = 0.8
@@ -233,25 +233,31 @@ def _leaves(tables: Tables, reps: DataFrame, orders: int, runs: int, branch: int
     return found
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, branch: int = BRANCH, start: int = START, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``docs``: id, class_id, class_size, n_links, rep_id, n_shingles, text_md5.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row per row of ``docs``: id, class_id, class_size, n_links, rep_id, n_shingles; see ``classes``."""
+    out = classes(docs, id_col, text_col, **settings)
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", "rep_id", "n_shingles")
 
-    Words are [^\\x20\\x09-\\x0D]+, unchanged. rep_id is the least id with the same shingle
-    set; n_links counts the other distinct sets at the similarity or above; class_id is the
-    least id reached by such links and equal sets, class_size the number of rows in the class.
-    text_md5 is of the row's text. ``recall`` is the least probability to find a given link at
-    the threshold; it sets the number of runs.
 
-    Null and wordless texts are alone in their class. Rows with a null id link to nothing but
-    rows with an equal set, and have its class. Rows that repeat an id and its text count as one
-    set and are each listed; where an id has several texts, each row is a document of its own, with
-    the set, links and class of its own text. Other columns are ignored, whatever their names.
-    An empty table gives an empty result.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, branch: int = BRANCH, start: int = START, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
+    """One row per row of ``docs``: id, th, class, class_id, class_size, n_links, rep_id, n_shingles.
+
+    Words are [^\\x20\\x09-\\x0D]+, unchanged. th is the text's ``text_key``. rep_id is the least
+    id with the same shingle set; n_links counts the other distinct sets at the similarity or
+    above; class is a number that the rows reached by such links and equal sets have in common,
+    class_id the least of their ids, class_size their number. ``recall`` is the least
+    probability to find a given link at the threshold; it sets the number of runs.
+
+    Null and wordless texts are alone in their class, whose number is null. Rows with a null id
+    link to nothing but rows with an equal set, and have its class. Rows that repeat an id and its
+    text count as one set and are each listed; where an id has several texts, each row is a
+    document of its own, with the set, links and class of its own text. Other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     tables = Tables(docs.sparkSession, "jaccard_join")
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("th"), text.alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), text_key(text).alias("th"), text.alias("text"))
     runs = runs_for(recall, similarity, branch, depth)
     orders = max(ORDERS, (runs + depth - 1) * branch)
     sketch = tables.write(source.mapInArrow(releasing(_sketch(gram, orders)), f"id {id_type}, th binary, digest binary, n int, sig array<int>"))
@@ -291,7 +297,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classed = tables.write(members.join(known, "sid", "left").select("id", "th", "n", "rep", F.coalesce("root", "sid").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     counts = tables.write(classed.groupBy("root").agg(F.count("*").alias("class_size")))
     tables.drop(reps, members, leaves, prints, canon, held, found, roots, linked, known)
-    md5 = F.lower(F.hex("th")).alias("text_md5")
-    out = classed.join(counts, "root").select("id", "class_id", "class_size", "n_links", F.col("rep").alias("rep_id"), F.col("n").alias("n_shingles"), md5)
-    alone = sketch.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("rep_id"), F.col("n").alias("n_shingles"), md5)
-    return out.unionByName(alone).withColumnRenamed("id", id_col)
+    out = classed.join(counts, "root").select("id", "th", F.col("root").alias("class"), "class_id", "class_size", "n_links", F.col("rep").alias("rep_id"), F.col("n").alias("n_shingles"))
+    alone = sketch.where("n = 0").select("id", "th", F.lit(None).cast("long").alias("class"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("rep_id"), F.col("n").alias("n_shingles"))
+    return out.unionByName(alone)

@@ -2,8 +2,8 @@
 
 Each letter has a random vector of +1 and -1. A trigram's vector is the product of its
 letters' vectors, permuted (rotated) by their place; a text's vector is the sum over its
-trigrams, damped by how often each occurs, a language's prototype the sum over its training texts. The language whose
-prototype has the largest cosine with the text's vector is predicted.
+trigrams, damped by how often each occurs, a language's prototype the sum over its training
+texts. The language whose prototype has the largest cosine with the text's vector is predicted.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 18
 GRAMS_AT_ONCE = 4096
+#: What reaches the driver and each task is a vector a language; more labels than this are an error.
+MOST_LANGUAGES = 10_000
 _TABLES: dict = {}
 
 
@@ -29,7 +31,7 @@ def _fold() -> np.ndarray:
     """Each code point's lower-case letter; 0 where it is no letter."""
     if "fold" not in _TABLES:
         fold = np.zeros(0x110000, np.uint32)
-        for c in range(0x32000):
+        for c in range(0x110000):
             s = chr(c)
             if s.isalpha():
                 low = s.lower()
@@ -66,13 +68,14 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(ends, place[middle], "left")
 
 
-def _bundles(grams: np.ndarray, rows: np.ndarray, n: int, dimensions: int, groups: np.ndarray | None = None) -> np.ndarray:
-    """Sums of the trigrams' vectors for each of n texts, or for each group of texts.
+def _bundles(grams: np.ndarray, rows: np.ndarray, n: int, dimensions: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the trigrams' vectors for each of n texts, or for each group of texts; the number of distinct trigrams of each text.
 
     A trigram that a text has c times counts log(1 + c), so that no repetitive text outweighs others.
     """
     out = np.zeros((n if groups is None else int(groups.max()) + 1, dimensions), np.float32)
     distinct, at = np.unique(grams, return_inverse=True)
+    own = np.zeros(n, np.int64)
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
     member = None if groups is None else (groups[None, :] == np.arange(len(out))[:, None]).astype(np.float32)
@@ -80,9 +83,10 @@ def _bundles(grams: np.ndarray, rows: np.ndarray, n: int, dimensions: int, group
         hi = min(lo + GRAMS_AT_ONCE, len(distinct))
         a, b = np.searchsorted(at, [lo, hi])
         counts = np.bincount(rows[a:b] * (hi - lo) + at[a:b] - lo, minlength=n * (hi - lo)).reshape(n, hi - lo)
+        own += np.count_nonzero(counts, axis=1)
         weights = np.log1p(counts.astype(np.float32))
         out += (weights if member is None else member @ weights) @ _vectors(distinct[lo:hi], dimensions)
-    return out
+    return out, own
 
 
 def _chunks(column: pa.Array, rows: int) -> Iterator[tuple[int, list[str]]]:
@@ -112,17 +116,18 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 grams, rows = _grams(texts)
                 names = sorted(set(langs[at : at + len(texts)]))
                 of = np.array([names.index(x) for x in langs[at : at + len(texts)]], np.int64)
-                for name, v in zip(names, _bundles(grams, rows, len(texts), dimensions, of), strict=True):
+                for name, v in zip(names, _bundles(grams, rows, len(texts), dimensions, of)[0], strict=True):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         for name, v in sums.items():
             yield pa.record_batch([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
 
     small_batches(docs.sparkSession)
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    out: dict[str, np.ndarray] = {}
-    for name, i, v in known.mapInArrow(releasing(bundle), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v")).collect():
-        out.setdefault(name, np.zeros(dimensions))[i] = v
-    return out
+    sums = known.mapInArrow(releasing(bundle), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v")).select("lang", F.col("v.v").alias("v")).limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    return {r["lang"]: np.array(r["v"]) for r in rows}
 
 
 def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,14 +135,16 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
 
     score is the cosine with the nearest prototype, at least 0. A text that is null or has
     no letters, or any text where no language is known, gives ``und`` with 0. Ties go to the
-    language first in order. Null ids and repeated rows are kept; whole texts are read.
+    language first in order. Letters are those of any script. Null ids and repeated rows are kept,
+    and predicted like others; whole texts are read, however long. Other columns are ignored. An
+    empty table gives an empty result.
     """
     names = sorted(known)
     protos, dimensions = _matrix(known, names)
 
     def predict(batches):
         for batch in batches:
-            langs, scores = _predictions(batch.column(1), names, protos, dimensions)
+            langs, scores, _ = _predictions(batch.column(1), names, protos, dimensions)
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
@@ -145,10 +152,13 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     return frame.mapInArrow(releasing(predict), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with at least that score.
+def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: float, grams: int, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text fits a known language.
 
-    Where no language is known, all rows whose text has letters.
+    Its cosine must reach ``min_score``, or that share of it which the text's number of distinct
+    trigrams is of ``grams``, if that is less: the cosine of clean texts grows with what there
+    is to compare. Null texts and those without letters go. Where no language is known, all rows
+    whose text has letters stay. Null ids and repeated rows are judged like others.
     """
     names = sorted(known)
     protos, dimensions = _matrix(known, names)
@@ -156,11 +166,13 @@ def keep_identified(docs: DataFrame, known: dict[str, np.ndarray], min_score: fl
 
     def keep(batches):
         for batch in batches:
-            if not names:
-                yield batch.filter(pa.array(_lettered(batch.column(at).cast(pa.string())), pa.bool_()))
-                continue
-            langs, scores = _predictions(batch.column(at).cast(pa.string()), names, protos, dimensions)
-            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            column = batch.column(at).cast(pa.string())
+            if names:
+                _, scores, own = _predictions(column, names, protos, dimensions)
+                stays = [n > 0 and s >= min_score * min(1.0, n / grams) for s, n in zip(scores, own, strict=True)]
+            else:
+                stays = _lettered(column)
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(releasing(keep), docs.schema)
@@ -177,19 +189,22 @@ def _lettered(column: pa.Array) -> list[bool]:
     return [some for _, texts in _chunks(column, 64) for some in (np.bincount(_grams(texts)[1], minlength=len(texts)) > 0).tolist()]
 
 
-def _predictions(column: pa.Array, names: list[str], protos: np.ndarray, dimensions: int) -> tuple[list[str], list[float]]:
-    langs, scores = [], []
+def _predictions(column: pa.Array, names: list[str], protos: np.ndarray, dimensions: int) -> tuple[list[str], list[float], list[int]]:
+    """Of each text the language, its cosine, and the number of distinct trigrams."""
+    langs, scores, sizes = [], [], []
     for _, texts in _chunks(column, 64):
         grams, rows = _grams(texts)
         some = np.bincount(rows, minlength=len(texts)) > 0
         if not names:
             langs += [UNKNOWN] * len(texts)
             scores += [0.0] * len(texts)
+            sizes += some.astype(int).tolist()
             continue
-        v = _bundles(grams, rows, len(texts), dimensions)
+        v, own = _bundles(grams, rows, len(texts), dimensions)
         cosine = (v @ protos.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
         langs += [names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
         scores += np.where(some, score, 0.0).tolist()
-    return langs, scores
+        sizes += own.tolist()
+    return langs, scores, sizes

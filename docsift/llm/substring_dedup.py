@@ -17,11 +17,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.arrays import U, releasing, text_slices, windows, word_hashes, words
-from docsift.llm.shared import Tables
+from docsift.llm.shared import Tables, text_key
 
 WINDOW_WORDS = 50
 GRAM_WORDS = 8
@@ -124,11 +124,6 @@ def _remove(length: int):
     return run
 
 
-def text_key(text: Column) -> Column:
-    """What tells the texts of an id apart: the digest of the bytes, null counting as empty."""
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
-
-
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> tuple[DataFrame, DataFrame]:
     """(all documents: id, th, n_words, words_sha; those that lose words: id, th, n_removed, kept_text, kept_sha, spans).
 

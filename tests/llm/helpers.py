@@ -5,6 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+
+from docsift.llm import language_id
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, h int, n int, name string, rank int, _text string, low long, leaf long, kept_text string"
 
 
@@ -75,3 +79,22 @@ def linked(texts: dict[int, str | None], gram: int, similarity: float) -> dict[i
                     x, y = find(a), find(b)
                     parent[max(x, y)] = min(x, y)
     return {i: (find(rep[s]), links[rep[s]]) if s else (i, 0) for i, s in sets.items()}
+
+
+def trigrams(text):
+    counts = {}
+    for word in "".join(c if c.isalpha() else " " for c in text or "").split():
+        low = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word]
+        padded = [0, *low, 0]
+        for k in range(len(low)):
+            counts[tuple(padded[k : k + 3])] = counts.get(tuple(padded[k : k + 3]), 0) + 1
+    return counts
+
+
+def bundle(text, dimensions=1024):
+    """The sum over a text's trigrams, letter by letter."""
+    total = np.zeros(dimensions)
+    for gram, c in trigrams(text).items():
+        a, b, d = (language_id._letters(np.array([x]), dimensions)[0].astype(float) for x in gram)
+        total += np.log1p(c) * np.roll(a, 2) * np.roll(b, 1) * d
+    return total

@@ -11,7 +11,7 @@ from docsift.llm.license_scan import SENTENCES, license_scan, sentences
 from docsift.llm.queries import QUERIES, op9_language_id
 from docsift.llm.url_filter import LIST_SCHEMA, url_filter
 
-from .helpers import awkward, documents
+from .helpers import awkward, bundle, documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,11 +31,26 @@ def test_language_id_edge_cases(spark):
     assert got[4] == got[5] == got[6] == got[15] == ("und", 0.0)
     assert got[1][0] == got[None][0] == "en" and got[1][1] > 0.5
     assert {r.lang_pred for r in identify(docs, {}).collect()} == {"und"}
+    far = documents(spark, [(1, chr(0x323A0) * 3), (2, "\U0001D400")])  # letters beyond the first planes
+    assert {r.lang_pred for r in identify(far, known).collect()} == {"en"}
     assert prototypes(docs.limit(0)) == {} and identify(docs.limit(0), known).count() == 0
-    kept = keep_identified(docs, known, 0.0)
+    kept = keep_identified(docs, known, 0.0, 100)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, v in got.items() if v[0] != "und"}
 
 
+def test_language_id_matches_its_plain_version(spark):
+    rows = [x for x in awkward() if not x[1] or len(x[1]) < 9000] + [(50 + k, t) for k, t in enumerate(["Éa és là", "ÉA ÉS LÀ!", "der Bär, die Bären"])]
+    docs = spark.createDataFrame([(i, t, ("aa", "bb", None)[i % 3]) for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    protos = {name: sum(bundle(t) for i, t in rows if ("aa", "bb", None)[i % 3] == name and t) for name in ("aa", "bb")}
+    for r in identify(docs, prototypes(docs)).collect():
+        v = bundle(dict(rows)[r.doc_id])
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosine = {n: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for n, p in protos.items()}
+        assert abs(max(0.0, *cosine.values()) - r.score) < 1e-4 and cosine[r.lang_pred] > max(cosine.values()) - 1e-4
+
+
 def test_prototypes_do_not_depend_on_partitions(spark):
     docs = documents(spark, awkward())
     a, b = prototypes(docs.repartition(1))["en"], prototypes(docs.repartition(7))["en"]
