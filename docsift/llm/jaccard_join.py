@@ -44,8 +44,8 @@ BUCKET = 512
 ORDERS = 48
 #: A node with more than this share of the node above is not worth splitting.
 KEPT = 0.7
-BLOCK_SHINGLES = 1 << 18
-BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1 << 17
+BLOCK_SETS = 512
 COLUMNS = 2048
 ROWS = 256
 
