@@ -8,8 +8,9 @@ that overflow are pruned again. A query is answered by a beam search over every
 
 An extra component brings the vectors of a shard to one length, which makes the largest inner
 product the smallest distance. Vectors of very different lengths lie in different shards, so
-that a shard's longest one leaves the distances between the others large enough to tell. Equal vectors are one node, which holds the least of their ids: as
-many as a result can name, so none is missed.
+that a shard's longest one leaves the distances between the others large enough to tell. Equal
+vectors are one node, which holds the least of their ids: as many as a result can name, so none
+is missed.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsift.llm.shared import Tables
+from docsift.llm.arrays import releasing
+from docsift.llm.shared import Tables, small_batches
 
 SHARD_VECTORS = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 65536
 DEGREE = 32
 BUILD_BEAM = 96
 SEARCH_BEAM = 128
@@ -193,45 +195,84 @@ def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_i
     return tables.write(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, dimensions
 
 
-def search(index: DataFrame, shards: int, dimensions: int, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each usable query, without its own id."""
-    spark = index.sparkSession
-    if not shards:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = usable(queries, vector_col).where(F.col(id_col).isNotNull()).where(F.size(vector_col) == dimensions)
-    asked = asked.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.select("query_id", "v", F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def one(key, nodes, asked):
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not nodes.num_rows or not asked.num_rows:
-            return empty
-        nodes = nodes.take(pa.array(np.argsort(nodes.column("node").to_numpy())))
-        original, ids = _matrix(nodes.column("embedding")), nodes.column("ids").to_pylist()
-        x = _level(original)
-        graph = np.full((len(x), DEGREE), -1, np.int64)
+class Shard:
+    """One shard's graph, vectors and ids, in memory."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        nodes = pa.Table.from_batches(parts)
+        self.original, self.ids = _matrix(nodes.column("embedding")), nodes.column("ids").to_pylist()
+        self.x = _level(self.original)
+        self.squares = (self.x * self.x).sum(axis=1)
+        self.graph = np.full((len(self.x), DEGREE), -1, np.int64)
         for row, near in enumerate(nodes.column("neighbors").to_pylist()):
-            graph[row, : len(near)] = near
-        squares = (x * x).sum(axis=1)
-        q = _matrix(asked.column("v"))
+            self.graph[row, : len(near)] = near
+        # products are summed with the exponents taken off, so that no sum of large ones is inf - inf
+        self.exponents = np.frexp(np.abs(self.original).max(axis=1))[1]
+        self.original = np.ldexp(self.original, -self.exponents[:, None])
+
+    def search(self, asked: list[int], q: np.ndarray, k: int, beam: int) -> tuple[list, list, list]:
+        """(query ids, vector ids, scores): of each query the k best nodes' ids, without its own."""
+        power = np.frexp(np.abs(q).max(axis=1))[1]
+        q = np.ldexp(q, -power[:, None])
         # a query's own length does not change the order
         unit = np.concatenate([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
         out_q, out_v, out_s = [], [], []
         for lo in range(0, len(q), BATCH):
-            found, _ = beam_search(x, squares, graph, np.arange(min(ENTRIES, len(x))), unit[lo : lo + BATCH], max(beam, k + 1))
-            score = (original[np.maximum(found, 0)] * q[lo : lo + BATCH, None, :]).sum(axis=2)
+            found, _ = beam_search(self.x, self.squares, self.graph, np.arange(min(ENTRIES, len(self.x))), unit[lo : lo + BATCH], max(beam, k + 1))
+            safe = np.maximum(found, 0)
+            with np.errstate(over="ignore", under="ignore"):
+                score = np.ldexp((self.original[safe] * q[lo : lo + BATCH, None, :]).sum(axis=2), self.exponents[safe] + power[lo : lo + BATCH, None])
             score[found < 0] = -np.inf
-            for row, own in enumerate(asked.column("query_id").slice(lo, BATCH).to_pylist()):
+            for row, own in enumerate(asked[lo : lo + BATCH]):
                 best = np.argsort(-score[row], kind="stable")[: k + 1]
-                hits = sorted((-score[row, j], i) for j in best if found[row, j] >= 0 for i in ids[found[row, j]] if i != own)[:k]
+                hits = sorted((-score[row, j], i) for j in best if found[row, j] >= 0 for i in self.ids[found[row, j]] if i != own)[:k]
                 out_q += [own] * len(hits)
                 out_v += [i for _, i in hits]
                 out_s += [-s for s, _ in hits]
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+        return out_q, out_v, out_s
+
+
+def _answer(k: int, beam: int):
+    """Over rows sorted by shard and block, the nodes before the queries: holds one shard at a time, and queries as they come."""
+
+    def run(batches):
+        key, held, shard = None, [], None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part, now = batch.slice(lo, hi - lo), tuple(place[:2, lo].tolist())
+                if now != key:
+                    key, held, shard = now, [], None
+                if place[2, lo] == 0:
+                    held.append(part)
+                    continue
+                if shard is None:
+                    shard, held = Shard(held), []
+                q, v, s = shard.search([x[0] for x in part.column("ids").to_pylist()], _matrix(part.column("embedding")), k, beam)
+                yield pa.record_batch([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-    hits = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(one, "query_id long, vec_id long, score double").distinct()
+    return run
+
+
+def search(index: DataFrame, shards: int, dimensions: int, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each usable query, without its own id.
+
+    Every query visits every shard. A shard's nodes go once to each of its tasks, as many as there are
+    blocks of QUERY_BLOCK queries, and the queries stream through.
+    """
+    spark = index.sparkSession
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    small_batches(spark)
+    asked = usable(queries, vector_col).where(F.col(id_col).isNotNull()).where(F.size(vector_col) == dimensions)
+    asked = asked.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    nothing = F.array().cast("array<int>")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("node"), F.array("query_id").alias("ids"), F.col("v").alias("embedding"), nothing.alias("neighbors"))
+    held = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "node", "ids", "embedding", "neighbors")
+    rows = held.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "node")
+    hits = rows.mapInArrow(releasing(_answer(k, beam)), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -240,7 +281,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """The k nearest of ``vectors`` by inner product for each row of ``queries``; see ``build_index`` and ``search``.
 
     Unusable vectors and null ids take no part, on either side. Ties go to the smaller id.
-    A repeated row is found once and asked once. score is the inner product of the original
+    A repeated row is found once and asked once; an id with several vectors is found by the
+    best of them, and asks with all. Vectors may be of any finite lengths. score is the inner product of the original
     vectors in double precision. Empty tables give an empty result.
     """
     tables = Tables(vectors.sparkSession, "graph_index")

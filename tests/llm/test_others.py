@@ -164,6 +164,27 @@ def test_nearest_beside_vectors_of_other_lengths(spark):
     assert len(found) == 77 and np.mean([len(hits & set(brute(vectors, q, 10))) / 10 for q, hits in found.items()]) > 0.95
 
 
+def test_nearest_beside_one_long_vector_at_the_registered_settings(spark):
+    r = np.random.default_rng(3)
+    base = {i: v for i, v in enumerate(r.normal(size=(2000, 16)))}
+    for length in (1e4, 1e8, 1e200):
+        vectors = dict(base)
+        vectors[7] = base[7] / np.linalg.norm(base[7]) * length
+        vectors[20] = base[20] / np.linalg.norm(base[20]) * length  # one of the queries
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+        found = {}
+        for x in nearest(df, df.where("vec_id % 20 = 0"), k=20).collect():
+            assert not np.isnan(x.score)
+            found.setdefault(x.query_id, set()).add(x.vec_id)
+        assert len(found) == 100 and np.mean([len(hits & set(brute(vectors, q, 20))) / 20 for q, hits in found.items()]) >= 0.95
+
+
+def test_nearest_of_an_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.5]), (2, [0.0, 3.0]), (2, [5.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>"), k=5).collect()
+    assert sorted((x.rank, x.vec_id, x.score) for x in got) == [(1, 2, 5.0), (2, 1, 2.0)]
+
+
 def test_nearest_of_ties_and_unusable_vectors(spark):
     same = [1.0, 0.0]
     rows = [(i, same) for i in range(40)] + [(100, None), (120, [0.0, 0.0]), (140, [float("nan"), 1.0]), (160, [None, 1.0]), (180, [float("inf"), 1.0]), (200, []), (220, [1.0, 2.0, 3.0]), (None, same), (300, [0.0, 1.0]), (0, same)]
