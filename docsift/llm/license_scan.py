@@ -190,7 +190,8 @@ def license_scan(docs: DataFrame, known: dict[int, str] = ALL_SENTENCES, rules:
     sentence_ids are those found, in order, joined by commas; licenses those with a rule whose
     sentences follow each other among them, by name, joined by commas; where a longer rule
     holds, those within it (BSD-2-Clause in BSD-3-Clause) do not. A null or empty text
-    has none. Null ids and repeated rows are scanned like others.
+    has none. Null ids and repeated rows are scanned like others, very long texts whole. Other
+    columns are ignored. An empty table gives an empty result.
     """
     lookup = Lookup(known)
 

@@ -109,11 +109,11 @@ ORACLE_SQL = {
                             lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host,
                             regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         met AS (SELECT c.page_id, l.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(l.rule) DESC) AS rn
-                FROM captures c JOIN list l ON l.day <= c.fetched_on AND (l.until IS NULL OR c.fetched_on < l.until)
+                FROM captures c JOIN list l ON l.action IN ('block', 'allow') AND l.day <= c.fetched_on AND (l.until IS NULL OR c.fetched_on < l.until)
                  AND (c.host = split_part(l.rule, '/', 1) OR c.host LIKE '%.' || split_part(l.rule, '/', 1))
                  AND (l.rule NOT LIKE '%/%' OR c.path || '/' LIKE '/' || split_part(l.rule, '/', 2) || '/%'))
         SELECT c.page_id, c.host, CAST(c.fetched_on AS VARCHAR) AS fetched_on, coalesce(m.action = 'block', false) AS blocked, m.rule, m.category, CAST(m.day AS VARCHAR) AS listed_on
-        FROM captures c LEFT JOIN met m ON m.page_id = c.page_id AND m.rn = 1 AND m.action IN ('block', 'allow')
+        FROM captures c LEFT JOIN met m ON m.page_id = c.page_id AND m.rn = 1
     """,
     "op7_license_scan": f"""
         WITH known(id, sentence) AS (VALUES {_KNOWN}), rules(name, ids) AS (VALUES {_RULES}),

@@ -2,8 +2,8 @@
 
 A list is a history of dated entries: from its day on, an entry's action holds for its rule
 until the rule's next entry. A rule is a host, which covers its subdomains, or a host and
-leading path segments. Entries become validity intervals; each capture is evaluated against
-the intervals that hold on the day it was fetched, and the longest rule decides. An entry
+leading path segments. Entries become validity intervals; an as-of join evaluates each capture
+against the intervals that hold on the day it was fetched, and the longest rule decides. An entry
 whose action is neither ``block`` nor ``allow`` ends the rule's last one and decides nothing.
 """
 
@@ -35,23 +35,45 @@ def url_parts(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.coalesce(F.regexp_replace(F.lower(host), r"[.]+$", ""), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def histories(entries: DataFrame) -> DataFrame:
+    """(rule, labels, steps, history): one row a rule, with its intervals in order of time, the labels of its host and the steps of its path."""
+    held = validity(entries).groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "action", "category"))).alias("history"))
+    parts = F.split("rule", "/")
+    return held.withColumns({"labels": F.size(F.split(parts[0], "[.]")), "steps": F.size(parts) - 1})
+
+
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
     """One row per row of ``captures``: id, host, fetched_on, blocked, rule, category, listed_on.
 
     The last three are those of the deciding entry, null where none holds; blocked is whether
-    its action is ``block``. A null or relative URL has an empty host and, like a capture
-    without a day, meets no entry. Null ids and repeated rows are evaluated like others.
+    its action is ``block``. A null, empty or relative URL has an empty host and, like a capture
+    without a day, meets no entry. Null ids and repeated rows are evaluated like others, very long
+    URLs whole. Other columns are ignored. Without captures the result is empty, without entries
+    nothing is blocked.
+
+    A capture's keys are its host and the hosts above it, each with the leading steps of its path.
+    Only keys of a length that some rule has go on, so the last label alone, which nearly all
+    captures share, does not travel unless a rule names it. A key meets its rule in one row, and
+    the as-of step finds the interval that holds among the rule's, so no history multiplies captures.
     """
-    host, path = url_parts(F.col(url_col).cast("string"))
-    base = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("day"), host.alias("host"), path.alias("path"))
+    url = F.col(url_col).cast("string")
+    host, path = url_parts(url)
+    key = F.unhex(F.md5(F.coalesce(url, F.lit("")).cast("binary")))
+    base = captures.select(F.col(id_col).alias("id"), key.alias("u"), F.col(day_col).cast("date").alias("day"), host.alias("host"), path.alias("path"))
     labels = "split(host, '[.]')"
     # an address is no subdomain of its last numbers
     hosts = f"if(host rlike '^[0-9.]+$', array(host), transform(sequence(1, size({labels})), i -> array_join(slice({labels}, i, size({labels})), '.')))"
     steps = "filter(split(path, '/'), s -> s <> '')"
     paths = f"transform(sequence(0, size({steps})), j -> array_join(slice(concat(array(''), {steps}), 1, j + 1), '/'))"
-    keyed = base.where("host <> '' and day is not null").select("id", "url", "day", F.explode(F.expr(hosts)).alias("suffix"), F.expr(paths).alias("paths"))
-    keyed = keyed.select("id", "url", "day", F.explode(F.expr("transform(paths, p -> suffix || p)")).alias("rule"))
-    met = keyed.join(validity(entries), "rule").where("day >= valid_from and (valid_to is null or day < valid_to) and action in ('block', 'allow')")
-    best = met.groupBy("id", "url", "day").agg(F.max(F.struct(F.length("rule"), F.col("rule").alias("rule"), F.col("category").alias("category"), F.col("action").alias("action"), F.col("valid_from").alias("listed_on"))).alias("e"))
-    out = base.alias("a").join(best.alias("b"), F.expr("a.id <=> b.id and a.url = b.url and a.day = b.day"), "left")
+    rules = histories(entries)
+    # a host name has at most 127 labels; rules with more steps than that share one length
+    most = lambda c: F.least(F.col(c), F.lit(127)).alias(c)
+    lengths = F.broadcast(rules.select(most("labels"), most("steps")).distinct())
+    keyed = base.where("host <> '' and day is not null").select("id", "u", "day", F.explode(F.expr(hosts)).alias("suffix"), F.expr(paths).alias("paths"))
+    keyed = keyed.select("id", "u", "day", "suffix", F.size(F.split("suffix", "[.]")).alias("labels"), F.posexplode("paths").alias("steps", "rest"))
+    keyed = keyed.withColumns({c: most(c) for c in ("labels", "steps")}).join(lengths, ["labels", "steps"], "left_semi").select("id", "u", "day", F.concat("suffix", "rest").alias("rule"))
+    as_of = F.expr("try_element_at(filter(history, x -> x.valid_from <= day), -1)")
+    met = keyed.join(rules.select("rule", "history"), "rule").select("id", "u", "day", "rule", as_of.alias("e")).where("e.action in ('block', 'allow')")
+    best = met.groupBy("id", "u", "day").agg(F.max(F.struct(F.length("rule"), F.col("rule"), F.col("e.category").alias("category"), F.col("e.action").alias("action"), F.col("e.valid_from").alias("listed_on"))).alias("e"))
+    out = base.alias("a").join(best.alias("b"), F.expr("a.id <=> b.id and a.u = b.u and a.day = b.day"), "left")
     return out.select(F.col("a.id").alias(id_col), "a.host", F.col("a.day").alias("fetched_on"), F.coalesce(F.col("e.action") == "block", F.lit(False)).alias("blocked"), F.col("e.rule").alias("rule"), F.col("e.category").alias("category"), F.col("e.listed_on").alias("listed_on"))

@@ -103,6 +103,24 @@ def test_url_filter_an_ended_longer_rule_hides_no_shorter_one(spark):
     assert sorted((r.page_id, r.blocked, r.rule) for r in got) == [(1, True, "farm.example"), (2, False, "www.farm.example"), (3, True, "farm.example"), (4, False, "farm.example/a"), (5, True, "farm.example")]
 
 
+def test_url_filter_without_broadcasts_of_rules_and_with_a_hot_label(spark):
+    rules = [(f"h{k}.example.com/a/b" if k % 2 else f"h{k}.example.com", "x", action, f"2024-01-{d:02}") for k in range(200) for d, action in ((2, "block"), (9, "remove"), (20, "allow"))]
+    rows = [(k, f"https://www.h{k % 300}.example.com/a/b/" + "x" * (100_000 if k == 5 else 3), dt.date(2024, 1, 1 + k % 28)) for k in range(600)] + [(None, None, dt.date(2024, 1, 2)), (1000, "", dt.date(2024, 1, 2))]
+    df, listed = spark.createDataFrame(rows, "page_id long, url string, fetched_on date"), spark.createDataFrame(rules, LIST_SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.page_id: (r.blocked, r.rule) for r in url_filter(df, listed).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(rows) and sum(b for b, _ in got.values()) > 50
+    for i, url, day in rows[:600]:
+        host = url.split("/")[2]
+        e = evaluate(host, "/a/b/xxx", str(day), rules)
+        assert got[i] == ((e[2] == "block", e[0]) if e and e[2] != "remove" else (False, None))
+    assert got[None] == got[1000] == (False, None)
+
+
 def test_license_rules(spark):
     mit = SENTENCES[11] + "\n\n" + SENTENCES[12] + "."
     wrapped = mit.replace(" copies ", "\ncopies ").replace(" without ", "\n  without ")
@@ -110,6 +128,7 @@ def test_license_rules(spark):
     got = sorted((str(r.doc_id), r.licenses, r.n_licenses) for r in license_scan(documents(spark, rows)).collect())
     assert got == sorted([("1", "Apache-2.0", 1), ("2", "MIT", 1), ("3", "MIT", 1), ("4", "", 0), ("5", "", 0), ("6", "", 0), ("7", "CC-BY-NC-4.0,MIT", 2), ("8", "Apache-2.0", 1), ("8", "", 0), ("None", "MIT", 1)])
     assert len({sentences(t)[0] for t in SENTENCES.values()}) == len(SENTENCES)
+    assert license_scan(documents(spark, rows).limit(0)).count() == 0
     assert len(sentences("." * 300_000 + "x" + "!?" * 100_000 + " y")) == 3  # in linear time
 
 
