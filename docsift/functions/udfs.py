@@ -1,14 +1,13 @@
-"""The few text functions that Spark's built-ins cannot express, as Arrow-batched UDFs."""
+"""The few text functions that Spark's built-ins cannot express, over Arrow batches."""
 
 from __future__ import annotations
 
 import hashlib
 import html
-import math
 import re
-from collections import Counter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +17,8 @@ DIMENSIONS = 384
 #: Punctuation after which a long text may be cut. Fixed values.
 BREAKS = "。；，"
 WORD = re.compile(r"[a-z0-9][a-z0-9_\-./]*|[一-鿿]+")
+BREAK_CODES = np.array([ord(c) for c in BREAKS], np.uint32)
+ROWS_AT_ONCE = 1024
 
 
 def repair(text: str) -> str:
@@ -38,61 +39,78 @@ def repair(text: str) -> str:
     return best
 
 
-@F.pandas_udf(T.StringType())
-def repair_and_unescape(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def repair_and_unescape(texts: pa.Array) -> pa.Array:
     """Repairs mojibake, then resolves HTML entities; null stays null."""
     # plain ASCII without an ampersand needs neither
-    return texts.map(lambda t: t if t is None or (t.isascii() and "&" not in t) else html.unescape(repair(t)))
+    return pa.array([t if t is None or (t.isascii() and "&" not in t) else html.unescape(repair(t)) for t in texts.to_pylist()], pa.string())
 
 
 def split_points(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
-    """Overlapping parts of a clean text, ended after punctuation where that leaves more than half of the size."""
-    parts, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            mark = max(text.rfind(c, start, end) for c in BREAKS)
-            end = mark + 1 if mark > start + size // 2 else end
-        if piece := text[start:end].strip():
-            parts.append(piece)
-        if end >= len(text):
-            return parts
-        start = max(end - overlap, start + 1)
-    return parts
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_at_punctuation(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else split_points(t))
+    """Overlapping parts of a clean text, ended after punctuation where that leaves more than half of the size.
+
+    All places after a mark are found at once; each window takes the last one it reaches.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = np.flatnonzero(np.isin(codes, BREAK_CODES)) + 1
+    reached = np.concatenate([[0], places])
+    bounds, at, n = [], 0, len(codes)
+    while n - at > size:
+        last = int(reached[np.searchsorted(places, at + size, "right")])
+        stop = last if last - at > size // 2 + 1 else at + size
+        bounds.append((at, stop))
+        at = max(at + 1, stop - overlap)
+    bounds.append((at, n))
+    return [part for part in (text[a:b].strip() for a, b in bounds) if part]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def split_at_marks(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else split_points(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def hash_vectors(offsets: np.ndarray, tokens: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Feature hashing of lists of tokens, as rows: signed slots, weights 1 + ln(count), unit length; zeros without tokens.
+
+    Each distinct token is hashed once; counts and sums are taken over all rows together.
+    """
+    coded = pa.array(tokens, pa.string()).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in coded.dictionary.to_pylist())
+    parts = np.frombuffer(digests, np.dtype([("slot", "<u4"), ("sign", "u1"), ("rest", "V3")]))
+    slots, signs = (parts["slot"] % dimensions).astype(np.int64), 1.0 - 2.0 * (parts["sign"] & 1).astype(np.float64)
+    n, kinds = len(offsets) - 1, max(1, len(parts))
+    rows = np.repeat(np.arange(n), np.diff(offsets))
+    pairs, counts = np.unique(rows * kinds + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    row, token = pairs // kinds, pairs % kinds
+    out = np.bincount(row * dimensions + slots[token], signs[token] * (1 + np.log(counts)), n * dimensions).astype(np.float64).reshape(n, dimensions)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
 def hash_vector(tokens: list[str], dimensions: int = DIMENSIONS) -> list[float]:
-    """Feature hashing of tokens: signed slots, weights 1 + ln(count), unit length; zeros without tokens."""
-    vector = [0.0] * dimensions
-    for token, count in Counter(tokens).items():
-        digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        weight = 1.0 + math.log(count)
-        vector[int.from_bytes(digest[:4], "little") % dimensions] += -weight if digest[4] & 1 else weight
-    length = math.sqrt(sum(x * x for x in vector))
-    return [x / length for x in vector] if length else vector
-
-
-def tokens_of(text: str) -> list[str]:
-    """``functions.text.tokenize`` for one text."""
-    out = []
-    for run in WORD.findall(text.lower()):
-        if run[0] < "一":
-            out.append(run)
-        else:
-            out += [run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1)]
-    return out
+    return hash_vectors(np.array([0, len(tokens)]), pa.array(tokens, pa.string()), dimensions)[0].tolist()
 
 
-def hash_embedding(dimensions: int = DIMENSIONS):
-    """A UDF from a clean text to its hashed vector."""
+def batch_tokens(texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """``functions.text.tokenize`` for each text: where each one's tokens start and the last ones end, and the tokens."""
+    tokens, ends = [], [0]
+    for text in texts:
+        for run in WORD.findall(text.lower()):
+            tokens += [run] if run < "一" else [run[i : i + n] for n in (1, 2, 3) for i in range(len(run) + 1 - n)]
+        ends.append(len(tokens))
+    return np.array(ends), tokens
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_vector(tokens_of(t or ""), dimensions))
+
+def hash_embedding(dimensions: int = DIMENSIONS):
+    """A UDF from a clean text to the hashed vector of its tokens; null counts as empty."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        made = [np.zeros((0, dimensions))]
+        for lo in range(0, len(texts), ROWS_AT_ONCE):
+            ends, tokens = batch_tokens(texts.slice(lo, ROWS_AT_ONCE).fill_null("").to_pylist())
+            made.append(hash_vectors(ends, pa.array(tokens, pa.string()), dimensions))
+        flat = np.concatenate(made)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dimensions, pa.int32()), pa.array(flat.ravel()))
 
     return embed

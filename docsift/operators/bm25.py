@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,43 +14,56 @@ K1 = 1.5
 B = 0.75
 #: Queries whose terms are sent to every task; more are joined by shuffling.
 BROADCAST_QUERIES = 4096
+BROADCAST_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
 class BM25Index:
-    """postings(term, chunk_id, tf, dl), terms(term, df, idf), stats(n, avgdl): one row; chunks(chunk_id, source_file, ordinal)."""
+    """postings(term, chunk_id, tf, dl, and of the chunk ordinal and source_file if it has them), terms(term, df, idf), stats(n, avgdl): one row."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
-    chunks: DataFrame
 
     def persist(self) -> BM25Index:
         """Keeps the postings: the statistics come from them too, so a search reads texts once, further ones not at all."""
         self.postings.persist()
         return self
 
+    def unpersist(self) -> None:
+        self.postings.unpersist()
+
 
 def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
     """(chunk_id, dl): the number of tokens of each text."""
     return chunks.select("chunk_id", F.size(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
 
 
+def counted(tokens: Column) -> Column:
+    """Distinct tokens with their counts, as an array of (term, tf): runs of the sorted tokens, so nothing is shuffled to count."""
+    held = F.sort_array(tokens)
+    firsts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
+    ends = F.concat(F.slice(firsts, 2, F.greatest(F.size(firsts), F.lit(1))), F.array(F.size(held)))
+    runs = F.zip_with(firsts, ends, lambda a, b: F.struct(F.get(held, a).alias("term"), (b - a).cast("long").alias("tf")))
+    return F.when(F.size(tokens) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def build_bm25(chunks: DataFrame, text_col: str = "index_text") -> BM25Index:
     """Statistics over all chunks: later filters restrict candidates only.
 
-    Terms are counted within a chunk before anything is shuffled by term, so a frequent
-    term costs one row for each chunk that has it.
+    Terms are counted within a chunk's row, so building shuffles no postings; a frequent term
+    costs the statistics one row for each task.
     """
-    tokens = chunks.select("chunk_id", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    words = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = words.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    carried = [c for c in ("ordinal", "source_file") if c in chunks.columns]
+    tokens = chunks.select("chunk_id", *carried, tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    words = tokens.select("chunk_id", *carried, F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("t"))
+    postings = words.select("t.term", "chunk_id", "dl", "t.tf", *carried)
     # all statistics come from the postings, so that texts are read once where these are persisted or saved
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
     stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df")).join(F.broadcast(stats), how="cross")
+    terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats), how="cross")
     terms = terms.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return BM25Index(postings, terms, stats, chunks.select("chunk_id", *[c for c in ("source_file", "ordinal") if c in chunks.columns]))
+    return BM25Index(postings, terms, stats)
 
 
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,7 +73,7 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def bm25_scores(index: BM25Index, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(key columns of queries, chunk_id, score) of every chunk that shares a term with a query.
+    """(key columns of queries, chunk_id, ordinal, source_file, score) of every chunk that shares a term with a query.
 
     Only postings of the queries' terms are touched. Where the batch is small enough to be
     sent to every task, these postings are dealt by chunk first: a chunk's scores then add up
@@ -69,15 +82,17 @@ def bm25_scores(index: BM25Index, queries: DataFrame, text_col: str = "text", k1
     """
     keys = [c for c in queries.columns if c != text_col]
     wanted = query_terms(queries, text_col).join(index.terms, "term")
-    postings = index.postings
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    postings, carried = index.postings, [c for c in ("ordinal", "source_file") if c in index.postings.columns]
+    # what is sent is bounded by the queries' number and by the length of all of them
+    sent = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("bytes")).first()
+    if sent["n"] <= BROADCAST_QUERIES and sent["bytes"] <= BROADCAST_BYTES:
         postings = postings.join(F.broadcast(query_terms(queries, text_col).select("term").distinct()), "term", "left_semi").repartition("chunk_id")
         wanted = F.broadcast(wanted)
     hits = postings.join(wanted, "term").join(F.broadcast(index.stats), how="cross")
     norm = F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
     # rounded beyond any meaning: sums in another order must not part texts that tie
-    return hits.groupBy(*keys, "chunk_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    return hits.groupBy(*keys, "chunk_id", *carried).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, keys: list[str], k, order: list) -> DataFrame:
@@ -89,7 +104,7 @@ def top_k(scored: DataFrame, keys: list[str], k, order: list) -> DataFrame:
 def bm25_search(index: BM25Index, queries: DataFrame, k: int = 10, text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """(keys, chunk_id, score, rank), best first, ties in chunk order. ``allowed``: (keys, source_file) that a query is restricted to."""
     keys = [c for c in queries.columns if c != text_col]
-    scored = bm25_scores(index, queries, text_col).join(index.chunks, "chunk_id")
+    scored = bm25_scores(index, queries, text_col)
     if allowed is not None:
         scored = scored.join(allowed.distinct(), [*keys, "source_file"], "left_semi")
     return top_k(scored, keys, k, [F.desc("score"), "ordinal"]).select(*keys, "chunk_id", "score", "rank")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Names under which services return an item's index and its score, in order of preference. Fixed values.
+INDEX_FIELDS = ("index", "document_index", "id")
+SCORE_FIELDS = ("relevance_score", "score", "rerank_score")
 FUNCTION_WEIGHT = 0.6
 RUNTIME_WEIGHT = 0.25
 
@@ -32,7 +35,7 @@ def parse_scores(responses: DataFrame, hits: DataFrame) -> DataFrame:
     scores its hits in their order; hits that no item names get -(idx + 1).
     """
     field = lambda *names: F.coalesce(*[F.get_json_object("item", f"$.{n}") for n in names])
-    parsed = responses.select("qid", "place", F.coalesce(field("index", "document_index", "id"), F.col("place").cast("string")).try_cast("double").alias("at"), F.coalesce(field("relevance_score", "score", "rerank_score"), F.lit("0")).try_cast("double").alias("s"))
+    parsed = responses.select("qid", "place", F.coalesce(field(*INDEX_FIELDS), F.col("place").cast("string")).try_cast("double").alias("at"), F.coalesce(field(*SCORE_FIELDS), F.lit("0")).try_cast("double").alias("s"))
     parsed = parsed.where("at is not null and s is not null").withColumn("idx", F.col("at").cast("long"))
     sizes = hits.groupBy("qid").agg(F.count("*").alias("total"))
     # of several scores of one hit the lowest one counts, as the last in falling order
@@ -42,6 +45,22 @@ def parse_scores(responses: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.select("qid", "idx", F.coalesce("s", F.when(F.col("some"), -(F.col("idx") + 1)).otherwise(F.col("total") - F.col("idx")).cast("double")).alias("rerank_score"))
 
 
+def response_scores(data: dict, total: int) -> list[float]:
+    """``parse_scores`` for one service's answer about so many hits, on the executor that called it."""
+
+    def number(item: dict, names: tuple, other) -> float | None:
+        try:
+            return float(next((item[name] for name in names if name in item), other))
+        except (TypeError, ValueError):
+            return None
+
+    items = [(place, item) for place, item in enumerate(data.get("results", data.get("data", []))) if isinstance(item, dict)]
+    read = [(number(item, INDEX_FIELDS, place), number(item, SCORE_FIELDS, 0)) for place, item in items]
+    valid = sorted((int(at), -score) for at, score in read if at is not None and score is not None and 0 <= int(at) < total)
+    lowest = {at: -score for at, score in valid}  # of several scores the lowest, which comes last
+    return [lowest.get(i, -(i + 1.0)) if lowest else float(total - i) for i in range(total)]
+
+
 def document_text(source: Column, start: Column, end: Column, section: Column, kind: Column, text: Column) -> Column:
     """What a reranker reads of a chunk."""
     pages = F.when(start == end, F.concat(F.lit("page: "), start.cast("string"))).otherwise(F.concat(F.lit("pages: "), start.cast("string"), F.lit("-"), end.cast("string")))

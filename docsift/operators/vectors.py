@@ -1,71 +1,142 @@
-"""Exact vector search: the inner product of every query with every vector, block by block."""
+"""Exact vector search: the inner product of every query with every vector, block by block.
+
+A batch of at most QUERIES_AT_ONCE queries is sent to all tasks, which scan the vectors where
+they lie. Larger batches stay a table: its queries are dealt in blocks, the vectors in shards, and
+every block meets every shard in one task, which holds the block and reads the vectors as they come.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-#: Queries whose vectors go to every task at once; more are searched block by block.
 QUERIES_AT_ONCE = 4096
 ROWS_AT_ONCE = 2048
+#: Vectors in a shard of the large batches' way, about.
+SHARD_ROWS = 1 << 20
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_col: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) of scores above 0, best first, ties in order of ``ordinal``.
 
-    vectors: (chunk_id, ordinal, embedding, and source_file if ``allowed`` is given); queries:
-    (qid, embedding); allowed: (qid, source_file). Of every few
-    thousand vectors k rows stay for each query, and each task ranks these before a shuffle. The query batch is
-    what the driver sends out, in blocks of bounded size.
+    vectors: (chunk_id, ordinal, embedding, and source_file if sources are restricted); queries:
+    (qid, embedding), and possibly ``sources``, the sources that a query is restricted to, null for all; or
+    ``allowed``: the same as rows (qid, source_file), where a query without any finds nothing. Of
+    every few thousand vectors at most k rows stay for each query, and each task ranks these
+    before a shuffle. Null vectors take no part; one of another length than the query's is an error.
     """
-    parts, rows, block = [], [], []
-    for row in queries.where(F.col(vector_col).isNotNull()).select("qid", F.col(vector_col).cast("array<double>").alias("v")).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERIES_AT_ONCE:
-            rows.append(block)
-            block = []
-    if block or not rows:
-        rows.append(block)
-    hints: dict = {}
+    names = queries.schema
+    asked = queries.withColumn("v", F.col(vector_col).cast("array<double>"))
     if allowed is not None:
-        for qid, source in allowed.distinct().toLocalIterator():
-            hints.setdefault(qid, set()).add(source)
-    for block in rows:
-        parts.append(_search_block(vectors, queries, block, k, vector_col, hints if allowed is not None else None))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        lists = allowed.groupBy("qid").agg(F.collect_set("source_file").alias("sources"))
+        asked = asked.select("qid", "v").join(lists, "qid", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    elif "sources" not in asked.columns:
+        asked = asked.withColumn("sources", F.lit(None).cast("array<string>"))
+    asked = asked.select("qid", "v", F.col("sources").cast("array<string>").alias("sources"))
+    source = F.col("source_file").cast("string") if "source_file" in vectors.columns else F.lit(None).cast("string")
+    frame = vectors.select("chunk_id", "ordinal", F.col(vector_col).cast("array<double>").alias("v"), source.alias("source"))
+    kinds = {"qid": names["qid"].dataType, **{c: vectors.schema[c].dataType for c in ("chunk_id", "ordinal")}}
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double"
+
+    rows = asked.limit(QUERIES_AT_ONCE + 1).toArrow()
+    if rows.num_rows <= QUERIES_AT_ONCE:
+        found = frame.mapInArrow(_scan(Block(rows), k), schema)
+    else:
+        found = _dealt(frame, asked, k, schema, kinds)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "ordinal")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
 
 
-def _search_block(vectors: DataFrame, queries: DataFrame, block: list, k: int, vector_col: str, hints: dict | None) -> DataFrame:
-    q_type, c_type, o_type = (queries.schema["qid"].dataType.simpleString(), *(vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "ordinal")))
-    kind, qids = to_arrow_type(queries.schema["qid"].dataType), [r["qid"] for r in block]
-    matrix = np.array([r["v"] for r in block], np.float64) if block else np.zeros((0, 0))
-    if hints is not None:
-        vectors = vectors.where(F.col("source_file").isin(*sorted({s for v in hints.values() for s in v}))) if hints else vectors.limit(0)
-    frame = vectors.where(F.col(vector_col).isNotNull()).select("chunk_id", "ordinal", F.col(vector_col).cast("array<double>").alias("v"), *(["source_file"] if hints is not None else []))
+class Block:
+    """Some queries, and what they find in slices of the vectors."""
+
+    def __init__(self, rows: pa.Table):
+        """rows: qid, v, sources. Those without a vector take no part."""
+        rows = rows.filter(pc.is_valid(rows.column("v")))
+        self.qids, vectors = (rows.column(c).combine_chunks() for c in ("qid", "v"))
+        lengths = set(vectors.value_lengths().to_pylist())
+        if len(lengths) > 1:
+            raise ValueError(f"query vectors have different lengths: {sorted(lengths)}")
+        self.matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+        self.sources = [None if s is None else frozenset(s) for s in rows.column("sources").to_pylist()]
+
+    def allowed(self, source: pa.Array) -> np.ndarray | None:
+        """Whether each query may find each row, by its source; None if all may."""
+        if all(s is None for s in self.sources):
+            return None
+        coded = source.dictionary_encode()
+        held = np.array([[s is None or name in s for name in (*coded.dictionary.to_pylist(), None)] for s in self.sources])
+        return held[:, coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+
+    def hits(self, ids: pa.Array, ordinals: pa.Array, vectors: pa.Array, source: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+        valid = pc.is_valid(vectors)
+        ids, ordinals, vectors, source = (c.filter(valid) for c in (ids, ordinals, vectors, source))
+        for lo in range(0, len(ids) if len(self.qids) else 0, ROWS_AT_ONCE):
+            at = places(ordinals.slice(lo, ROWS_AT_ONCE))
+            id_, ordinal, v, s = (c.slice(lo, ROWS_AT_ONCE).take(at) for c in (ids, ordinals, vectors, source))
+            sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+            if (sizes != self.matrix.shape[1]).any():
+                raise ValueError(f"the queries' vectors have {self.matrix.shape[1]} components, an indexed one has {sizes[sizes != self.matrix.shape[1]][0]}; build the index again")
+            score = np.round(self.matrix @ v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).T, 9)  # so that equal vectors tie wherever they lie
+            if (mask := self.allowed(s)) is not None:
+                score[~mask] = -np.inf
+            # the k best of each query; rows are in order, so of those that tie with the last the first ones
+            last = max(0, score.shape[1] - k)
+            floor = np.partition(score, last, axis=1)[:, last, None]
+            above, even = score > floor, score == floor
+            keep = above | (even & (np.cumsum(even, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            q, r = np.nonzero(keep & (score > 0))
+            if len(q):
+                yield pa.record_batch([self.qids.take(pa.array(q)), id_.take(pa.array(r)), ordinal.take(pa.array(r)), pa.array(score[q, r])], ["qid", "chunk_id", "ordinal", "score"])
+
+
+def places(ordinals: pa.Array) -> pa.Array:
+    """The order of rows by ordinal, which may be a struct."""
+    columns = [ordinals]
+    while any(pa.types.is_struct(c.type) for c in columns):
+        columns = [part for c in columns for part in (c.flatten() if pa.types.is_struct(c.type) else [c])]
+    names = [f"c{i}" for i in range(len(columns))]
+    return pc.sort_indices(pa.table(columns, names), [(n, "ascending") for n in names])
 
-    def search(batches):
+
+def _scan(block: Block, k: int):
+    def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(lo, ROWS_AT_ONCE)
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                if not len(matrix) or x.shape[1] != matrix.shape[1]:
-                    continue
-                score = np.round(matrix @ x.T, 9)  # so that equal vectors tie wherever they lie in a block
-                if hints is not None:
-                    sources = part.column(3).to_pylist()
-                    score[~np.array([[s in hints.get(q, ()) for s in sources] for q in qids])] = -np.inf
-                # k of each query, and all that tie with the last, whose order is settled later
-                floor = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-                q, r = np.nonzero((score >= floor[:, None]) & (score > 0))
-                if len(q):
-                    yield pa.record_batch([pa.array([qids[i] for i in q], kind), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r)), pa.array(score[q, r])], ["qid", "chunk_id", "ordinal", "score"])
-
-    return frame.mapInArrow(search, f"qid {q_type}, chunk_id {c_type}, ordinal {o_type}, score double")
+            yield from block.hits(batch.column(0), batch.column(1), batch.column(2), batch.column(3), k)
+
+    return run
+
+
+def _dealt(frame: DataFrame, asked: DataFrame, k: int, schema: str, kinds: dict) -> DataFrame:
+    """Rows (shard, block, kind, ...): the queries of a block come first, then the vectors of a shard."""
+    blocks, shards = -(-asked.count() // QUERIES_AT_ONCE), max(1, -(-frame.count() // SHARD_ROWS))
+    none = {c: F.lit(None).cast(t) for c, t in kinds.items()}
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    left = asked.select(each(shards).alias("shard"), own(blocks, "qid").alias("block"), F.lit(0).alias("kind"), "qid", none["chunk_id"].alias("chunk_id"), none["ordinal"].alias("ordinal"), "v", F.lit(None).cast("string").alias("source"), "sources")
+    right = frame.select(own(shards, "chunk_id").alias("shard"), each(blocks).alias("block"), F.lit(1).alias("kind"), none["qid"].alias("qid"), "chunk_id", "ordinal", "v", "source", F.lit(None).cast("array<string>").alias("sources"))
+    rows = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
+
+    def run(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part, now = batch.slice(lo, hi - lo), tuple(place[:2, lo].tolist())
+                if now != key:
+                    key, held, block = now, [], None
+                if place[2, lo] == 0:
+                    held.append(part)
+                elif held or block:
+                    if block is None:
+                        block, held = Block(pa.Table.from_batches(held)), []
+                    yield from block.hits(part.column("chunk_id"), part.column("ordinal"), part.column("v"), part.column("source"), k)
+
+    return rows.mapInArrow(run, schema)

@@ -56,20 +56,17 @@ class Engine:
         asked_variants = variants.join(flags, "qid")
         step = F.when(F.col("restricted"), 4).otherwise(2)
 
-        words = bm25_scores(self.bm25, variants.select("qid", "variant_no", "text")).join(self.bm25.chunks, "chunk_id").join(flags, "qid")
+        words = bm25_scores(self.bm25, variants.select("qid", "variant_no", "text")).join(flags, "qid")
         # one scoring serves both lists of a variant: all chunks, and those of hinted sources
         inside = F.col("restricted") & F.array_contains("hints", F.col("source_file"))
         kinds = F.when(inside, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
         words = words.withColumn("kind", F.explode(kinds)).withColumn("list_no", F.col("variant_no") * step + F.col("kind"))
         lists = top_k(words, ["qid", "list_no"], most, [F.desc("score"), "ordinal"]).select("qid", "list_no", "chunk_id", "score", "rank")
 
-        texts = asked_variants.select(F.struct("qid", "variant_no").alias("key"), self.embedder.embed(F.col("text")).alias("embedding"), "hints", "restricted", "candidates", step.alias("step"))
-        keyed = texts.withColumn("qid", F.to_json("key"))
-        back = keyed.select(F.col("qid").alias("k"), "key.qid", "key.variant_no", "candidates", "step")
-        deepest = 2 * CANDIDATES
-        free = vector_search(self.vectors, keyed.select("qid", "embedding"), deepest)
-        tied = vector_search(self.vectors, keyed.where("restricted").select("qid", "embedding"), deepest, allowed=keyed.where("restricted").select("qid", F.explode("hints").alias("source_file")))
-        near = free.withColumn("kind", F.lit(1)).unionByName(tied.withColumn("kind", F.lit(3))).withColumnRenamed("qid", "k").join(back, "k").where("rank <= candidates")
+        # one scan of the vectors serves both: a restricted variant asks a second time, with its sources
+        ask = lambda rows, kind, sources: rows.select(F.struct("qid", "variant_no", F.lit(kind).alias("kind"), "candidates", step.alias("step")).alias("qid"), self.embedder.embed(F.col("text")).alias("embedding"), sources.alias("sources"))
+        keyed = ask(asked_variants, 1, F.lit(None).cast("array<string>")).unionByName(ask(asked_variants.where("restricted"), 3, F.col("hints")))
+        near = vector_search(self.vectors, keyed, 2 * CANDIDATES).select("qid.*", "chunk_id", "score", "rank").where("rank <= candidates")
         return lists.unionByName(near.select("qid", (F.col("variant_no") * F.col("step") + F.col("kind")).alias("list_no"), "chunk_id", "score", "rank"))
 
     def search(self, queries: DataFrame, k: int = 8, candidates: int = CANDIDATES) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
-from docsift.functions.udfs import repair_and_unescape, split_at_punctuation
+from docsift.functions.udfs import repair_and_unescape
 from docsift.operators import answer, bm25, chunking, evaluate, fusion, merge, rerank
 from docsift.operators.vectors import vector_search
 from docsift.plans.engine import Engine
@@ -215,7 +215,8 @@ def leaf_chunks(spark, sf_dir):
     SELECT doc_id, CAST(part AS INTEGER) AS part, trim(substr(body, CAST(1 + 620 * part AS INTEGER), 700)) AS chunk FROM p WHERE trim(substr(body, CAST(1 + 620 * part AS INTEGER), 700)) <> ''
 """)
 def fixed_window_chunks(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_at_punctuation(tx.strip_markup(F.col("text")))).alias("part", "chunk"))
+    texts = read(spark, sf_dir, "documents").select("doc_id", tx.strip_markup(F.col("text")).alias("text"))
+    return chunking.split_parts(texts, "text").withColumnRenamed("body", "chunk")
 
 
 @query(BLOCKS + f"""

@@ -29,12 +29,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def save_bm25(index: BM25Index, path: str) -> None:
     """Tables below a path; postings lie sorted by term, so a probe skips most row groups."""
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("terms", "stats", "chunks"):
+    for name in ("terms", "stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_bm25(spark: SparkSession, path: str) -> BM25Index:
-    return BM25Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "chunks")])
+    return BM25Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats")])
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 """Search operators against plain versions, and the whole search against one written in plain Python."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.functions.udfs import hash_vector, tokens_of
+from docsift.functions.udfs import hash_vector
 from docsift.operators import fusion, rerank
 from docsift.operators.bm25 import bm25_search, build_bm25
 from docsift.operators.vectors import vector_search
@@ -15,6 +16,7 @@ from docsift.plans.engine import Engine
 from docsift.plans.models import HashEmbedder, Reranker
 
 from .conftest import SF
+from .plain import tokens_of
 
 
 def chunks_of(spark, rows):
@@ -54,13 +56,14 @@ def test_top_k_limits_before_the_shuffle(spark):
 def test_vector_search_is_exact(spark, monkeypatch):
     import docsift.operators.vectors as vs
 
-    monkeypatch.setattr(vs, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(vs, "SHARD_ROWS", 25)
     r = random.Random(1)
     rows = [(f"c{k}", k, f"s{k % 3}", [r.randint(-2, 2) * 1.0 for _ in range(4)]) for k in range(60)]
     v = spark.createDataFrame(rows, "chunk_id string, ordinal int, source_file string, embedding array<double>")
     q = spark.createDataFrame([(k, [r.randint(-2, 2) * 1.0 for _ in range(4)]) for k in range(8)], "qid int, embedding array<double>")
     allowed = spark.createDataFrame([(k, f"s{k % 3}") for k in range(8)], "qid int, source_file string")
-    for limit in (None, allowed):
+    for most, limit in ((3, None), (3, allowed), (4096, None), (4096, allowed)):  # a table of blocks, and one that is sent
+        monkeypatch.setattr(vs, "QUERIES_AT_ONCE", most)
         got = {}
         for h in vector_search(v, q, 5, allowed=limit).collect():
             got.setdefault(h.qid, []).append((h.rank, h.chunk_id, h.score))
@@ -69,6 +72,20 @@ def test_vector_search_is_exact(spark, monkeypatch):
             assert sorted(got.get(qid, [])) == [(k + 1, c, -s) for k, (s, _, c) in enumerate(x for x in scored if x[0] < 0)][:5]
 
 
+def test_vectors_of_another_length_are_an_error(spark):
+    v = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("b", 1, None)], "chunk_id string, ordinal int, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "qid int, embedding array<double>")
+    with pytest.raises(Exception, match="build the index again"):
+        vector_search(v, q, 5).collect()
+    assert vector_search(v, q.limit(0), 5).count() == vector_search(v.where("ordinal = 1"), q, 5).count() == 0
+
+
+def test_a_common_vector_gives_each_query_k_rows(spark):
+    v = spark.createDataFrame([(f"c{k}", (9 - k % 10, k), [1.0]) for k in range(3000)], "chunk_id string, ordinal struct<a:int,b:int>, embedding array<double>").coalesce(1)
+    found = vector_search(v, spark.createDataFrame([(1, [2.0])], "qid int, embedding array<double>"), 4)
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == ["c9", "c19", "c29", "c39"]
+
+
 def test_rrf_by_hand(spark):
     lists = spark.createDataFrame([(1, 0, "a", 10.0, 1), (1, 0, "b", 5.0, 2), (1, 1, "b", 1.0, 1)], "qid int, list_no int, chunk_id string, score double, rank int")
     got = {r.chunk_id: round(r.score, 6) for r in fusion.rrf(lists).collect()}
@@ -246,8 +263,15 @@ def test_a_small_query_batch_is_broadcast_and_columns_are_pruned(spark):
 
 
 def test_hash_embedder_is_the_plain_one(spark):
-    row = spark.createDataFrame([("GSM-R 频率",)], "s string").select(HashEmbedder().embed(F.col("s"))).first()[0]
-    assert row == pytest.approx(hash_vector(tokens_of("GSM-R 频率")))
+    texts = ["GSM-R 频率", "", None, "a b a 频率频率 _x-y", corpus(1)[0][6]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string").coalesce(1).select("k", HashEmbedder().embed(F.col("s")).alias("v")).collect()
+    for r in rows:
+        vector = [0.0] * 384
+        for token, count in Counter(tokens_of(texts[r.k] or "")).items():
+            digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
+            vector[int.from_bytes(digest[:4], "little") % 384] += (1 - 2 * (digest[4] % 2)) * (1 + math.log(count))
+        length = math.sqrt(sum(x * x for x in vector))
+        assert r.v == pytest.approx([x / length if length else 0.0 for x in vector])
 
 
 def test_entry_runs(spark):

@@ -111,7 +111,7 @@ def test_models_are_chosen_by_settings():
     assert models.get_embedder(s).name == "hashing-fallback" and models.get_reranker(s) is None and models.chat_client(s) is None
     assert models.get_embedder(get_settings(embedding_api_key="k", embedding_model="m")).name == "openai-compatible:m"
     assert models.get_embedder(get_settings(local_embedding_model="m")).name == "sentence-transformers:m"
-    assert models.get_embedder(get_settings(local_embedding_model="m", use_flagembedding=True)).name == "flagembedding:m"
+    assert models.get_embedder(get_settings(local_embedding_model="m", use_flagembedding=True)).name == "flagembedding-m3:m"
     assert models.get_reranker(get_settings(reranker_api_key="k", reranker_model="m")).name == "api-reranker:m"
     assert models.get_reranker(get_settings(local_reranker_model="m")).weight == 0.25
 
