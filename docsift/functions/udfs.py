@@ -49,12 +49,17 @@ def repair_and_unescape(texts: pa.Array) -> pa.Array:
 def split_points(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
     """Overlapping parts of a clean text, ended after punctuation where that leaves more than half of the size.
 
-    All places after a mark are found at once; each window takes the last one it reaches.
+    Without such marks the parts start at fixed places; with some, all places after a mark are
+    found at once, and each window takes the last one that it reaches.
     """
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    places = np.flatnonzero(np.isin(codes, BREAK_CODES)) + 1
+    n, step = len(text), size - overlap
+    if n <= size:
+        return [text] if text else []
+    if not any(c in text for c in BREAKS):
+        return [text[a : a + size].strip() for a in range(0, n - overlap, step)]
+    places = np.flatnonzero(np.isin(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), BREAK_CODES)) + 1
     reached = np.concatenate([[0], places])
-    bounds, at, n = [], 0, len(codes)
+    bounds, at = [], 0
     while n - at > size:
         last = int(reached[np.searchsorted(places, at + size, "right")])
         stop = last if last - at > size // 2 + 1 else at + size
@@ -65,7 +70,7 @@ def split_points(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP_CHARS)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def split_at_marks(texts: pa.Array) -> pa.Array:
+def split_at_punctuation(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else split_points(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsift.functions.text import tokenize
+from docsift.sources.scratch import written
 
 K1 = 1.5
 B = 0.75
 #: Queries whose terms are sent to every task; more are joined by shuffling.
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 16 << 20
+ROWS_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
@@ -24,14 +29,15 @@ class BM25Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    chunks: DataFrame | None = None  # of an index being built: what is counted
 
-    def persist(self) -> BM25Index:
-        """Keeps the postings: the statistics come from them too, so a search reads texts once, further ones not at all."""
-        self.postings.persist()
-        return self
-
-    def unpersist(self) -> None:
-        self.postings.unpersist()
+    def written(self) -> BM25Index:
+        """The index with its tables written to the shared folder: the statistics come from the postings, and a search reads no texts."""
+        spark, postings = self.postings.sparkSession, written(self.postings, "postings")
+        tokens = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
+        n = self.chunks.count()
+        stats = spark.createDataFrame([(n, tokens / max(n, 1))], "n long, avgdl double")
+        return BM25Index(postings, _terms(postings, stats), stats)
 
 
 def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
@@ -39,31 +45,38 @@ def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
     return chunks.select("chunk_id", F.size(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
 
 
-def counted(tokens: Column) -> Column:
-    """Distinct tokens with their counts, as an array of (term, tf): runs of the sorted tokens, so nothing is shuffled to count."""
-    held = F.sort_array(tokens)
-    firsts = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i) != F.get(held, i - 1)))
-    ends = F.concat(F.slice(firsts, 2, F.greatest(F.size(firsts), F.lit(1))), F.array(F.size(held)))
-    runs = F.zip_with(firsts, ends, lambda a, b: F.struct(F.get(held, a).alias("term"), (b - a).cast("long").alias("tf")))
-    return F.when(F.size(tokens) > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tokens, other columns) as rows (term, tf, dl, other columns): the distinct tokens of all rows of a batch counted together."""
+    for batch in batches:
+        for part in (batch.slice(lo, ROWS_AT_ONCE) for lo in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            tokens, sizes = part.column(0), part.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = tokens.flatten().dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row = pairs // kinds
+            others = [part.column(c).take(pa.array(row)) for c in range(1, part.num_columns)]
+            yield pa.record_batch([coded.dictionary.take(pa.array(pairs % kinds)), pa.array(counts), pa.array(sizes[row].astype(np.int32)), *others], ["term", "tf", "dl", *part.schema.names[1:]])
 
 
 def build_bm25(chunks: DataFrame, text_col: str = "index_text") -> BM25Index:
     """Statistics over all chunks: later filters restrict candidates only.
 
-    Terms are counted within a chunk's row, so building shuffles no postings; a frequent term
-    costs the statistics one row for each task.
+    Terms are counted within a batch of chunks, so building shuffles no postings; a frequent
+    term costs the statistics one row for each task.
     """
-    carried = [c for c in ("ordinal", "source_file") if c in chunks.columns]
-    tokens = chunks.select("chunk_id", *carried, tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    words = tokens.select("chunk_id", *carried, F.size("tokens").alias("dl"), F.explode(counted(F.col("tokens"))).alias("t"))
-    postings = words.select("t.term", "chunk_id", "dl", "t.tf", *carried)
+    carried = [c for c in ("chunk_id", "ordinal", "source_file") if c in chunks.columns]
+    tokens = chunks.select(tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), *carried)
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in carried)
+    postings = tokens.mapInArrow(_counted, f"term string, tf long, dl int, {kinds}")
     # all statistics come from the postings, so that texts are read once where these are persisted or saved
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
     stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    return BM25Index(postings, _terms(postings, stats), stats, chunks)
+
+
+def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
     terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats), how="cross")
-    terms = terms.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return BM25Index(postings, terms, stats)
+    return terms.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsift.functions.text import clean, cut_at_word, page_label, squeeze, stable_id
-from docsift.functions.udfs import BREAKS, MAX_CHARS, OVERLAP_CHARS, split_at_marks
+from docsift.functions.udfs import split_at_punctuation
+from docsift.sources.scratch import written
 
 MIN_CHARS = 20
 #: Types kept however short they are. Fixed values.
@@ -50,25 +51,9 @@ def _chunk(df: DataFrame, chunk_id: Column, kind: Column, prefix: Column, body:
     return df.select(chunk_id.alias("chunk_id"), "source_file", "page_start", "page_end", "section", kind.alias("block_type"), body.alias("raw_text"), prefix.alias("contextual_prefix"), F.concat(prefix, F.lit("\n"), body).alias("index_text"), body.alias("display_text"), refs.alias("image_refs"), F.lit(family).alias("family"), key.alias("order_key"))
 
 
-def split_parts(rows: DataFrame, text_col: str) -> DataFrame:
-    """One row (all columns but the text, part, body) for each overlapping part of a clean text.
-
-    Only texts that are long and hold a mark they may be cut after go to Python; of others the parts
-    start at fixed places. A null or empty text has no part.
-    """
-    n, step, text = F.length(text_col), MAX_CHARS - OVERLAP_CHARS, F.col(text_col)
-    marked = (n > MAX_CHARS) & text.rlike(f"[{BREAKS}]")
-    many = F.when(n > 0, F.greatest(F.ceil((n - MAX_CHARS) / step), F.lit(0)) + 1).otherwise(0).cast("int")
-    pieces = F.when(marked, split_at_marks(F.when(marked, text))).otherwise(F.array_repeat(F.lit(None).cast("string"), many))
-    spread = rows.withColumn("_pieces", pieces).select("*", F.posexplode("_pieces").alias("part", "_piece"))
-    body = F.coalesce("_piece", F.trim(F.substring(text, F.col("part") * step + 1, F.lit(MAX_CHARS))))
-    return spread.withColumn("body", body).drop("_pieces", "_piece", text_col)
-
-
 def leaf_chunks(blocks: DataFrame) -> DataFrame:
     """Leaves of numbered blocks: overlapping parts of their clean texts, short ones of most types dropped."""
-    parts = blocks.select("source_file", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.coalesce("section", F.lit("")).alias("section"), "block_type", F.coalesce("image_refs", F.array().cast("array<string>")).alias("image_refs"), "block_index", clean(F.col("text")).alias("_text"))
-    parts = split_parts(parts, "_text")
+    parts = blocks.select("source_file", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.coalesce("section", F.lit("")).alias("section"), "block_type", F.coalesce("image_refs", F.array().cast("array<string>")).alias("image_refs"), "block_index", F.posexplode(split_at_punctuation(clean(F.col("text")))).alias("part", "body"))
     parts = parts.where((F.length("body") >= MIN_CHARS) | F.col("block_type").isin(*SHORT_TYPES))
     prefix = leaf_prefix(F.col("source_file"), F.col("page_start"), F.col("section"), F.col("block_type"))
     key = F.struct(F.lit("").alias("a"), F.col("block_index").cast("long").alias("b"), F.col("part").cast("long").alias("c"), F.lit("").alias("d"))
@@ -160,8 +145,8 @@ def outline_chunks(leaves: DataFrame, size: int = 30) -> DataFrame:
 
 
 def build_chunks(blocks: DataFrame) -> DataFrame:
-    """All six families of numbered blocks; the leaves are computed once if the caller persists ``blocks``."""
-    leaves = leaf_chunks(blocks)
+    """All six families of numbered blocks. The leaves are written once: every family reads them."""
+    leaves = written(leaf_chunks(blocks), "leaves")
     out = leaves
     for family in (page_chunks, section_chunks, heading_chunks, graph_chunks, outline_chunks):
         out = out.unionByName(family(leaves))

@@ -6,7 +6,7 @@ many queries it has. Wide texts join in only where they are needed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from docsift.operators.bm25 import BM25Index, bm25_scores, build_bm25, top_k
 from docsift.operators.vectors import vector_search
 from docsift.plans.models import Chat, Embedder, HashEmbedder, Reranker, generate
 from docsift.plans.ship import ship
+from docsift.sources.scratch import written
 
 CANDIDATES = 30
 HIT_COLUMNS = ("qid", "rank", "chunk_id", "score", "source_file", "page_start", "page_end", "section", "block_type", "display_text")
@@ -41,11 +42,9 @@ class Engine:
         vectors = chunks.select("chunk_id", "ordinal", "source_file", embedder.embed(F.col("index_text")).alias("embedding"))
         return Engine(chunks, build_bm25(chunks), vectors, embedder, reranker)
 
-    def persist(self) -> Engine:
-        """Keeps postings and vectors for the searches of this session."""
-        self.bm25.persist()
-        self.vectors.persist()
-        return self
+    def written(self) -> Engine:
+        """The engine with its postings and vectors written to the shared folder, for any number of searches."""
+        return replace(self, bm25=self.bm25.written(), vectors=written(self.vectors, "vectors"))
 
     def ranked_lists(self, asked: DataFrame, variants: DataFrame) -> DataFrame:
         """(qid, list_no, chunk_id, score, rank): for each variant, words and vectors, over all chunks and over hinted sources."""

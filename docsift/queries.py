@@ -1,7 +1,7 @@
 """The registered queries, over the test tables, and the SQL that each is checked against.
 
-``documents`` stand in for parsed files: a line is a block, every fourth line a title, three
-lines a page. ``benchmark`` gives questions, ``embeddings`` vectors.
+``documents`` stand in for parsed files: a line is a block, three lines a page; every fourth
+line starts with a title, its first 60 characters, and what is left of it is a block of its own. ``benchmark`` gives questions, ``embeddings`` vectors.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
-from docsift.functions.udfs import repair_and_unescape
+from docsift.functions.udfs import repair_and_unescape, split_at_punctuation
 from docsift.operators import answer, bm25, chunking, evaluate, fusion, merge, rerank
 from docsift.operators.vectors import vector_search
 from docsift.plans.engine import Engine
@@ -61,14 +61,23 @@ def html_tag_strip(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", tx.strip_markup(F.col("html")).alias("body"))
 
 
-@query()
+UNESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {CLEAN.format(UNESCAPED)} AS body FROM pages")
 def html_clean(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", tx.clean(F.col("html")).alias("body"))
 
 
-@query()
+GARBLED = (("璐ｈ▊", "责訂"), ("浜у搧鎵嬪唽.pdf", "浜у搧鎵嬪唽.pdf"), ("plain", "plain"))
+
+
+@query("SELECT doc_id, text AS body, g.garbled, g.repaired FROM documents, (VALUES (0, '璐ｈ▊', '责訂'), (1, '浜у搧鎵嬪唽.pdf', '浜у搧鎵嬪唽.pdf'), (2, 'plain', 'plain')) g(k, garbled, repaired) WHERE doc_id % 3 = k")
 def mojibake_repair(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", repair_and_unescape("text").alias("body"))
+    """Every text, which needs no repair, beside a name that may."""
+    garbled = F.element_at(F.array(*[F.lit(g) for g, _ in GARBLED]), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", garbled.alias("garbled"))
+    return rows.select("doc_id", repair_and_unescape("text").alias("body"), "garbled", repair_and_unescape("garbled").alias("repaired"))
 
 
 @query("""
@@ -160,8 +169,10 @@ def insufficiency_note(spark, sf_dir):
 
 BLOCKS = f"""
     WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
-    blocks AS (SELECT doc_id, pos, 'doc' || doc_id AS source_file, CAST(1 + pos // 3 AS INTEGER) AS page, CASE WHEN pos % 4 = 0 THEN 'title' ELSE 'text' END AS block_type,
-                      {CLEAN.format("CASE WHEN pos % 4 = 0 THEN substr(line, 1, 60) ELSE line END")} AS body, CASE WHEN pos % 4 = 0 THEN CAST(1 + (pos // 4) % 3 AS INTEGER) END AS level FROM lines WHERE trim(line) <> ''),
+    cut AS (SELECT doc_id, 2 * pos AS pos, pos AS p, pos % 4 = 0 AS head, CASE WHEN pos % 4 = 0 THEN substr(line, 1, 60) ELSE line END AS line FROM lines
+            UNION ALL SELECT doc_id, 2 * pos + 1, pos, false, substr(line, 61) FROM lines WHERE pos % 4 = 0),
+    blocks AS (SELECT doc_id, pos, 'doc' || doc_id AS source_file, CAST(1 + p // 3 AS INTEGER) AS page, CASE WHEN head THEN 'title' ELSE 'text' END AS block_type,
+                      {CLEAN.format("line")} AS body, CASE WHEN head THEN CAST(1 + (p // 4) % 3 AS INTEGER) END AS level FROM cut WHERE trim(line) <> ''),
     open AS (SELECT b.doc_id, b.pos, t.pos AS tpos, t.body FROM blocks b JOIN blocks t ON t.doc_id = b.doc_id AND t.level IS NOT NULL AND t.pos <= b.pos
              WHERE NOT EXISTS (SELECT 1 FROM blocks u WHERE u.doc_id = b.doc_id AND u.pos > t.pos AND u.pos <= b.pos AND u.level <= t.level)),
     paths AS (SELECT doc_id, pos, string_agg(body, ' > ' ORDER BY tpos) AS section FROM open GROUP BY ALL),
@@ -181,9 +192,14 @@ def _cut(n: int) -> str:
 def document_blocks(spark, sf_dir) -> DataFrame:
     """Documents as blocks with section paths, numbered."""
     docs = read(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
-    title = F.col("pos") % 4 == 0
-    rows = lines.select(F.col("doc_id").alias("doc_key"), F.col("pos").alias("block_pos"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_file"), F.expr("cast(1 + pos div 3 as int)").alias("page"), F.when(title, "title").otherwise("text").alias("block_type"), F.when(title, F.substring("line", 1, 60)).otherwise(F.col("line")).alias("text"), F.when(title, F.expr("cast(1 + (pos div 4) % 3 as int)")).alias("title_level"), F.array().cast("array<string>").alias("image_refs"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    head = F.col("pos") % 4 == 0
+    level = F.expr("cast(1 + (pos div 4) % 3 as int)")
+    block = lambda at, kind, text, depth: F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), text.alias("text"), depth.cast("int").alias("level"))
+    none, twice = F.lit(None), 2 * F.col("pos")
+    parts = F.when(head, F.array(block(twice, "title", F.substring("line", 1, 60), level), block(twice + 1, "text", F.expr("substring(line, 61)"), none))).otherwise(F.array(block(twice, "text", F.col("line"), none)))
+    cut = lines.select("doc_id", "pos", F.explode(parts).alias("b")).where("trim(b.text) <> ''")
+    rows = cut.select(F.col("doc_id").alias("doc_key"), F.col("b.at").alias("block_pos"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source_file"), F.expr("cast(1 + pos div 3 as int)").alias("page"), F.col("b.kind").alias("block_type"), F.col("b.text").alias("text"), F.col("b.level").alias("title_level"), F.array().cast("array<string>").alias("image_refs"))
     rows = rows.withColumn("title", F.when(F.col("title_level").isNotNull(), tx.strip_markup(F.col("text"))))
     return chunking.number_blocks(section_paths(rows, [1, 2, 3]))
 
@@ -215,8 +231,7 @@ def leaf_chunks(spark, sf_dir):
     SELECT doc_id, CAST(part AS INTEGER) AS part, trim(substr(body, CAST(1 + 620 * part AS INTEGER), 700)) AS chunk FROM p WHERE trim(substr(body, CAST(1 + 620 * part AS INTEGER), 700)) <> ''
 """)
 def fixed_window_chunks(spark, sf_dir):
-    texts = read(spark, sf_dir, "documents").select("doc_id", tx.strip_markup(F.col("text")).alias("text"))
-    return chunking.split_parts(texts, "text").withColumnRenamed("body", "chunk")
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_at_punctuation(tx.strip_markup(F.col("text")))).alias("part", "chunk"))
 
 
 @query(BLOCKS + f"""
@@ -302,7 +317,7 @@ BM25 = f"""
 
 @query(BM25 + "SELECT term, df, round(idf, 9) AS idf FROM terms")
 def term_df_idf(spark, sf_dir):
-    return bm25.build_bm25(document_chunks(spark, sf_dir)).persist().terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return bm25.build_bm25(document_chunks(spark, sf_dir)).written().terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(BM25 + "SELECT n, round(avgdl, 9) AS avgdl FROM stats")
@@ -312,7 +327,7 @@ def doc_length_stats(spark, sf_dir):
 
 @query(BM25 + "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)).persist(), questions(spark, sf_dir), 10)
+    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)).written(), questions(spark, sf_dir), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -320,7 +335,7 @@ def bm25_topk(spark, sf_dir):
 def bm25_source_restricted(spark, sf_dir):
     q = questions(spark, sf_dir)
     allowed = q.select("qid", F.concat(F.lit("src"), (F.col("qid") % 5).cast("string")).alias("source_file"))
-    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)).persist(), q, 10, allowed=allowed)
+    found = bm25.bm25_search(bm25.build_bm25(document_chunks(spark, sf_dir)).written(), q, 10, allowed=allowed)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -390,11 +405,10 @@ def source_hint_weight(spark, sf_dir):
 @query(f"""
     SELECT doc_id, round(CAST(CASE WHEN k IN ('title', 'outline', 'local_heading_index', 'graph_index') THEN 0.72 WHEN k IN ('table', 'table_body') THEN 1.12 WHEN k = 'page_summary' THEN 1.04 WHEN k = 'llm_summary' THEN 0.82 ELSE 1.0 END
            * CASE WHEN n < 25 THEN 0.55 WHEN n < 80 THEN 0.82 ELSE 1.0 END AS DOUBLE), 9) AS weight
-    FROM (SELECT doc_id, {KIND_SQL} AS k, length(regexp_replace(substr(text, 1, CAST(doc_id % 120 AS INTEGER)), '^\\s+|\\s+$', '', 'g')) AS n FROM documents)
+    FROM (SELECT doc_id, {KIND_SQL} AS k, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM documents)
 """)
 def quality_weight(spark, sf_dir):
-    shown = F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 120).cast("int"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.round(fusion.quality_weight(kind_of(F.col("doc_id")), shown), 9).alias("weight"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(fusion.quality_weight(kind_of(F.col("doc_id")), F.col("text")), 9).alias("weight"))
 
 
 @query(f"""
@@ -476,12 +490,12 @@ def rerank_score_parse(spark, sf_dir):
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark").where("item_id % 9 <> 4").select("item_id", "text", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
     page = ((F.col("item_id") * 3 + F.col("rank")) % 12 + 1).cast("int")
     return b.select(F.col("item_id").alias("qid"), "rank", F.concat(F.lit("src"), ((F.col("item_id") + F.col("rank")) % 4).cast("string")).alias("source_file"), page.alias("page_start"), (page + (F.col("rank") % 3).cast("int")).alias("page_end"), F.when(F.col("rank") == 2, "").otherwise("s").alias("section"), F.col("text").alias("display_text"), F.lit("text").alias("block_type"))
 
 
-HITS = "WITH h AS (SELECT item_id AS qid, CAST(r AS INTEGER) AS rank, 'src' || ((item_id + r) % 4) AS source_file, CAST((item_id * 3 + r) % 12 + 1 AS INTEGER) AS page_start, CAST((item_id * 3 + r) % 12 + 1 + r % 3 AS INTEGER) AS page_end, CASE WHEN r = 2 THEN '' ELSE 's' END AS section, text AS display_text FROM benchmark, generate_series(1, 5) g(r) WHERE item_id % 9 <> 4)"
+HITS = "WITH h AS (SELECT item_id AS qid, CAST(r AS INTEGER) AS rank, 'src' || ((item_id + r) % 4) AS source_file, CAST((item_id * 3 + r) % 12 + 1 AS INTEGER) AS page_start, CAST((item_id * 3 + r) % 12 + 1 + r % 3 AS INTEGER) AS page_end, CASE WHEN r = 2 THEN '' ELSE 's' END AS section, text AS display_text FROM benchmark, generate_series(1, 5) g(r))"
 LABEL = "CASE WHEN page_start = page_end THEN '第 ' || page_start || ' 页' ELSE '第 ' || page_start || '-' || page_end || ' 页' END"
 
 
@@ -547,13 +561,13 @@ def retrieval_metrics(spark, sf_dir):
 
 
 @query("""
-    WITH l AS (SELECT 0 AS layer, doc_id AS k, doc_id AS at, text AS body FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id, doc_id, 'latest ' || doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 2, doc_id, doc_id, 'new ' || doc_id FROM documents WHERE doc_id % 5 = 0)
+    WITH l AS (SELECT 0 AS layer, doc_id AS k, text AS body FROM documents UNION ALL SELECT 1, doc_id, 'quality ' || quality || ' toxic ' || toxic FROM labels UNION ALL SELECT 2, item_id, text FROM benchmark)
     SELECT k AS chunk_id, arg_max(body, layer) AS body, CAST(min(layer) AS INTEGER) AS first_layer FROM l GROUP BY k
 """)
 def chunk_upsert(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"), F.col("doc_id").alias("ordinal"))
-    named = lambda word, n: d.where(F.col("chunk_id") % n == 0).withColumn("body", F.concat(F.lit(word), F.col("chunk_id").cast("string")))
-    out = merge.upsert(d.where("chunk_id % 2 = 0"), named("latest ", 3), named("new ", 5))
+    layer = lambda name, key, body: read(spark, sf_dir, name).select(F.col(key).alias("chunk_id"), body.alias("body"), F.col(key).alias("ordinal"))
+    label = F.concat_ws(" ", F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
+    out = merge.upsert(layer("documents", "doc_id", F.col("text")), layer("labels", "doc_id", label), layer("benchmark", "item_id", F.col("text")))
     return out.select("chunk_id", "body", F.col("ordinal.layer").alias("first_layer"))
 
 
@@ -581,4 +595,4 @@ def hybrid(spark, sf_dir) -> DataFrame:
     body = tx.strip_markup(F.col("text"))
     chunks = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_file"), page.alias("page_start"), page.alias("page_end"), F.lit("").alias("section"), F.lit("text").alias("block_type"), body.alias("index_text"), body.alias("display_text"), F.col("doc_id").alias("ordinal"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return Engine.build(chunks).persist().retrieve(asked, 8).select("qid", "rank", "chunk_id", "source_file", "page_start", F.round("score", 9).alias("score"))
+    return Engine.build(chunks).written().retrieve(asked, 8).select("qid", "rank", "chunk_id", "source_file", "page_start", F.round("score", 9).alias("score"))

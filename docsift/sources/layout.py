@@ -32,7 +32,11 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     for folder in fs.listStatus(at):
         if folder.isDirectory():
             listed += [(folder.getPath().getName(), f.getPath().getName(), f.getPath().toString()) for f in fs.listStatus(folder.getPath()) if f.isFile()]
-    rows = spark.createDataFrame(listed, "doc_key string, file string, path string").withColumn("path", plain_path(F.col("path")))
+    return layout_files(spark.createDataFrame(listed, "doc_key string, file string, path string").withColumn("path", plain_path(F.col("path"))))
+
+
+def layout_files(rows: DataFrame) -> DataFrame:
+    """Of (doc_key, file, ...) the layout and origin files of the folders that have a full.md and a layout file."""
     layout = F.col("file").endswith("_content_list.json") | (F.col("file") == "block_list.json") | F.col("file").endswith("_content_list_v2.json")
     dirs = rows.groupBy("doc_key").agg(F.max((F.col("file") == "full.md").cast("int")).alias("full"), F.max((F.col("file").endswith("_content_list.json") | (F.col("file") == "block_list.json")).cast("int")).alias("has"))
     return rows.where(layout | F.col("file").endswith("_origin.pdf")).join(dirs.where("full = 1 and has = 1").select("doc_key"), "doc_key")
@@ -123,14 +127,17 @@ def load_blocks(spark: SparkSession, root: str) -> DataFrame:
 
     Flat files come first, of these the ``_v2`` ones last, then the nested file.
     """
-    files = discover(spark, root)
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", plain_path(F.input_file_name()).alias("path"))
+    return assemble(discover(spark, root).join(texts, "path", "left"))
+
+
+def assemble(files: DataFrame) -> DataFrame:
+    """Blocks of (doc_key, file, value): ``layout_files`` with the contents of those that are JSON."""
     origin = files.where("file like '%\\\\_origin.pdf'").groupBy("doc_key").agg(F.min("file").alias("origin"))
-    found = files.where("file not like '%\\\\_origin.pdf'").join(origin, "doc_key", "left")
+    found = files.where("file not like '%\\\\_origin.pdf' and value is not null").join(origin, "doc_key", "left")
     flat = F.col("file") != "block_list.json"
     rank = F.when(~flat, F.lit("3")).when(F.col("file").contains("_v2"), F.concat(F.lit("2"), F.col("file"))).otherwise(F.concat(F.lit("1"), F.col("file")))
-    found = found.select("doc_key", source_name(F.col("doc_key"), F.col("origin")).alias("source_file"), "path", flat.alias("flat"), rank.alias("priority"))
-    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", plain_path(F.input_file_name()).alias("path"))
-    rows = found.join(texts, "path")
+    rows = found.select("doc_key", source_name(F.col("doc_key"), F.col("origin")).alias("source_file"), "value", flat.alias("flat"), rank.alias("priority"))
     one = rows.where("flat").select("doc_key", "source_file", "priority", F.posexplode(F.from_json("value", "array<string>")).alias("block_pos", "item"))
     pages = rows.where("not flat").select("doc_key", "source_file", "priority", F.posexplode(F.from_json("value", "pdfData array<array<string>>")["pdfData"]).alias("a", "page_items"))
     two = pages.select("doc_key", "source_file", "priority", "a", F.posexplode("page_items").alias("b", "item")).select("doc_key", "source_file", "priority", (F.col("a") * 1_000_000 + F.col("b")).alias("block_pos"), "item")

@@ -6,8 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
-from docsift.functions.udfs import hash_vector, repair, split_points
-from docsift.operators.chunking import split_parts
+from docsift.functions.udfs import hash_vector, repair, split_at_punctuation, split_points
 
 from .plain import tokens_of
 
@@ -101,13 +100,10 @@ def test_splitter_covers_the_text(text, size):
     assert text[at:].strip() == "" and all(len(p) <= size for p in parts)
 
 
-def test_splitter_by_built_ins_is_the_plain_one(spark):
-    texts = ["a b " * k for k in (0, 1, 174, 175, 176, 400)] + ["x" * n for n in (700, 701, 1320, 1321, 2000)] + ["词，" * 500, "一" * 500 + "。" + "二" * 900, "a" * 350 + "；" + "b" * 800, "a" * 351 + "；" + "b" * 800, None]
-    texts = [t if t is None else t.strip() for t in texts]
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, s string")
-    got = sorted((r.k, r.part, r.body) for r in split_parts(df, "s").collect())
-    assert got == [(k, i, part) for k, t in enumerate(texts) for i, part in enumerate(split_points(t) if t else [])]
+def test_splitter_ends_after_marks_beyond_half(spark):
     assert split_points("a" * 350 + "；" + "b" * 800)[0] == "a" * 350 + "；" + "b" * 349 and split_points("a" * 351 + "；" + "b" * 800)[0] == "a" * 351 + "；"
+    assert [len(p) for p in split_points("词，" * 500)] == [700, 380] and split_points("") == []
+    assert one(spark, "词，" * 500, split_at_punctuation) == split_points("词，" * 500) and one(spark, None, split_at_punctuation) is None
 
 
 def test_cut_at_word(spark):
