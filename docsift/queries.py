@@ -17,7 +17,9 @@ from docsift.operators import answer, bm25, chunking, evaluate, fusion, merge, r
 from docsift.operators.vectors import vector_search
 from docsift.plans.engine import Engine
 from docsift.plans.models import HashEmbedder
-from docsift.sources.layout import section_paths, title_level
+from docsift.sources import storage
+from docsift.sources.layout import assemble, layout_files, section_paths, title_level
+from docsift.sources.scratch import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,6 +131,45 @@ def title_levels(spark, sf_dir):
     return rows.select("id", title_level(F.col("title"), F.col("lvl")).alias("level"))
 
 
+PHRASES = "(VALUES (0, '什么产品手册频率'), (1, '无线电设备'), (2, '频'), (3, '根据杂志说明'), (4, '')) f(k, phrase)"
+
+
+@query(f"""
+    WITH r AS (SELECT item_id, phrase FROM benchmark, {PHRASES} WHERE item_id % 5 = k), g AS (SELECT item_id, phrase, unnest([2, 3]) AS n FROM r),
+    e AS (SELECT item_id, n, unnest(generate_series(1, length(phrase) - n + 1)) AS i, phrase FROM g WHERE length(phrase) >= n),
+    t AS (SELECT item_id, substr(phrase, CAST(i AS INTEGER), n) AS term, min(n * 100 + i) AS place FROM e GROUP BY ALL)
+    SELECT item_id, coalesce(string_agg(term, '|' ORDER BY place), '') AS terms FROM r LEFT JOIN t USING (item_id)
+    WHERE term IS NULL OR term NOT IN ({", ".join(f"'{w}'" for w in tx.EVIDENCE_STOPWORDS)}) GROUP BY item_id
+""")
+def salient_terms(spark, sf_dir):
+    """Of each question, with a phrase in another script before it."""
+    phrases = F.array(*[F.lit(p) for p in ("什么产品手册频率", "无线电设备", "频", "根据杂志说明", "")])
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.element_at(phrases, (F.col("item_id") % 5 + 1).cast("int")), F.lit(" "), "text").alias("body"))
+    return rows.select("item_id", F.array_join(tx.salient_terms(F.col("body")), "|").alias("terms"))
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, {TOKENS.format(CLEAN.format('text'))} AS t FROM documents)
+    SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(t), lambda x: length(x) >= 2)), '|') AS terms FROM t
+""")
+def navigation_terms(spark, sf_dir):
+    terms = tx.navigation_terms(tx.strip_markup(F.col("text")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(terms), "|").alias("terms"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '产品手册.pdf' WHEN 1 THEN '杂志.pdf' ELSE source END AS source_file FROM documents")
+def normalize_source(spark, sf_dir):
+    name = F.when(F.col("doc_id") % 3 == 0, "浜у搧鎵嬪唽.pdf").when(F.col("doc_id") % 3 == 1, "鏉傚織.pdf").otherwise(F.col("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", tx.known_source(name).alias("source_file"))
+
+
+@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT a.vec_id, round(list_dot_product(a.e, b.e), 6) AS product FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def embedding_products(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return v.join(after, "vec_id").select("vec_id", F.round(tx.dot(F.col("embedding"), F.col("next")), 6).alias("product"))
+
+
 PAIRS = f"""
     WITH q AS (SELECT item_id, list_distinct({TOKENS.format(CLEAN.format('text'))}) AS terms FROM benchmark),
     d AS (SELECT doc_id, {TOKENS.format(CLEAN.format('text'))} AS tokens FROM documents)
@@ -169,10 +210,10 @@ def insufficiency_note(spark, sf_dir):
 
 BLOCKS = f"""
     WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
-    cut AS (SELECT doc_id, 2 * pos AS pos, pos AS p, pos % 4 = 0 AS head, CASE WHEN pos % 4 = 0 THEN substr(line, 1, 60) ELSE line END AS line FROM lines
+    halves AS (SELECT doc_id, 2 * pos AS pos, pos AS p, pos % 4 = 0 AS head, CASE WHEN pos % 4 = 0 THEN substr(line, 1, 60) ELSE line END AS line FROM lines
             UNION ALL SELECT doc_id, 2 * pos + 1, pos, false, substr(line, 61) FROM lines WHERE pos % 4 = 0),
     blocks AS (SELECT doc_id, pos, 'doc' || doc_id AS source_file, CAST(1 + p // 3 AS INTEGER) AS page, CASE WHEN head THEN 'title' ELSE 'text' END AS block_type,
-                      {CLEAN.format("line")} AS body, CASE WHEN head THEN CAST(1 + (p // 4) % 3 AS INTEGER) END AS level FROM cut WHERE trim(line) <> ''),
+                      {CLEAN.format("line")} AS body, CASE WHEN head THEN CAST(1 + (p // 4) % 3 AS INTEGER) END AS level FROM halves WHERE trim(line) <> ''),
     open AS (SELECT b.doc_id, b.pos, t.pos AS tpos, t.body FROM blocks b JOIN blocks t ON t.doc_id = b.doc_id AND t.level IS NOT NULL AND t.pos <= b.pos
              WHERE NOT EXISTS (SELECT 1 FROM blocks u WHERE u.doc_id = b.doc_id AND u.pos > t.pos AND u.pos <= b.pos AND u.level <= t.level)),
     paths AS (SELECT doc_id, pos, string_agg(body, ' > ' ORDER BY tpos) AS section FROM open GROUP BY ALL),
@@ -234,6 +275,67 @@ def fixed_window_chunks(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_at_punctuation(tx.strip_markup(F.col("text")))).alias("part", "chunk"))
 
 
+@query(f"""
+    WITH RECURSIVE t AS (SELECT doc_id, replace(replace({CLEAN.format("text")}, '. ', '。'), ', ', '，') AS body FROM documents),
+    parts(doc_id, body, start, stop) AS (
+        SELECT doc_id, body, 0, CASE WHEN length(body) <= 700 THEN length(body) WHEN m > 351 THEN m ELSE 700 END FROM (SELECT *, length(regexp_extract(substr(body, 1, 700), '(?s)^.*[。；，]')) AS m FROM t)
+        UNION ALL
+        SELECT doc_id, body, a, CASE WHEN length(body) - a <= 700 THEN length(body) WHEN m > 351 THEN a + m ELSE a + 700 END
+        FROM (SELECT *, length(regexp_extract(substr(body, a + 1, 700), '(?s)^.*[。；，]')) AS m FROM (SELECT doc_id, body, greatest(start + 1, stop - 80) AS a FROM parts WHERE stop < length(body) AND length(body) - start > 700))
+    )
+    SELECT doc_id, trim(substr(body, start + 1, stop - start)) AS chunk, count(*) AS n FROM parts WHERE trim(substr(body, start + 1, stop - start)) <> '' GROUP BY ALL
+""")
+def punctuation_chunks(spark, sf_dir):
+    """Texts whose full stops and commas are those of another script, cut after them."""
+    marked = F.replace(F.replace(tx.strip_markup(F.col("text")), F.lit(". "), F.lit("。")), F.lit(", "), F.lit("，"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(split_at_punctuation(marked)).alias("chunk")).groupBy("doc_id", "chunk").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    WITH lines AS (SELECT doc_id, doc_id % 3 = 2 AS nested, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS p FROM documents),
+    items AS (SELECT *, CASE WHEN p % 5 = 1 THEN 'table' WHEN p % 5 = 3 THEN 'header' WHEN p % 4 = 0 THEN 'title' ELSE 'text' END AS kind, {CLEAN.format("line")} AS body FROM lines),
+    first AS (SELECT doc_id, CAST(CASE WHEN nested THEN p * 1000000 ELSE p END AS BIGINT) AS pos, CAST(1 + p // 3 AS INTEGER) AS page, kind, body, CASE WHEN kind = 'title' THEN CAST(1 + (p // 4) % 3 AS INTEGER) END AS level
+              FROM items WHERE kind <> 'header' AND body <> '' AND NOT (nested AND p % 7 = 6)),
+    blocks AS (SELECT * FROM first UNION ALL SELECT doc_id, 0, 1, 'text', 'second choice', NULL FROM documents d WHERE doc_id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM first f WHERE f.doc_id = d.doc_id)),
+    open AS (SELECT b.doc_id, b.pos, t.pos AS tpos, trim(regexp_replace(t.body, '^#+', '')) AS name FROM blocks b JOIN blocks t ON t.doc_id = b.doc_id AND t.level IS NOT NULL AND t.pos <= b.pos
+             WHERE NOT EXISTS (SELECT 1 FROM blocks u WHERE u.doc_id = b.doc_id AND u.pos > t.pos AND u.pos <= b.pos AND u.level <= t.level)),
+    paths AS (SELECT doc_id, pos, string_agg(name, ' > ' ORDER BY tpos) AS section FROM open GROUP BY ALL)
+    SELECT CASE doc_id % 4 WHEN 0 THEN 'doc' || doc_id || '.pdf' WHEN 1 THEN 'o' || doc_id || '_origin.pdf' WHEN 2 THEN 'n' || doc_id || '.pdf' ELSE 'a.pdf-b' || doc_id || '.pdf' END AS source_file,
+           pos AS block_pos, page, kind AS block_type, body, coalesce(section, '') AS section, level FROM blocks LEFT JOIN paths USING (doc_id, pos)
+""")
+def layout_blocks(spark, sf_dir):
+    """Documents as folders of parsed layouts, in both formats, and their blocks.
+
+    A line is an item of one of several types. A third of the layouts are nested, a third have a
+    second file, for when the first has no blocks. Folders are named in the four ways that a
+    source's name is found in; each document also has one that lacks a file.
+    """
+    p, key, nested = F.col("p"), F.col("doc_id").cast("string"), F.col("doc_id") % 3 == 2
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "line"))
+    table, header, title = p % 5 == 1, p % 5 == 3, (p % 4 == 0) & ~(p % 5).isin(1, 3)
+    kind = F.when(table, "table").when(header, "header").when(title & nested, "title").otherwise("text")
+    common = [kind.alias("type"), F.when(table, "  ").otherwise(F.col("line")).alias("text"), F.when(table, F.col("line")).alias("table_body"), F.expr("p div 3").alias("page_idx")]
+    level = F.when(title, F.expr("1 + (p div 4) % 3"))
+    # a level that is no number makes no title
+    flat = F.when(p % 4 == 2, F.to_json(F.struct(*common, F.lit("1").alias("text_level")))).otherwise(F.to_json(F.struct(*common, level.alias("text_level"))))
+    item = F.when(nested, F.to_json(F.struct(*common, level.alias("level"), (p % 7 == 6).alias("is_discarded")))).otherwise(flat)
+    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", item.alias("item")))).alias("items"))
+    each = F.transform("items", lambda x: F.when(nested, F.concat(F.lit("["), x["item"], F.lit("]"))).otherwise(x["item"]))
+    value = F.concat(F.when(nested, '{"pdfData":[').otherwise("["), F.array_join(each, ","), F.when(nested, "]}").otherwise("]"))
+    folder = F.element_at(F.array(F.concat(F.lit("doc"), key, F.lit(".pdf-"), key), F.concat(F.lit("n"), key), F.concat(F.lit("n"), key), F.concat(F.lit("a.pdf-b"), key, F.lit(".pdf-x"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    file = lambda at, name, body: F.struct(at.alias("doc_key"), name.alias("file"), body.cast("string").alias("value"))
+    one = lambda text: F.lit('[{"type":"text","text":"' + text + '"}]')
+    files = F.array(
+        file(folder, F.lit("full.md"), F.lit(None)),
+        file(folder, F.when(nested, "block_list.json").otherwise("x_content_list.json"), value),
+        F.when(F.col("doc_id") % 3 == 1, file(folder, F.lit("x_content_list_v2.json"), one("second choice"))),
+        F.when(F.col("doc_id") % 4 == 1, file(folder, F.concat(F.lit("o"), key, F.lit("_origin.pdf")), F.lit(None))),
+        file(F.concat(F.lit("lost"), key), F.lit("x_content_list.json"), one("no full.md")),
+    )
+    rows = docs.select(F.explode(F.array_compact(files)).alias("f")).select("f.*")
+    return assemble(layout_files(rows)).select("source_file", F.col("block_pos").cast("long").alias("block_pos"), "page", "block_type", F.col("text").alias("body"), "section", "level")
+
+
 @query(BLOCKS + f"""
     , named AS (SELECT source_file, page, arg_min(section, (-c, k)) AS section FROM (SELECT source_file, page, section, count(*) AS c, min(block_index * 1000 + part) AS k FROM leaves WHERE section <> '' GROUP BY ALL) GROUP BY ALL),
     pages AS (SELECT source_file, page, {CLEAN.format("string_agg(shown, ' ' ORDER BY block_index, part)")} AS t FROM leaves GROUP BY ALL HAVING count(*) >= 2),
@@ -293,6 +395,14 @@ def build_chunks(spark, sf_dir):
     return chunking.build_chunks(document_blocks(spark, sf_dir)).select("family", "chunk_id", "source_file", "page_start", "page_end", "section", "display_text")
 
 
+@query(ORACLE_SQL["leaf_chunks"])
+def chunk_round_trip(spark, sf_dir):
+    """Chunks written as JSON lines and read again."""
+    path = fresh(spark, "chunks")
+    storage.write_chunks(leaves(spark, sf_dir), path)
+    return storage.read_chunks(spark, path).select("chunk_id", "source_file", "page_start", "page_end", "section", "display_text", "contextual_prefix")
+
+
 # --- search -------------------------------------------------------------------------------
 
 
@@ -339,6 +449,14 @@ def bm25_source_restricted(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_round_trip(spark, sf_dir):
+    """An index written, read again, and searched."""
+    path = fresh(spark, "bm25")
+    storage.save_bm25(bm25.build_bm25(document_chunks(spark, sf_dir)), path)
+    return bm25.bm25_search(storage.load_bm25(spark, path), questions(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
 KNN = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.vec_id AS qid, q.label AS ql, c.vec_id AS chunk_id, c.label AS cl, round(list_dot_product(q.e, c.e), 9) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0)"
 TOP = "SELECT qid, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE score > 0{}) WHERE rank <= 10"
 
@@ -360,6 +478,23 @@ def knn_restricted(spark, sf_dir):
     return vector_search(vectors, asked, 10, allowed=asked.select("qid", "source_file")).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["knn_topk"])
+def vector_round_trip(spark, sf_dir):
+    vectors, asked = _vectors(spark, sf_dir)
+    path = fresh(spark, "vectors")
+    storage.save_vectors(vectors, path)
+    return vector_search(spark.read.parquet(path), asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS chunk_count, 'hashing-fallback' AS vector_embedder, 384 AS dimensions, 'none' AS embedding_model FROM documents")
+def manifest_check(spark, sf_dir):
+    """A manifest written and checked against the embedder in use."""
+    embedder, path = HashEmbedder(), fresh(spark, "manifest")
+    storage.write_manifest(spark, path, document_chunks(spark, sf_dir).count(), embedder.name, embedder.dimensions, "none")
+    held = storage.check_manifest(spark, path, embedder.name, embedder.dimensions)
+    return spark.createDataFrame([(held["chunk_count"], held["vector_embedder"], held["dimensions"], held["embedding_model"])], "chunk_count long, vector_embedder string, dimensions int, embedding_model string")
+
+
 @query()
 def hash_embedding(spark, sf_dir):
     v = read(spark, sf_dir, "documents").select("doc_id", HashEmbedder().embed(tx.strip_markup(F.col("text"))).alias("v"))
@@ -526,6 +661,19 @@ def _gold():
     return F.when(F.col("item_id") % 4 == 0, (p + 1).cast("string")).when(F.col("item_id") % 4 == 1, F.concat((p + 1).cast("string"), F.lit("-"), (p + 3).cast("string"))).when(F.col("item_id") % 4 == 2, "abc").otherwise("")
 
 
+@query(f"SELECT 'q' || item_id AS q_id, text AS question, {GOLD} AS page, false AS broken FROM benchmark UNION ALL SELECT NULL, '{{\"q_id\": ' || item_id, NULL, true FROM benchmark")
+def question_set(spark, sf_dir):
+    """Questions written as JSON lines and read again, each beside a broken line and a blank one."""
+    page = F.when(F.col("item_id") % 4 == 0, F.to_json(F.struct((F.col("item_id") % 12 + 1).alias("page")))).otherwise(F.to_json(F.struct(_gold().alias("page"))))
+    start = F.to_json(F.struct(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.col("text").alias("question")))
+    line = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("start")), F.lit(', "gold_chunks": ['), F.col("page"), F.lit("]}"))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", start.alias("start"), page.alias("page"))
+    path = fresh(spark, "questions")
+    rows.select(F.explode(F.array(line, F.lit(" "), F.concat(F.lit('{"q_id": '), F.col("item_id").cast("string")))).alias("value")).write.text(path)
+    good, bad = storage.read_qa(spark, path)
+    return good.select("q_id", "question", F.col("gold_chunks")[0]["page"].alias("page"), F.lit(False).alias("broken")).unionByName(bad.select(F.lit(None).cast("string").alias("q_id"), F.col("_broken").alias("question"), F.lit(None).cast("string").alias("page"), F.lit(True).alias("broken")))
+
+
 MATCH = HITS + f""", g AS (SELECT item_id, text, {GOLD} AS gold FROM benchmark),
     m AS (SELECT h.*, g.gold, CASE WHEN contains(gold, '-') THEN page_start <= CAST(split_part(gold, '-', 2) AS INTEGER) AND page_end >= CAST(split_part(gold, '-', 1) AS INTEGER) WHEN gold SIMILAR TO '[0-9]+' THEN CAST(gold AS INTEGER) BETWEEN page_start AND page_end ELSE false END AS hit FROM h JOIN g ON qid = item_id)
 """

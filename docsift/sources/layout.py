@@ -140,7 +140,7 @@ def assemble(files: DataFrame) -> DataFrame:
     rows = found.select("doc_key", source_name(F.col("doc_key"), F.col("origin")).alias("source_file"), "value", flat.alias("flat"), rank.alias("priority"))
     one = rows.where("flat").select("doc_key", "source_file", "priority", F.posexplode(F.from_json("value", "array<string>")).alias("block_pos", "item"))
     pages = rows.where("not flat").select("doc_key", "source_file", "priority", F.posexplode(F.from_json("value", "pdfData array<array<string>>")["pdfData"]).alias("a", "page_items"))
-    two = pages.select("doc_key", "source_file", "priority", "a", F.posexplode("page_items").alias("b", "item")).select("doc_key", "source_file", "priority", (F.col("a") * 1_000_000 + F.col("b")).alias("block_pos"), "item")
+    two = pages.select("doc_key", "source_file", "priority", "a", F.posexplode("page_items").alias("b", "item")).select("doc_key", "source_file", "priority", (F.col("a").cast("long") * 1_000_000 + F.col("b")).alias("block_pos"), "item")
     every = blocks_of_items(one, True).unionByName(blocks_of_items(two, False))
     first = F.min("priority").over(Window.partitionBy("doc_key"))
     chosen = every.withColumn("first", first).where("priority = first").drop("first")

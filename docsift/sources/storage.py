@@ -56,5 +56,7 @@ def check_manifest(spark: SparkSession, path: str, embedder: str, dimensions: in
 
 def read_qa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(questions, broken lines). Pages are text whether they come as a number or a range."""
-    rows = spark.read.schema(QA_SCHEMA + ", _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("primitivesAsString", "true").json(path).cache()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select(F.from_json("value", QA_SCHEMA + ", _broken string", options).alias("r")).select("r.*")
     return rows.where("_broken is null").drop("_broken"), rows.where("_broken is not null").select("_broken")
