@@ -34,6 +34,7 @@ BATCH = 256
 STEP = 4
 ENTRIES = 16
 BAND = 4  # a shard's lengths differ by at most so many powers of two
+MOST_TASKS = 65536
 INDEX_SCHEMA = "shard int, node int, ids array<long>, embedding array<double>, neighbors array<int>"
 
 
@@ -160,6 +161,11 @@ def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
     return vectors.where(f"{v} is not null and size({v}) > 0 and forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({v}, x -> x <> 0)")
 
 
+def _tasks(shards: int) -> int:
+    """A number of tasks for so many shards, which are long work on few bytes: some to spare while they are few, so that hardly any task gets two."""
+    return min(max(shards, min(4 * shards, 1024)), MOST_TASKS)
+
+
 def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, int, int]:
     """(index table, shards, dimensions) over every usable vector.
 
@@ -192,7 +198,7 @@ def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_i
         return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), group.column("ids"), group.column("v"), lists], ["shard", "node", "ids", "embedding", "neighbors"])
 
     placed = nodes.withColumn("shard", (F.create_map(*first)[F.col("band")] + F.pmod(F.xxhash64("h"), F.create_map(*of)[F.col("band")])).cast("int")).drop("band")
-    return tables.write(placed.groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, dimensions
+    return tables.write(placed.repartition(_tasks(shards), "shard").groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, dimensions
 
 
 class Shard:
@@ -271,7 +277,7 @@ def search(index: DataFrame, shards: int, dimensions: int, queries: DataFrame, k
     nothing = F.array().cast("array<int>")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("node"), F.array("query_id").alias("ids"), F.col("v").alias("embedding"), nothing.alias("neighbors"))
     held = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "node", "ids", "embedding", "neighbors")
-    rows = held.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "node")
+    rows = held.unionByName(asked).repartition(_tasks(shards * blocks), "shard", "block").sortWithinPartitions("shard", "block", "kind", "node")
     hits = rows.mapInArrow(releasing(_answer(k, beam)), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
