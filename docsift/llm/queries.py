@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.byte_bpe import round_trip
+from docsift.llm.divergence import divergence_audit
 from docsift.llm.exact_dedup import exact_dedup
 from docsift.llm.graph_index import nearest
 from docsift.llm.jaccard_join import jaccard_join
 from docsift.llm.language_id import identify, prototypes
 from docsift.llm.license_scan import RULES, SENTENCES, license_scan, sentences
+from docsift.llm.mixing import mix
 from docsift.llm.packing import pack
 from docsift.llm.shared import table
 from docsift.llm.substring_dedup import substring_dedup
@@ -86,7 +88,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op6_graph_index": op6_graph_index, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
+MIX_SEED = 12
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), most=3, seed=MIX_SEED).taken().drop("source")
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_url_filter": op2_url_filter, "op3_byte_bpe": op3_byte_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_token_counts": op5_token_counts, "op6_graph_index": op6_graph_index, "op7_license_scan": op7_license_scan, "op8_packing": op8_packing, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join, "op11_divergence": op11_divergence, "op12_mixing": op12_mixing}
 
 
 def _values(rows) -> str:
@@ -152,4 +165,36 @@ ORACLE_SQL = {
                     FROM w LEFT JOIN reps r USING (doc_id) LEFT JOIN roots ON roots.rep = r.rep LEFT JOIN counts ON counts.rep = r.rep)
         SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, n_links, rep_id, n_shingles FROM classed
     """,
+    "op11_divergence": """
+        WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*) AS lang_c FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        counted AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        langs AS (SELECT lang, count(*) AS v, sum(lang_c) AS n FROM kept GROUP BY lang),
+        sizes AS (SELECT lang, source, sum(c) AS n FROM counted GROUP BY ALL),
+        groups AS (SELECT d.lang, d.source, coalesce(s.n, 0) AS n, coalesce(l.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN sizes s USING (lang, source) LEFT JOIN langs l USING (lang)),
+        p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (g.n + g.v) AS BIGINT) AS p,
+                     CAST(1 + 1000000000::HUGEINT * (k.lang_c + 1) // (l.n + l.v) AS BIGINT) AS q
+              FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms QUALIFY rank <= 200
+    """,
+    "op12_mixing": f"""
+        WITH own AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+                            md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS digest FROM documents),
+        sources AS (SELECT source, sum(size) AS total, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM own GROUP BY source),
+        ranked AS (SELECT *, 3 * total AS most, sum(total) OVER () - coalesce(sum(3 * total) OVER (ORDER BY 3 * total / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_size,
+                          sum(weight) OVER (ORDER BY 3 * total / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM sources),
+        settled AS (SELECT left_size, left_weight FROM ranked WHERE most * left_weight > weight * left_size ORDER BY most / weight, no LIMIT 1),
+        aimed AS (SELECT r.source, CAST(r.total AS BIGINT) AS source_size, least(CAST(most AS DOUBLE), coalesce(CAST(weight * s.left_size AS DOUBLE) / CAST(s.left_weight AS DOUBLE), CAST(most AS DOUBLE))) AS target FROM ranked r LEFT JOIN settled s ON true),
+        passes AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM aimed),
+        placed AS (SELECT o.*, p.source_size, p.target, p.whole, p.quota - p.whole * p.source_size - coalesce(sum(o.size) OVER (PARTITION BY o.source ORDER BY md5('{MIX_SEED}|' || p.whole || '|' || o.digest), o.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words
+                   FROM own o JOIN passes p ON o.source IS NOT DISTINCT FROM p.source)
+        SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, left_words)) AS BIGINT) AS taken FROM placed
+    """,
 }
