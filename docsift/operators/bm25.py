@@ -68,7 +68,11 @@ def build_bm25(chunks: DataFrame, text_col: str = "index_text") -> BM25Index:
     tokens = chunks.select(tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), *carried)
     kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in carried)
     postings = tokens.mapInArrow(_counted, f"term string, tf long, dl int, {kinds}")
-    # all statistics come from the postings, so that texts are read once where these are persisted or saved
+    return of_postings(postings, chunks)
+
+
+def of_postings(postings: DataFrame, chunks: DataFrame) -> BM25Index:
+    """The index of postings that are there already, of ``chunks``, which are only counted: texts are read once where postings are persisted or saved."""
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
     stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))
     return BM25Index(postings, _terms(postings, stats), stats, chunks)
