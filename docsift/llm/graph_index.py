@@ -6,11 +6,13 @@ pruning keeps a few diverse ones: a candidate goes if a kept one is nearer to it
 factor ``alpha``, than the new vector is. Kept edges are also offered in reverse, and lists
 that overflow are pruned again. A query is answered by a beam search over every shard.
 
-An extra component brings the vectors of a shard to one length, which makes the largest inner
-product the smallest distance. Vectors of very different lengths lie in different shards, so
-that a shard's longest one leaves the distances between the others large enough to tell. Equal
-vectors are one node, which holds the least of their ids: as many as a result can name, so none
-is missed.
+The graph is built on directions: it joins vectors at small angles, and a query follows it by
+inner product with the vectors themselves. A shard's lengths differ by a factor of two at most,
+so that the vectors of large inner product lie close together in it. Every node can be reached
+from the nodes where a search enters: some far from each other, and one of each part that
+these do not reach. A search is repeated with twice the beam for as long as that improves what
+is found. Equal vectors are one node, which holds the least of their ids: as many as a result
+can name, so none is missed.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ SHARD_VECTORS = 8192
 QUERY_BLOCK = 65536
 DEGREE = 32
 BUILD_BEAM = 96
-SEARCH_BEAM = 128
+SEARCH_BEAM = 64
 ALPHA = 1.2
 BATCH = 256
 STEP = 4
 ENTRIES = 16
-BAND = 4  # a shard's lengths differ by at most so many powers of two
+BAND = 1  # a shard's lengths differ by at most so many powers of two
 MOST_TASKS = 65536
-INDEX_SCHEMA = "shard int, node int, ids array<long>, embedding array<double>, neighbors array<int>"
+INDEX_SCHEMA = "shard int, node int, ids array<long>, embedding array<double>, neighbors array<int>, entry boolean"
 
 
 def _distances(x: np.ndarray, squares: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -47,16 +49,15 @@ def beam_search(x: np.ndarray, squares: np.ndarray, graph: np.ndarray, entry: np
     """For each row of q: the nearest nodes found, nearest first, and their squared distances; -1 and inf where fewer."""
     b = len(q)
     ids = np.full((b, beam), -1, np.int64)
-    far = np.full((b, beam), np.inf, np.float32)
+    far = np.full((b, beam), np.inf)
     open_ = np.zeros((b, beam), bool)
     seen = np.zeros((b, len(x) + 1), bool)  # the last column is for absent neighbours
     seen[:, -1] = True
-    first = np.broadcast_to(entry[:beam], (b, len(entry[:beam])))
-    ids[:, : first.shape[1]], far[:, : first.shape[1]] = first, _distances(x, squares, first, q)
-    open_[:, : first.shape[1]] = True
     seen[:, entry] = True
-    order = np.argsort(far, axis=1, kind="stable")
-    ids, far, open_ = (np.take_along_axis(a, order, 1) for a in (ids, far, open_))
+    first = squares[entry] - 2 * (q @ x[entry].T) + (q * q).sum(axis=1)[:, None]
+    best = np.argsort(first, axis=1, kind="stable")[:, :beam]
+    ids[:, : best.shape[1]], far[:, : best.shape[1]] = entry[best], np.take_along_axis(first, best, 1)
+    open_[:, : best.shape[1]] = True
     live = np.arange(b)
     while len(live):
         pick = np.argsort(~open_[live], axis=1, kind="stable")[:, :STEP]  # the nearest that are open
@@ -71,7 +72,7 @@ def beam_search(x: np.ndarray, squares: np.ndarray, graph: np.ndarray, entry: np
         near.sort(axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
         seen[live[:, None], near] = True
-        gap = _distances(x, squares, np.maximum(near, 0), q[live]).astype(np.float32)
+        gap = _distances(x, squares, np.maximum(near, 0), q[live])
         gap[near < 0] = np.inf
         all_ids, all_far = np.concatenate([ids[live], near], 1), np.concatenate([far[live], gap], 1)
         all_open = np.concatenate([open_[live], near >= 0], 1)
@@ -106,13 +107,45 @@ def robust_prune(x: np.ndarray, squares: np.ndarray, nodes: np.ndarray, candidat
     return out
 
 
+def far_apart(x: np.ndarray, most: int) -> np.ndarray:
+    """The first node, then again and again the one farthest from those chosen; at most so many."""
+    chosen, gap = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(most, len(x)) and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def entry_nodes(graph: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``first`` and the least node of each part of the graph that no search from those before reaches."""
+    entry, reached, front = first.tolist(), np.zeros(len(graph), bool), first
+    while True:
+        while len(front):
+            reached[front] = True
+            near = np.unique(graph[front])
+            front = near[(near >= 0) & ~reached[near]]
+        if reached.all():
+            return np.array(entry)
+        front = np.array([reached.argmin()])
+        entry.append(int(front[0]))
+
+
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
     """(neighbours of each node, -1 where fewer; the entry nodes) of vectors in random order."""
+    entry = far_apart(x, ENTRIES)
+    order = np.concatenate([entry, np.setdiff1d(np.arange(len(x)), entry)])
+    graph = _grown(x[order], len(entry), degree, beam, alpha)
+    out = np.full_like(graph, -1)
+    out[order] = np.where(graph >= 0, order[graph], -1)
+    return out, entry_nodes(out, entry)
+
+
+def _grown(x: np.ndarray, done: int, degree: int, beam: int, alpha: float) -> np.ndarray:
+    """The graph of vectors that enter in their order, the first ``done`` of them being those where searches enter."""
     n = len(x)
     squares = (x * x).sum(axis=1)
     graph = np.full((n, degree), -1, np.int64)
-    entry = np.arange(min(ENTRIES, n))  # in random order, any nodes are a sample of all
-    done = len(entry)
+    entry = np.arange(done)
     for alpha_now, redo in ((alpha, False), (alpha, True)):
         start = 0 if redo else done
         while start < n:
@@ -140,7 +173,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
                     most = int((both[~fits] >= 0).sum(axis=1).max())
                     graph[h[~fits]] = robust_prune(x, squares, h[~fits], packed[~fits][:, :most], degree, alpha_now)
             start += size
-    return graph, entry
+    return graph
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -148,11 +181,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _level(v: np.ndarray) -> np.ndarray:
-    """Vectors scaled so that the longest has length 1, with the component that makes their length 1."""
-    v = v / np.abs(v).max()
-    v = v / np.sqrt((v * v).sum(axis=1).max())
-    return np.concatenate([v, np.sqrt(np.maximum(0.0, 1 - (v * v).sum(axis=1)))[:, None]], 1).astype(np.float32)
+def directions(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1)[:, None]
+    return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
 def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
@@ -192,10 +223,10 @@ def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_i
     def build(key, group):
         h = group.column("h").to_numpy()
         group = group.take(pa.array(np.argsort(h, kind="stable")))  # the same order at every attempt
-        graph, _ = build_graph(_level(_matrix(group.column("v"))))
+        graph, entry = build_graph(directions(_matrix(group.column("v"))))
         n = group.num_rows
         lists = pa.array([row[row >= 0].astype(np.int32) for row in graph], pa.list_(pa.int32()))
-        return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), group.column("ids"), group.column("v"), lists], ["shard", "node", "ids", "embedding", "neighbors"])
+        return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), group.column("ids"), group.column("v"), lists, pa.array(np.isin(np.arange(n), entry))], ["shard", "node", "ids", "embedding", "neighbors", "entry"])
 
     placed = nodes.withColumn("shard", (F.create_map(*first)[F.col("band")] + F.pmod(F.xxhash64("h"), F.create_map(*of)[F.col("band")])).cast("int")).drop("band")
     return tables.write(placed.repartition(_tasks(shards), "shard").groupBy("shard").applyInArrow(build, INDEX_SCHEMA), wide=True), shards, dimensions
@@ -207,31 +238,44 @@ class Shard:
     def __init__(self, parts: list[pa.RecordBatch]):
         nodes = pa.Table.from_batches(parts)
         self.original, self.ids = _matrix(nodes.column("embedding")), nodes.column("ids").to_pylist()
-        self.x = _level(self.original)
-        self.squares = (self.x * self.x).sum(axis=1)
-        self.graph = np.full((len(self.x), DEGREE), -1, np.int64)
+        self.entry = np.flatnonzero(nodes.column("entry").to_numpy(zero_copy_only=False))
+        self.graph = np.full((len(self.original), DEGREE), -1, np.int64)
         for row, near in enumerate(nodes.column("neighbors").to_pylist()):
             self.graph[row, : len(near)] = near
         # products are summed with the exponents taken off, so that no sum of large ones is inf - inf
         self.exponents = np.frexp(np.abs(self.original).max(axis=1))[1]
         self.original = np.ldexp(self.original, -self.exponents[:, None])
+        self.x = np.ldexp(self.original, (self.exponents - self.exponents.max())[:, None])
+
+    def found(self, q: np.ndarray, k: int, beam: int) -> np.ndarray:
+        """For each row of q the nodes of largest product found, largest first, -1 where fewer: by a beam that doubles while the k best get better."""
+        flat, wide = np.zeros(len(self.x)), max(beam, k)
+        out, far = beam_search(self.x, flat, self.graph, self.entry, q, wide)
+        live = np.arange(len(q))
+        while len(live) and wide < len(self.x):
+            wide = min(2 * wide, len(self.x))
+            now, gap = beam_search(self.x, flat, self.graph, self.entry, q[live], wide)
+            better = (gap[:, :k] < far[live, :k]).any(axis=1)
+            out, far = (np.pad(a, ((0, 0), (0, wide - a.shape[1])), constant_values=c) for a, c in ((out, -1), (far, np.inf)))
+            out[live], far[live] = now, gap
+            live = live[better]
+        return out
 
     def search(self, asked: list[int], q: np.ndarray, k: int, beam: int) -> tuple[list, list, list]:
-        """(query ids, vector ids, scores): of each query the k best nodes' ids, without its own."""
+        """(query ids, vector ids, scores): of each query the k best nodes' ids, without its own; of scores that tie with the last, the smaller ids."""
         power = np.frexp(np.abs(q).max(axis=1))[1]
         q = np.ldexp(q, -power[:, None])
-        # a query's own length does not change the order
-        unit = np.concatenate([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
         out_q, out_v, out_s = [], [], []
         for lo in range(0, len(q), BATCH):
-            found, _ = beam_search(self.x, self.squares, self.graph, np.arange(min(ENTRIES, len(self.x))), unit[lo : lo + BATCH], max(beam, k + 1))
+            found = self.found(q[lo : lo + BATCH], k + 1, beam)
             safe = np.maximum(found, 0)
             with np.errstate(over="ignore", under="ignore"):
                 score = np.ldexp((self.original[safe] * q[lo : lo + BATCH, None, :]).sum(axis=2), self.exponents[safe] + power[lo : lo + BATCH, None])
             score[found < 0] = -np.inf
+            last = np.sort(score, axis=1)[:, max(0, score.shape[1] - k - 1)]
             for row, own in enumerate(asked[lo : lo + BATCH]):
-                best = np.argsort(-score[row], kind="stable")[: k + 1]
-                hits = sorted((-score[row, j], i) for j in best if found[row, j] >= 0 for i in self.ids[found[row, j]] if i != own)[:k]
+                best = np.flatnonzero((score[row] >= last[row]) & (found[row] >= 0))
+                hits = sorted((-score[row, j], i) for j in best for i in self.ids[found[row, j]] if i != own)[:k]
                 out_q += [own] * len(hits)
                 out_v += [i for _, i in hits]
                 out_s += [-s for s, _ in hits]
@@ -275,8 +319,8 @@ def search(index: DataFrame, shards: int, dimensions: int, queries: DataFrame, k
     asked = asked.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     nothing = F.array().cast("array<int>")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("node"), F.array("query_id").alias("ids"), F.col("v").alias("embedding"), nothing.alias("neighbors"))
-    held = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "node", "ids", "embedding", "neighbors")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), F.lit(1).alias("kind"), F.lit(0).alias("node"), F.array("query_id").alias("ids"), F.col("v").alias("embedding"), nothing.alias("neighbors"), F.lit(False).alias("entry"))
+    held = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "node", "ids", "embedding", "neighbors", "entry")
     rows = held.unionByName(asked).repartition(_tasks(shards * blocks), "shard", "block").sortWithinPartitions("shard", "block", "kind", "node")
     hits = rows.mapInArrow(releasing(_answer(k, beam)), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
