@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from docsift.llm import byte_bpe
 from docsift.llm.byte_bpe import PrefixEncoder, codec, decode_ids, encode_texts, round_trip
 from docsift.llm.packing import cuts, encoding, pack, token_ids
-from docsift.llm.token_counts import count_huge, token_counts, tokenizer
+from docsift.llm.token_counts import count_huge, leading_tokens, token_counts, tokenizer
 
 from .helpers import awkward, documents, prose
 
@@ -90,18 +90,55 @@ def test_round_trip_rows(spark, reference):
     assert round_trip(docs.limit(0), MULTI, P.PATTERN).count() == 0
 
 
+PARTS = ("'s", "'re", "'", "''", "e\u0301", "é", "漢", "가", "\u1100\u1161", "각", "İ", "ß", "Σ", "x", "xx", "!", "=\u0338", "1", "٠", "<|endoftext|>", "rest", "<|", "|>", "🙂", "\u3000", "か\u3099", "न\u093c")
+
+
+def spaceless(seed, n):
+    """Texts without blanks: of one script, of one letter, paths, digits, marks, and of all that may join or split."""
+    r = random.Random(seed)
+    pick = lambda *found: "".join(r.choice(found[0]) for _ in range(n))
+    kinds = [pick([chr(c) for c in range(0x4E00, 0x5E00)]), "x" * n, pick("abcdefgh"), pick("abc/-_.0"), pick("0123456789"), pick("!?*#=-'"), pick(PARTS), pick(PARTS)]
+    return kinds[seed % len(kinds)]
+
+
+def placed(t):
+    def encode(text):
+        e = t.encode(text, add_special_tokens=False)
+        return [(a, i) for (a, _), i in zip(e.offsets, e.ids, strict=True)]
+
+    return encode
+
+
 def test_huge_texts_count_as_the_library_does():
-    t = tokenizer(P.path("word_bpe_49k.json"))
-    starts = lambda text: [a for a, _ in t.encode(text, add_special_tokens=False).offsets]
-    texts = [t or "" for _, t in awkward()] + [noise(s, 300) for s in range(200)] + [noise(s, 300).replace(" ", "") + "<|endoftext|>" + noise(s + 1, 100) for s in range(200)]
+    path = P.path("word_bpe_49k.json")
+    t, leading = tokenizer(path), leading_tokens(path)
+    encode = placed(t)
+    texts = [t or "" for _, t in awkward()] + [noise(s, 300) for s in range(200)] + [noise(s, 300).replace(" ", "") + "<|endoftext|>" + noise(s + 1, 100) for s in range(200)] + [spaceless(s, 200) for s in range(800)]
     for text in texts:
-        for chunk, overlap in ((50, 4), (1000, 64)):
-            if len(text) < 50_000 or chunk == 1000:
-                assert count_huge(starts, text, chunk, overlap) == len(starts(text))
+        for chunk, overlap in ((50, 20), (33, 40), (1000, 64)):
+            if len(text) < 5_000 or chunk == 1000:
+                assert count_huge(encode, text, chunk, overlap, leading) == len(encode(text)), (text, chunk)
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_work_on_texts_without_blanks_is_in_proportion(kind):
+    """The characters that are encoded are a few times those of the text, at any length."""
+    path = P.path("word_bpe_49k.json")
+    t, leading = tokenizer(path), leading_tokens(path)
+    for n in (250_000, 1_000_000):
+        text, seen = spaceless(kind, n), []
+
+        def encode(part, seen=seen):
+            seen.append(len(part))
+            return placed(t)(part)
+
+        assert count_huge(encode, text, leading=leading) == len(t.encode(text, add_special_tokens=False).ids)
+        assert sum(seen) < 3 * n
 
 
 def test_token_count_rows(spark):
-    rows = [*awkward(), (None, "x y")]
+    rows = [*awkward(), (None, "x y"), (3, awkward()[2][1]), (3, "another text of the same id")]
+    assert token_counts(documents(spark, rows).limit(0), P.path("word_bpe_49k.json")).count() == 0
     got = token_counts(documents(spark, rows), P.path("word_bpe_49k.json"), chunk=300, overlap=16, limit=100).collect()
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = sorted((str(i), len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 100) for i, x in rows)
