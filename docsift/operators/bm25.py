@@ -7,19 +7,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsift.functions.text import tokenize
+from docsift.functions.udfs import batch_tokens
+from docsift.operators.vectors import places
 from docsift.sources.scratch import written
 
 K1 = 1.5
 B = 0.75
-#: Queries whose terms are sent to every task; more are joined by shuffling.
-BROADCAST_QUERIES = 4096
+#: Queries that one task holds, and up to which the postings are reduced to the queries' terms first.
+QUERIES_AT_ONCE = 4096
 BROADCAST_BYTES = 16 << 20
 ROWS_AT_ONCE = 1024
+#: Chunks of a shard and of a block, about.
+SHARD_CHUNKS = 8192
+BLOCK_CHUNKS = 4
+#: What tokens consist of, as bytes: letters and digits begin one, these marks go on with it. Fixed values.
+BEGIN = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
+INSIDE = BEGIN | np.array([chr(b) in "_-./" for b in range(256)])
 
 
 @dataclass(frozen=True)
@@ -45,17 +53,51 @@ def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
     return chunks.select("chunk_id", F.size(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
 
 
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of tokens of each lower-case text, the tokens of all), as ``functions.text.tokenize`` has them; null counts as empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # CJK characters begin with these bytes; texts with any go another way
+    wide = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))
+    if len(wide):
+        ends, tokens = batch_tokens(texts.cast(pa.large_string()).to_pylist())
+        return np.diff(ends), pa.array(tokens, pa.large_string())
+    inside = np.concatenate([INSIDE[data], [False]])
+    first = inside.copy()
+    first[1:] = inside[1:] & ~inside[:-1]
+    cut = offsets[:-1][(offsets[:-1] < len(data))]
+    first[cut] = inside[cut]  # a text begins anew
+    starts = np.flatnonzero(first)
+    stop = np.concatenate([inside[:-1] & ~inside[1:], [False]])
+    last = offsets[1:][(offsets[1:] > 0)] - 1
+    stop[last] = inside[last]
+    ends = np.flatnonzero(stop) + 1
+    begins = np.concatenate([np.flatnonzero(BEGIN[data]), [len(data)]])
+    starts = begins[np.searchsorted(begins, starts)]  # marks before the first letter or digit are none of the token's
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    mask = np.zeros(len(data) + 1, np.int8)
+    mask[starts] += 1
+    np.subtract.at(mask, ends, 1)
+    letters = data[np.cumsum(mask[:-1], dtype=np.int8).astype(bool)]
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(letters))])
+    return np.diff(np.searchsorted(starts, offsets)), tokens
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tokens, other columns) as rows (term, tf, dl, other columns): the distinct tokens of all rows of a batch counted together."""
+    """Rows (lower-case text, other columns) as rows (term, tf, dl, other columns): the distinct tokens of all rows of a batch counted together."""
     for batch in batches:
         for part in (batch.slice(lo, ROWS_AT_ONCE) for lo in range(0, batch.num_rows, ROWS_AT_ONCE)):
-            tokens, sizes = part.column(0), part.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = tokens.flatten().dictionary_encode()
+            sizes, tokens = _tokens(part.column(0))
+            coded = tokens.dictionary_encode()
             kinds = max(1, len(coded.dictionary))
             pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
             row = pairs // kinds
             others = [part.column(c).take(pa.array(row)) for c in range(1, part.num_columns)]
-            yield pa.record_batch([coded.dictionary.take(pa.array(pairs % kinds)), pa.array(counts), pa.array(sizes[row].astype(np.int32)), *others], ["term", "tf", "dl", *part.schema.names[1:]])
+            yield pa.record_batch([coded.dictionary.take(pa.array(pairs % kinds)).cast(pa.string()), pa.array(counts), pa.array(sizes[row].astype(np.int32)), *others], ["term", "tf", "dl", *part.schema.names[1:]])
 
 
 def build_bm25(chunks: DataFrame, text_col: str = "index_text") -> BM25Index:
@@ -65,7 +107,7 @@ def build_bm25(chunks: DataFrame, text_col: str = "index_text") -> BM25Index:
     term costs the statistics one row for each task.
     """
     carried = [c for c in ("chunk_id", "ordinal", "source_file") if c in chunks.columns]
-    tokens = chunks.select(tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"), *carried)
+    tokens = chunks.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), *carried)
     kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in carried)
     postings = tokens.mapInArrow(_counted, f"term string, tf long, dl int, {kinds}")
     return of_postings(postings, chunks)
@@ -89,25 +131,21 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return queries.select(*keys, F.explode(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
 
 
+def impact(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """What an occurrence of a term adds to a chunk's score, but for the term's weight in the query."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.greatest(dl, F.lit(1)) / F.greatest(avgdl, F.lit(1e-9))))
+
+
 def bm25_scores(index: BM25Index, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(key columns of queries, chunk_id, ordinal, source_file, score) of every chunk that shares a term with a query.
 
-    Only postings of the queries' terms are touched. Where the batch is small enough to be
-    sent to every task, these postings are dealt by chunk first: a chunk's scores then add up
-    in one task, instead of a row for each query and chunk in every task. Larger batches join
-    on the term.
+    All of them, for those who want more than the best; see ``bm25_search`` for these.
     """
     keys = [c for c in queries.columns if c != text_col]
     wanted = query_terms(queries, text_col).join(index.terms, "term")
     postings, carried = index.postings, [c for c in ("ordinal", "source_file") if c in index.postings.columns]
-    # what is sent is bounded by the queries' number and by the length of all of them
-    sent = queries.limit(BROADCAST_QUERIES + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("bytes")).first()
-    if sent["n"] <= BROADCAST_QUERIES and sent["bytes"] <= BROADCAST_BYTES:
-        postings = postings.join(F.broadcast(query_terms(queries, text_col).select("term").distinct()), "term", "left_semi").repartition("chunk_id")
-        wanted = F.broadcast(wanted)
     hits = postings.join(wanted, "term").join(F.broadcast(index.stats), how="cross")
-    norm = F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
+    part = F.col("qtf") * F.col("idf") * impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     # rounded beyond any meaning: sums in another order must not part texts that tie
     return hits.groupBy(*keys, "chunk_id", *carried).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
@@ -119,9 +157,134 @@ def top_k(scored: DataFrame, keys: list[str], k, order: list) -> DataFrame:
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, k: int = 10, text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
-    """(keys, chunk_id, score, rank), best first, ties in chunk order. ``allowed``: (keys, source_file) that a query is restricted to."""
-    keys = [c for c in queries.columns if c != text_col]
-    scored = bm25_scores(index, queries, text_col)
+    """(keys, chunk_id, score, rank), best first, ties in chunk order; of scores above 0.
+
+    ``allowed``: (keys, source_file) that a query is restricted to. A column ``sources`` of the queries
+    does the same, null for all. Chunks are dealt to shards and queries to blocks, and a task
+    has the postings of one shard and the queries of one block, so no term is one task, however
+    many chunks have it. A shard passes over what can't be among its k best; see ``Shard``.
+    """
+    keys = [c for c in queries.columns if c not in (text_col, "sources")]
+    asked = queries if "sources" in queries.columns else queries.withColumn("sources", F.lit(None).cast("array<string>"))
     if allowed is not None:
-        scored = scored.join(allowed.distinct(), [*keys, "source_file"], "left_semi")
-    return top_k(scored, keys, k, [F.desc("score"), "ordinal"]).select(*keys, "chunk_id", "score", "rank")
+        lists = allowed.groupBy(*keys).agg(F.collect_set("source_file").alias("sources"))
+        asked = asked.drop("sources").join(lists, keys, "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    asked = asked.select(F.struct(*keys).alias("q"), F.col(text_col).alias("text"), F.col("sources").cast("array<string>").alias("sources"))
+    terms = query_terms(asked.select("q", "text")).join(index.terms, "term").groupBy("q").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * F.col("idf")).alias("weights"))
+    wanted = terms.join(asked.select("q", "sources"), "q")
+
+    # what is sent is bounded by the queries' number and by the length of all of them
+    sent = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("bytes"))
+    size = sent.join(F.broadcast(index.stats.select(F.col("n").alias("chunks"))), how="cross").first()
+    postings = index.postings
+    if size["n"] <= QUERIES_AT_ONCE and size["bytes"] <= BROADCAST_BYTES:
+        postings = postings.join(F.broadcast(query_terms(queries, text_col).select("term").distinct()), "term", "left_semi")
+    shards = max(-(-size["chunks"] // SHARD_CHUNKS), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, -(-size["n"] // QUERIES_AT_ONCE))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    kinds = {c: postings.schema[c].dataType if c in postings.columns else None for c in ("chunk_id", "ordinal", "source_file")}
+    held = postings.join(F.broadcast(index.stats), how="cross").select(
+        dealt(shards, "chunk_id").alias("shard"), each(blocks).alias("block"), "term", impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("impact"), "chunk_id",
+        (F.col("ordinal") if kinds["ordinal"] else F.col("chunk_id")).alias("ordinal"), (F.col("source_file").cast("string") if kinds["source_file"] else F.lit(None).cast("string")).alias("source"))
+    left = wanted.select(each(shards).alias("shard"), dealt(blocks, "q").alias("block"), "q", "terms", "weights", "sources")
+    schema = f"q {wanted.schema['q'].dataType.simpleString()}, chunk_id {kinds['chunk_id'].simpleString()}, ordinal {held.schema['ordinal'].dataType.simpleString()}, score double"
+
+    def run(_, asked: pa.Table, posted: pa.Table) -> pa.Table:
+        return Shard(posted).top(asked, k)
+
+    found = left.groupBy("shard", "block").cogroup(held.groupBy("shard", "block")).applyInArrow(run, schema)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ordinal"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q.*", "chunk_id", "score", "rank")
+
+
+class Shard:
+    """The postings of some chunks, and what a query finds in them.
+
+    Chunks are numbered in their order, so that ties go to the smaller number, and lie in blocks of
+    a few. Of each term and block the largest impact is held: a block's chunks score at most the sum of these
+    over a query's terms. Blocks are scored best bound first, and the search ends where no bound
+    reaches the k-th score so far, so it leaves out no chunk that belongs to the k best.
+    """
+
+    def __init__(self, posted: pa.Table):
+        ids = posted.column("chunk_id").combine_chunks().dictionary_encode()
+        code = ids.indices.to_numpy(zero_copy_only=False)
+        _, first = np.unique(code, return_index=True)
+        heads = posted.take(pa.array(first))
+        order = places(heads.column("ordinal").combine_chunks()).to_numpy()
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.chunks = heads.take(pa.array(order))
+        self.source = self.chunks.column("source").combine_chunks().dictionary_encode()
+        coded = posted.column("term").combine_chunks().dictionary_encode()
+        self.terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        term, chunk, impacts = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), number[code], posted.column("impact").to_numpy()
+        at = np.lexsort((chunk, term))
+        self.chunk, self.impact = chunk[at], impacts[at]
+        cells = term[at] * (len(order) // BLOCK_CHUNKS + 1) + self.chunk // BLOCK_CHUNKS
+        self.cell = np.flatnonzero(np.diff(cells, prepend=-1))  # where the postings of a term in a block begin
+        self.most = np.maximum.reduceat(self.impact, self.cell) if len(at) else self.impact
+        self.cell_block = self.chunk[self.cell] // BLOCK_CHUNKS
+        self.of_term = np.searchsorted(term[at][self.cell], np.arange(len(self.terms) + 1))
+        self.cell = np.append(self.cell, len(at))
+        self.scored = self.matched = 0  # postings
+
+    def best(self, terms: list[int], weights: np.ndarray, k: int, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, scores) of the k best, best first; mask: whether a chunk may be found."""
+        blocks = len(self.chunks) // BLOCK_CHUNKS + 1
+        cells = np.concatenate([np.arange(self.of_term[t], self.of_term[t + 1]) for t in terms])
+        weight = np.repeat(weights, [self.of_term[t + 1] - self.of_term[t] for t in terms])
+        block = self.cell_block[cells]
+        bound = np.bincount(block, weight * self.most[cells], blocks)
+        if mask is not None:
+            bound[~np.logical_or.reduceat(np.append(mask, [False] * (-len(mask) % BLOCK_CHUNKS + BLOCK_CHUNKS)), np.arange(blocks) * BLOCK_CHUNKS)] = 0
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        place = np.full(blocks, blocks)
+        place[order] = np.arange(len(order))
+        by_place = np.argsort(place[block], kind="stable")  # a query's cells, block by block in that order
+        cells, weight, upto = cells[by_place], weight[by_place], np.searchsorted(place[block][by_place], np.arange(len(order) + 1))
+        found, scores, lo, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, -(-2 * k // BLOCK_CHUNKS))
+        while lo < len(order) and (len(scores) < k or bound[order[lo]] + 1e-8 >= scores[k - 1]):
+            hi = min(lo + step, len(order))
+            some, w = cells[upto[lo] : upto[hi]], weight[upto[lo] : upto[hi]]
+            sizes = self.cell[some + 1] - self.cell[some]
+            at = np.repeat(self.cell[some] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            self.scored += len(at)
+            chunk, slot = np.unique(self.chunk[at], return_inverse=True)
+            score = np.round(np.bincount(slot, np.repeat(w, sizes) * self.impact[at]), 9)
+            keep = score > 0 if mask is None else (score > 0) & mask[chunk]
+            found, scores = np.concatenate([found, chunk[keep]]), np.concatenate([scores, score[keep]])
+            first = np.lexsort((found, -scores))[:k]
+            found, scores = found[first], scores[first]
+            lo, step = hi, 2 * step
+        self.matched += int((self.cell[cells + 1] - self.cell[cells]).sum())
+        return found, scores
+
+    def top(self, asked: pa.Table, k: int) -> pa.Table:
+        """(q, chunk_id, ordinal, score) of the k best of each row of (q, terms, weights, sources)."""
+        rows, chunks, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        names = self.source.dictionary.to_pylist() if len(self.chunks) else []
+        code = self.source.indices.fill_null(len(names)).to_numpy(zero_copy_only=False) if len(self.chunks) else None
+        for row, (terms, weights, sources) in enumerate(zip(*(asked.column(c).to_pylist() for c in ("terms", "weights", "sources")), strict=True)):
+            # always in the same order, so that sums do not depend on how terms were gathered
+            known = sorted((t, w) for t, w in zip(terms, weights, strict=True) if t in self.terms)
+            if not known:
+                continue
+            mask = None if sources is None else np.array([*(n in set(sources) for n in names), False])[code]
+            found, score = self.best([self.terms[t] for t, _ in known], np.array([w for _, w in known]), k, mask)
+            rows.append(np.full(len(found), row))
+            chunks.append(found)
+            scores.append(score)
+        at = pa.array(np.concatenate(chunks))
+        held = self.chunks.take(at)
+        return pa.table([loosened(c.combine_chunks()) for c in (asked.column("q").take(pa.array(np.concatenate(rows))), held.column("chunk_id"), held.column("ordinal"))] + [pa.array(np.concatenate(scores))], ["q", "chunk_id", "ordinal", "score"])
+
+
+def loosened(values: pa.Array) -> pa.Array:
+    """The same with all fields of structs nullable, as the schemas of results name them."""
+    if not pa.types.is_struct(values.type):
+        return values
+    parts = [loosened(x) for x in values.flatten()]
+    return pa.StructArray.from_arrays(parts, fields=[pa.field(f.name, x.type) for f, x in zip(values.type, parts, strict=True)], mask=values.is_null())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.text import clean, is_navigation, navigation_terms, query_variants, source_hints
 from docsift.operators import fusion
-from docsift.operators.bm25 import BM25Index, bm25_scores, build_bm25, top_k
+from docsift.operators.bm25 import BM25Index, bm25_search, build_bm25
 from docsift.operators.vectors import vector_search
 from docsift.plans.models import Chat, Embedder, HashEmbedder, Reranker, generate
 from docsift.plans.ship import ship
@@ -46,27 +46,20 @@ class Engine:
         """The engine with its postings and vectors written to the shared folder, for any number of searches."""
         return replace(self, bm25=self.bm25.written(), vectors=written(self.vectors, "vectors"))
 
-    def ranked_lists(self, asked: DataFrame, variants: DataFrame) -> DataFrame:
-        """(qid, list_no, chunk_id, score, rank): for each variant, words and vectors, over all chunks and over hinted sources."""
-        most = F.col("candidates")
+    def ranked_lists(self, asked: DataFrame, variants: DataFrame, most: int = 2 * CANDIDATES) -> DataFrame:
+        """(qid, list_no, chunk_id, score, rank): for each variant, words and vectors, over all chunks and over hinted sources; ``most``: the longest list asked for."""
         hinted = asked.select("qid", F.explode("hints").alias("source_file"))
         held = hinted.join(self.chunks.select("source_file").distinct(), "source_file")  # sources that have chunks
         flags = asked.select("qid", "candidates", "hints").join(held.select("qid").distinct().withColumn("restricted", F.lit(True)), "qid", "left").withColumn("restricted", F.coalesce("restricted", F.lit(False)))
-        asked_variants = variants.join(flags, "qid")
-        step = F.when(F.col("restricted"), 4).otherwise(2)
-
-        words = bm25_scores(self.bm25, variants.select("qid", "variant_no", "text")).join(flags, "qid")
-        # one scoring serves both lists of a variant: all chunks, and those of hinted sources
-        inside = F.col("restricted") & F.array_contains("hints", F.col("source_file"))
-        kinds = F.when(inside, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
-        words = words.withColumn("kind", F.explode(kinds)).withColumn("list_no", F.col("variant_no") * step + F.col("kind"))
-        lists = top_k(words, ["qid", "list_no"], most, [F.desc("score"), "ordinal"]).select("qid", "list_no", "chunk_id", "score", "rank")
-
-        # one scan of the vectors serves both: a restricted variant asks a second time, with its sources
-        ask = lambda rows, kind, sources: rows.select(F.struct("qid", "variant_no", F.lit(kind).alias("kind"), "candidates", step.alias("step")).alias("qid"), self.embedder.embed(F.col("text")).alias("embedding"), sources.alias("sources"))
-        keyed = ask(asked_variants, 1, F.lit(None).cast("array<string>")).unionByName(ask(asked_variants.where("restricted"), 3, F.col("hints")))
-        near = vector_search(self.vectors, keyed, 2 * CANDIDATES).select("qid.*", "chunk_id", "score", "rank").where("rank <= candidates")
-        return lists.unionByName(near.select("qid", (F.col("variant_no") * F.col("step") + F.col("kind")).alias("list_no"), "chunk_id", "score", "rank"))
+        # a restricted variant asks a second time, with its sources; one search serves both
+        kinds = F.when(F.col("restricted"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+        rows = variants.join(flags, "qid").withColumn("step", F.when(F.col("restricted"), 4).otherwise(2)).withColumn("kind", F.explode(kinds))
+        rows = rows.select("qid", "variant_no", "kind", "candidates", "step", "text", F.when(F.col("kind") == 2, F.col("hints")).alias("sources"))
+        words = bm25_search(self.bm25, rows, most)
+        asks = rows.select(F.struct("qid", "variant_no", (F.col("kind") + 1).alias("kind"), "candidates", "step").alias("qid"), self.embedder.embed(F.col("text")).alias("embedding"), "sources")
+        near = vector_search(self.vectors, asks, most).select("qid.*", "chunk_id", "score", "rank")
+        lists = words.select(*near.columns).unionByName(near).where("rank <= candidates")
+        return lists.select("qid", (F.col("variant_no") * F.col("step") + F.col("kind")).alias("list_no"), "chunk_id", "score", "rank")
 
     def search(self, queries: DataFrame, k: int = 8, candidates: int = CANDIDATES) -> DataFrame:
         """Hits of (qid, query): HIT_COLUMNS, in rank order; at most k for each query."""
@@ -74,8 +67,10 @@ class Engine:
         asked = queries.select("qid", "query", text.alias("clean_query"))
         asked = asked.select("qid", "query", source_hints(F.col("clean_query")).alias("hints"), is_navigation(F.col("clean_query")).alias("navigation"), navigation_terms(F.col("clean_query")).alias("terms"))
         asked = asked.withColumn("candidates", F.when(F.col("navigation"), 2 * candidates).otherwise(candidates))
+        asked = written(asked, "asked")  # several joins read them
         variants = asked.select("qid", F.posexplode(query_variants(F.col("query"))).alias("variant_no", "raw")).select("qid", "variant_no", clean(F.col("raw")).alias("text"))
-        fused = fusion.rrf(self.ranked_lists(asked, variants))
+        variants = written(variants, "variants")
+        fused = fusion.rrf(self.ranked_lists(asked, variants, 2 * candidates))
         ranked = fusion.weigh(fused, self.chunks, asked.select("qid", "hints", "navigation", "terms", "candidates"))
         ranked = fusion.expand(ranked, F.col("candidates"))
         ranked = fusion.prioritize_sources(ranked, max(1, min(k, 3)))
