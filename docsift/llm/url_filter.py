@@ -51,27 +51,24 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     URLs whole. Other columns are ignored. Without captures the result is empty, without entries
     nothing is blocked.
 
-    A capture's keys are its host and the hosts above it, each with the leading steps of its path.
-    Only keys of a length that some rule has go on, so the last label alone, which nearly all
-    captures share, does not travel unless a rule names it. A key meets its rule in one row, and
-    the as-of step finds the interval that holds among the rule's, so no history multiplies captures.
+    A capture's keys are its host and the hosts above it, each with the leading steps of its path,
+    of the lengths that rules have: a row tells these, and no other key is built, however many
+    labels and steps a URL has. A key meets its rule in one row, and the as-of step finds the
+    interval that holds among the rule's, so no history multiplies captures.
     """
     url = F.col(url_col).cast("string")
     host, path = url_parts(url)
     key = F.unhex(F.md5(F.coalesce(url, F.lit("")).cast("binary")))
     base = captures.select(F.col(id_col).alias("id"), key.alias("u"), F.col(day_col).cast("date").alias("day"), host.alias("host"), path.alias("path"))
-    labels = "split(host, '[.]')"
-    # an address is no subdomain of its last numbers
-    hosts = f"if(host rlike '^[0-9.]+$', array(host), transform(sequence(1, size({labels})), i -> array_join(slice({labels}, i, size({labels})), '.')))"
-    steps = "filter(split(path, '/'), s -> s <> '')"
-    paths = f"transform(sequence(0, size({steps})), j -> array_join(slice(concat(array(''), {steps}), 1, j + 1), '/'))"
     rules = histories(entries)
-    # a host name has at most 127 labels; rules with more steps than that share one length
-    most = lambda c: F.least(F.col(c), F.lit(127)).alias(c)
-    lengths = F.broadcast(rules.select(most("labels"), most("steps")).distinct())
-    keyed = base.where("host <> '' and day is not null").select("id", "u", "day", F.explode(F.expr(hosts)).alias("suffix"), F.expr(paths).alias("paths"))
-    keyed = keyed.select("id", "u", "day", "suffix", F.size(F.split("suffix", "[.]")).alias("labels"), F.posexplode("paths").alias("steps", "rest"))
-    keyed = keyed.withColumns({c: most(c) for c in ("labels", "steps")}).join(lengths, ["labels", "steps"], "left_semi").select("id", "u", "day", F.concat("suffix", "rest").alias("rule"))
+    # one row, of the distinct lengths of rules
+    lengths = rules.agg(F.collect_set(F.struct("labels", "steps")).alias("lengths"))
+    split = base.where("host <> '' and day is not null").select("id", "u", "day", F.split("host", "[.]").alias("labels"), F.expr("filter(split(path, '/'), s -> s <> '')").alias("steps"), F.col("host").rlike("^[0-9.]+$").alias("address"))
+    # an address is no subdomain of its last numbers
+    fits = "filter(lengths, x -> x.steps <= size(steps) and if(address, x.labels = size(labels), x.labels <= size(labels)))"
+    keyed = split.crossJoin(F.broadcast(lengths)).select("id", "u", "day", "labels", "steps", F.explode(F.expr(fits)).alias("x"))
+    key = "concat_ws('/', array_join(slice(labels, size(labels) - x.labels + 1, x.labels), '.'), if(x.steps > 0, array_join(slice(steps, 1, x.steps), '/'), null))"
+    keyed = keyed.select("id", "u", "day", F.expr(key).alias("rule"))
     as_of = F.expr("try_element_at(filter(history, x -> x.valid_from <= day), -1)")
     met = keyed.join(rules.select("rule", "history"), "rule").select("id", "u", "day", "rule", as_of.alias("e")).where("e.action in ('block', 'allow')")
     best = met.groupBy("id", "u", "day").agg(F.max(F.struct(F.length("rule"), F.col("rule"), F.col("e.category").alias("category"), F.col("e.action").alias("action"), F.col("e.valid_from").alias("listed_on"))).alias("e"))

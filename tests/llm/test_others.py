@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -147,6 +148,37 @@ def test_licenses_of_commented_headers(spark):
     assert [(cases[i][0], got[i]) for i in sorted(got)] == cases
 
 
+def test_url_filter_of_deep_urls(spark):
+    deep = "/".join(f"s{k}" for k in range(100_000))
+    host = "a." * 10_000 + "deep.example.com"
+    rows = [(1, f"http://x.example.com/{deep}", "2024-01-05"), (2, f"http://{host}/p", "2024-01-05"), (3, "http://x.example.com" + "/" * 50_000 + "s0/s1", "2024-01-05"), (4, "http://10.0.0.1/s0", "2024-01-05")]
+    entries = [("x.example.com/s0/s1", "c", "block", "2024-01-01"), ("deep.example.com", "c", "block", "2024-01-01"), ("/".join(["x.example.com", *deep.split("/")[:300]]), "d", "allow", "2024-01-03"), ("0.1", "c", "block", "2024-01-01")]
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched_on string")
+    began = time.time()
+    got = {r.page_id: (r.blocked, r.category) for r in url_filter(df, spark.createDataFrame(entries, LIST_SCHEMA)).collect()}
+    assert got == {1: (False, "d"), 2: (True, "c"), 3: (True, "c"), 4: (False, None)} and time.time() - began < 20
+
+
+def test_licenses_of_names_with_full_stops_expressions_and_titles(spark):
+    two = f"{SENTENCES[13]}\n\n1. {SENTENCES[14]}.\n2. {SENTENCES[15]}.\n"
+    clause = "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    cases = [(two + clause.format(who), "BSD-3-Clause") for who in ("Google Inc.", "Google LLC", "the copyright holder", "Foo Co., Ltd.", "a holder whose name is long " * 40)]
+    cases += [
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", "Apache-2.0,MIT"), ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", "Apache-2.0,MIT"), ("# SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note\n", "GPL-2.0-only"),
+        ("SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause", "BSD-3-Clause,GPL-2.0-only"), ("SPDX-License-Identifier: Nobody-1.0 OR ISC", "ISC"), ("SPDX-License-Identifier: Nobody-1.0", ""),
+        ("MIT License\n\nCopyright (c) 2020 x", "MIT"), ("The MIT License (MIT)\n\nCopyright", "MIT"), ("BSD 3-Clause License\n\nCopyright", "BSD-3-Clause"), ("ISC License\n", "ISC"),
+        ("   GNU GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright", "GPL-3.0-only"), ("  GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright", "GPL-2.0-only"), (" GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999\n\n", "LGPL-2.1-only"),
+        ("   Apache License\n      Version 2.0, January 2004\n     http://www.apache.org/licenses/\n\n TERMS", "Apache-2.0"), ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"), ("Mozilla Public License Version 2.0\n====\n", "MPL-2.0"),
+        # several rules on one text, and one text many times
+        (f"{SENTENCES[2]}. {SENTENCES[4]}. {SENTENCES[2]}.", "CC-BY-NC-4.0,MIT"), ("the apache license is long", ""),
+    ]
+    got = {r.doc_id: r.licenses for r in license_scan(documents(spark, [(i, text) for i, (text, _) in enumerate(cases)])).collect()}
+    assert [(cases[i][0], got[i]) for i in sorted(got)] == cases
+    began = time.time()
+    license_scan(documents(spark, [(1, "neither the name of x. nor the names of " * 5000), (2, "Neither the name " * 20000)])).collect()
+    assert time.time() - began < 30
+
+
 def brute(vectors, q, k):
     own = vectors[q]
     scored = sorted((-float(np.dot(v, own)), i) for i, v in vectors.items() if i != q)
