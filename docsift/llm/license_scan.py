@@ -79,6 +79,35 @@ ADDED_SENTENCES = {
     37: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     38: "Licensed under the BSD 2-Clause License",
     39: "Licensed under the BSD 3-Clause License",
+    40: "GNU GENERAL PUBLIC LICENSE",
+    41: "GNU LESSER GENERAL PUBLIC LICENSE",
+    42: "GNU AFFERO GENERAL PUBLIC LICENSE",
+    43: "Version 2, June 1991",
+    44: "Version 3, 29 June 2007",
+    45: "Version 2.1, February 1999",
+    46: "Version 3, 19 November 2007",
+    47: "Apache License",
+    48: "Version 2.0, January 2004",
+    49: "MIT License",
+    50: "The MIT License",
+    51: "The MIT License (MIT)",
+    52: "Mozilla Public License Version 2.0",
+    53: "Boost Software License - Version 1.0 - August 17th, 2003",
+    54: "Eclipse Public License - v 2.0",
+    55: "ISC License",
+    56: "BSD 2-Clause License",
+    57: "BSD 3-Clause License",
+    58: "CC0 1.0 Universal",
+    59: "Attribution 4.0 International",
+    60: "Attribution-ShareAlike 4.0 International",
+    61: "Attribution-NonCommercial 4.0 International",
+    62: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    63: "Licensed under the GNU General Public License, version 3",
+    64: "Licensed under the Mozilla Public License, version 2.0",
+    65: "Licensed under the ISC License",
+    66: "Licensed under CC BY 4.0",
+    67: "Licensed under CC BY-SA 4.0",
+    68: "Version 2.0, January 2004 http://www.apache.org/licenses/",
 }
 
 ADDED_RULES = (
@@ -103,6 +132,32 @@ ADDED_RULES = (
     ("MPL-2.0", (24,)),
     ("Unlicense", (35,)),
     ("Zlib", (37,)),
+    ("AGPL-3.0-only", (42, 46)),
+    ("Apache-2.0", (47, 48)),
+    ("Apache-2.0", (47, 68)),
+    ("BSD-2-Clause", (56,)),
+    ("BSD-3-Clause", (57,)),
+    ("BSL-1.0", (53,)),
+    ("CC-BY-4.0", (59,)),
+    ("CC-BY-4.0", (66,)),
+    ("CC-BY-NC-4.0", (61,)),
+    ("CC-BY-SA-4.0", (60,)),
+    ("CC-BY-SA-4.0", (62,)),
+    ("CC-BY-SA-4.0", (67,)),
+    ("CC0-1.0", (58,)),
+    ("EPL-2.0", (54,)),
+    ("GPL-2.0-only", (40, 43)),
+    ("GPL-3.0-only", (40, 44)),
+    ("GPL-3.0-only", (63,)),
+    ("ISC", (55,)),
+    ("ISC", (65,)),
+    ("LGPL-2.1-only", (41, 45)),
+    ("LGPL-3.0-only", (41, 44)),
+    ("MIT", (49,)),
+    ("MIT", (50,)),
+    ("MIT", (51,)),
+    ("MPL-2.0", (52,)),
+    ("MPL-2.0", (64,)),
 )
 
 #: What SPDX tags name beside the tags above, and the older names of the same licences.
@@ -113,8 +168,8 @@ ALL_SENTENCES = SENTENCES | ADDED_SENTENCES | {100 + k: f"SPDX-License-Identifie
 ALL_RULES = RULES + ADDED_RULES + tuple((name, (100 + k,)) for k, name in enumerate(TAGS.values()))
 
 #: The clause on names, which names the holder, by the known sentence that it stands for.
-NAMED = {18: re.compile(r"(?:neither the names? of .{1,300} nor the names? of .{1,100} may|the names? of .{1,300} may not) be used to endorse or promote products derived from this software without specific prior written permission")}
-NAMED_START, NAMED_CHARS = ("neither the name", "the name"), 600
+NAMED = {18: re.compile(r"(?:neither the names? of .{1,2000} nor the names? of .{1,1000} may|the names? of .{1,2000} may not) be used to endorse or promote products derived from this software without specific prior written permission")}
+NAMED_START, NAMED_CHARS = ("neither the name", "the name"), 4000
 
 WRAPPED = r"([^.!?;:\s])[ \t\r]*\n[ \t]*([a-z(])"
 ENDS = r"(?<![.!?;])[.!?;]++[ \t\r\n]+"  # from the start of a run only, so that long runs cost no more than short ones
@@ -143,6 +198,11 @@ def pieces(text: str) -> list[str]:
     return [GOES_ON * s.startswith(GOES_ON) + re.sub(OTHER, " ", s).lower().strip(" ") for s in text.split("\n")]
 
 
+#: A tag with an expression: names between OR and AND, each perhaps with an exception after WITH.
+TAG = "spdx-license-identifier "
+BETWEEN, EXCEPT = ("or", "and"), "with"
+
+
 class Lookup:
     """Identifiers of known sentences, whole or over several pieces."""
 
@@ -158,6 +218,25 @@ class Lookup:
             found = next((i for i, clause in self.named.items() if clause.fullmatch(s)), None)
         return found
 
+    def tagged(self, s: str) -> list[int]:
+        """Identifiers of the tags that an expression names, in order."""
+        names, words = [], s[len(TAG) :].split(" ")
+        for at, word in enumerate(words):
+            if at == 0 or words[at - 1] in BETWEEN:
+                names.append(word)
+            elif word not in BETWEEN and word != EXCEPT and words[at - 1] != EXCEPT:
+                break  # what follows is no part of the expression
+        return [self.ids[TAG + name] for name in names if TAG + name in self.ids]
+
+    def clause(self, parts: list[str], at: int, s: str) -> tuple[int | None, int]:
+        """(identifier, end) of a clause with a name, which may have full stops, as "Inc." does, and so goes on over what looks like ends."""
+        while at < len(parts) and len(s) <= NAMED_CHARS:
+            s += " " + parts[at].lstrip(GOES_ON)
+            at += 1
+            if (found := self.known(s)) is not None:
+                return found, at
+        return None, at
+
     def starting(self, s: str) -> bool:
         return s in self.starts or (s.startswith(NAMED_START) and len(s) <= NAMED_CHARS)
 
@@ -172,8 +251,13 @@ class Lookup:
                 after += 1
                 if (longer := self.known(s)) is not None:
                     found, end = longer, after
+            if found is None and parts[at].lstrip(GOES_ON).startswith(NAMED_START):
+                found, over = self.clause(parts, after, s)
+                end = over if found is not None else end
             if found is not None:
                 out.append(found)
+            elif parts[at].lstrip(GOES_ON).startswith(TAG):
+                out += self.tagged(parts[at].lstrip(GOES_ON))
             at = end
         return out
 

@@ -12,7 +12,7 @@ from docsift.llm.exact_dedup import exact_dedup
 from docsift.llm.graph_index import nearest
 from docsift.llm.jaccard_join import jaccard_join
 from docsift.llm.language_id import identify, prototypes
-from docsift.llm.license_scan import RULES, SENTENCES, license_scan, sentences
+from docsift.llm.license_scan import ALL_RULES, ALL_SENTENCES, license_scan, sentences
 from docsift.llm.mixing import mix
 from docsift.llm.packing import pack
 from docsift.llm.shared import table
@@ -106,8 +106,8 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
 
-_KNOWN = _values((i, sentences(text)[0]) for i, text in SENTENCES.items())
-_RULES = _values((name, ",".join(map(str, rule))) for name, rule in RULES)
+_KNOWN = _values((i, sentences(text)[0]) for i, text in ALL_SENTENCES.items())
+_RULES = ", ".join(f"('{name}', {list(rule)})" for name, rule in ALL_RULES)
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -133,10 +133,12 @@ ORACLE_SQL = {
         cut AS (SELECT doc_id, string_split(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([^.!?;:\\s])[ \\t\\r]*\\n[ \\t]*([a-z(])', '\\1 \\2', 'g') || chr(10),
                        '[.!?;]+[ \\t\\r\\n]+', chr(10), 'g'), '[^A-Za-z0-9.+/\\n-]+', ' ', 'g')), chr(10)) AS parts FROM documents),
         each AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-        found AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids FROM each JOIN known ON trim(part, ' ') = sentence GROUP BY doc_id),
-        held AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n
-                 FROM found f JOIN rules r ON contains(',' || f.ids || ',', ',' || r.ids || ',') GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(f.ids, '') AS sentence_ids, coalesce(h.names, '') AS licenses, CAST(coalesce(h.n, 0) AS INTEGER) AS n_licenses
+        found AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM each JOIN known ON trim(part, ' ') = sentence GROUP BY doc_id),
+        starts AS (SELECT doc_id, ids, unnest(generate_series(1, len(ids))) AS a FROM found),
+        places AS (SELECT DISTINCT doc_id, a, a + len(r.ids) AS b, name FROM starts s JOIN rules r ON list_slice(s.ids, a, a + len(r.ids) - 1) = r.ids),
+        held AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n FROM places p
+                 WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.doc_id = p.doc_id AND q.a <= p.a AND p.b <= q.b AND q.b - q.a > p.b - p.a) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(array_to_string(f.ids, ','), '') AS sentence_ids, coalesce(h.names, '') AS licenses, CAST(coalesce(h.n, 0) AS INTEGER) AS n_licenses
         FROM documents d LEFT JOIN found f USING (doc_id) LEFT JOIN held h USING (doc_id)
     """,
     "op4_substring_dedup": """
