@@ -8,6 +8,7 @@ every block meets every shard in one task, which holds the block and reads the v
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,12 @@ class Block:
         self.matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
         self.sources = [None if s is None else frozenset(s) for s in rows.column("sources").to_pylist()]
 
+    def only(self, rows: np.ndarray) -> Block:
+        """The block of some of its queries."""
+        part = copy(self)
+        part.qids, part.matrix, part.sources = self.qids.take(pa.array(rows)), self.matrix[rows], [self.sources[i] for i in rows]
+        return part
+
     def allowed(self, source: pa.Array) -> np.ndarray | None:
         """Whether each query may find each row, by its source; None if all may."""
         if all(s is None for s in self.sources):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docsift.functions import text as tx
 from docsift.functions.udfs import repair_and_unescape, split_at_punctuation
 from docsift.operators import answer, bm25, chunking, evaluate, fusion, merge, rerank
+from docsift.operators.groups import group_vectors, grouped_search
 from docsift.operators.vectors import vector_search
 from docsift.plans.engine import Engine
 from docsift.plans.models import HashEmbedder
@@ -478,6 +479,19 @@ def knn_restricted(spark, sf_dir):
     return vector_search(vectors, asked, 10, allowed=asked.select("qid", "source_file")).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["knn_topk"])
+def knn_grouped(spark, sf_dir):
+    """The same search over groups of vectors, with bounds."""
+    vectors, asked = _vectors(spark, sf_dir)
+    return grouped_search(group_vectors(vectors), asked, 10)[0].withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE_SQL["knn_restricted"])
+def knn_grouped_restricted(spark, sf_dir):
+    vectors, asked = _vectors(spark, sf_dir)
+    return grouped_search(group_vectors(vectors), asked, 10, allowed=asked.select("qid", "source_file"))[0].withColumn("score", F.round("score", 6))
+
+
 @query(ORACLE_SQL["knn_topk"])
 def vector_round_trip(spark, sf_dir):
     vectors, asked = _vectors(spark, sf_dir)
