@@ -29,10 +29,10 @@ def build_chunk_tables(spark: SparkSession, s: Settings, root: str) -> int:
     return storage.read_chunks(spark, s.chunks_path).count()
 
 
-def build_summaries(spark: SparkSession, s: Settings, limit: int, dry_run: bool = False) -> int:
+def build_summaries(spark: SparkSession, s: Settings, limit: int, dry_run: bool = False, workers: int = 4) -> int:
     """Adds a model's summaries to the chunks; they are written beside the old chunks first, which are then replaced.
 
-    A dry run counts the chunks that would be summarised and calls nothing.
+    Summaries are logged as they are made, so a run that was stopped goes on without asking again. A dry run counts the chunks that would be summarised and calls nothing.
     """
     if dry_run:
         return summary_candidates(storage.read_chunks(spark, s.chunks_path), limit).count()
@@ -40,7 +40,7 @@ def build_summaries(spark: SparkSession, s: Settings, limit: int, dry_run: bool
     if chat is None:
         raise SystemExit("summaries need LLM_API_KEY")
     chunks = storage.read_chunks(spark, s.chunks_path)
-    made = summary_chunks(models.summarize(summary_candidates(chunks, limit), chat)).select(*chunks.columns)
+    made = summary_chunks(models.logged_summaries(summary_candidates(chunks, limit), chat, s.summary_log, workers)).select(*chunks.columns)
     merged = upsert(chunks, made).persist()
     n = merged.count()
     storage.write_chunks(merged, f"{s.chunks_path}.new")
@@ -51,7 +51,7 @@ def build_summaries(spark: SparkSession, s: Settings, limit: int, dry_run: bool
 def build_index(spark: SparkSession, s: Settings) -> None:
     chunks, embedder = storage.read_chunks(spark, s.chunks_path), models.get_embedder(s)
     storage.save_bm25(build_bm25(chunks), s.index_path)
-    storage.save_vectors(chunks.select("chunk_id", "ordinal", "source_file", embedder.embed(F.col("index_text")).alias("embedding")), s.vectors_path)
+    storage.save_vectors(chunks.select("chunk_id", "ordinal", "source_file", F.lit(embedder.name).alias("embedder"), embedder.embed(F.col("index_text")).alias("embedding")), s.vectors_path)
     storage.write_manifest(spark, s.manifest_path, chunks.count(), embedder.name, embedder.dimensions, s.embedding_model or s.local_embedding_model)
 
 
@@ -73,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     build = commands.add_parser("build", help="parsed layouts to chunks, summaries if asked for, indexes")
     build.add_argument("root")
     build.add_argument("--summaries", type=int, default=None, metavar="LIMIT", help="0: all")
+    build.add_argument("--workers", type=int, default=4, choices=range(1, 17), metavar="1..16", help="calls to the model at a time")
     build.add_argument("--dry-run", action="store_true", help="only count what would be summarised")
     commands.add_parser("index", help="indexes of the chunks there are")
     ask = commands.add_parser("ask")
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "build":
         print(f"{build_chunk_tables(spark, s, args.root)} chunks")
         if args.summaries is not None:
-            n = build_summaries(spark, s, args.summaries, args.dry_run)
+            n = build_summaries(spark, s, args.summaries, args.dry_run, args.workers)
             print(f"{n} chunks to summarise" if args.dry_run else f"{n} chunks with summaries")
         build_index(spark, s)
     elif args.command == "index":

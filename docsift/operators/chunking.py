@@ -29,8 +29,8 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
     Places come from counts by file and their running sum over files, so no task sees all blocks.
     """
     counts = blocks.groupBy("doc_key").agg(F.count("*").alias("n"))
-    # running sums over ranges of files, then over the ranges
-    ranges = counts.repartitionByRange("doc_key").withColumn("part", F.spark_partition_id())
+    # running sums over ranges of files, then over the ranges; written, so that a task that runs again finds the same ranges
+    ranges = written(counts.repartitionByRange("doc_key").withColumn("part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("part").orderBy("doc_key").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
     totals = ranges.groupBy("part").agg(F.sum("n").alias("t"))

@@ -13,7 +13,7 @@ from copy import copy
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,16 +23,19 @@ ROWS_AT_ONCE = 2048
 SHARD_ROWS = 1 << 20
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_col: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_col: str = "embedding", allowed: DataFrame | None = None, embedder: str | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) of scores above 0, best first, ties in order of ``ordinal``.
 
     vectors: (chunk_id, ordinal, embedding, and source_file if sources are restricted); queries:
     (qid, embedding), and possibly ``sources``, the sources that a query is restricted to, null for all; or
     ``allowed``: the same as rows (qid, source_file), where a query without any finds nothing. Of
     every few thousand vectors at most k rows stay for each query, and each task ranks these
-    before a shuffle. Null vectors take no part; one of another length than the query's is an error.
+    before a shuffle. Null vectors take no part; one of another length than the query's is an error,
+    and so is one that names another ``embedder`` than that of the queries, in a column of that name.
     """
     names = queries.schema
+    if embedder is not None and "embedder" in vectors.columns:
+        vectors = vectors.withColumn(vector_col, of_embedder(F.col(vector_col), F.col("embedder"), embedder))
     asked = queries.withColumn("v", F.col(vector_col).cast("array<double>"))
     if allowed is not None:
         lists = allowed.groupBy("qid").agg(F.collect_set("source_file").alias("sources"))
@@ -54,6 +57,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_co
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
 
 
+def of_embedder(vector: Column, made_by: Column, embedder: str) -> Column:
+    """The vector; an error where another embedder made it, or none is named."""
+    other = F.concat(F.lit("the index holds vectors of "), F.coalesce(made_by, F.lit("nobody")), F.lit(f", the queries' are of {embedder}; build the index again"))
+    return F.when(made_by.eqNullSafe(embedder), vector).otherwise(F.raise_error(other).cast("array<double>"))
+
+
 class Block:
     """Some queries, and what they find in slices of the vectors."""
 

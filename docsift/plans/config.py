@@ -57,6 +57,10 @@ class Settings:
     def vectors_path(self) -> str:
         return f"{self.data_dir}/vectors"
 
+    @property
+    def summary_log(self) -> str:
+        return f"{self.data_dir}/summaries"
+
     @property
     def manifest_path(self) -> str:
         return f"{self.data_dir}/manifest"

@@ -39,7 +39,7 @@ class Engine:
         embedder = embedder or HashEmbedder()
         if "ordinal" not in chunks.columns:
             chunks = chunks.withColumn("ordinal", F.struct("family", "order_key"))
-        vectors = chunks.select("chunk_id", "ordinal", "source_file", embedder.embed(F.col("index_text")).alias("embedding"))
+        vectors = chunks.select("chunk_id", "ordinal", "source_file", F.lit(embedder.name).alias("embedder"), embedder.embed(F.col("index_text")).alias("embedding"))
         return Engine(chunks, build_bm25(chunks), vectors, embedder, reranker)
 
     def written(self) -> Engine:
@@ -57,7 +57,7 @@ class Engine:
         rows = rows.select("qid", "variant_no", "kind", "candidates", "step", "text", F.when(F.col("kind") == 2, F.col("hints")).alias("sources"))
         words = bm25_search(self.bm25, rows, most)
         asks = rows.select(F.struct("qid", "variant_no", (F.col("kind") + 1).alias("kind"), "candidates", "step").alias("qid"), self.embedder.embed(F.col("text")).alias("embedding"), "sources")
-        near = vector_search(self.vectors, asks, most).select("qid.*", "chunk_id", "score", "rank")
+        near = vector_search(self.vectors, asks, most, embedder=self.embedder.name).select("qid.*", "chunk_id", "score", "rank")
         lists = words.select(*near.columns).unionByName(near).where("rank <= candidates")
         return lists.select("qid", (F.col("variant_no") * F.col("step") + F.col("kind")).alias("list_no"), "chunk_id", "score", "rank")
 

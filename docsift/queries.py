@@ -83,15 +83,20 @@ def mojibake_repair(spark, sf_dir):
     return rows.select("doc_id", repair_and_unescape("text").alias("body"), "garbled", repair_and_unescape("garbled").alias("repaired"))
 
 
-@query("""
-    WITH t(id, s) AS (VALUES (1, '专用频率'), (2, '频'), (3, '无线电设备管理'), (4, '')),
-    n AS (SELECT id, s, unnest([1, 2, 3]) AS n FROM t),
-    g AS (SELECT id, n, unnest(generate_series(1, length(s) - n + 1)) AS i, s FROM n WHERE length(s) >= n)
-    SELECT t.id, coalesce(string_agg(substr(g.s, CAST(g.i AS INTEGER), g.n), '|' ORDER BY g.n, g.i), '') AS grams FROM t LEFT JOIN g USING (id) GROUP BY t.id
+RUNS = ("专用频率", "频", "无线电设备管理", "")
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '专用频率' WHEN 1 THEN '频' WHEN 2 THEN '无线电设备管理' ELSE '' END AS s FROM documents),
+    n AS (SELECT doc_id, s, unnest([1, 2, 3]) AS n FROM r), g AS (SELECT doc_id, n, unnest(generate_series(1, length(s) - n + 1)) AS i, s FROM n WHERE length(s) >= n),
+    grams AS (SELECT doc_id, list(substr(s, CAST(i AS INTEGER), n) ORDER BY n, i) AS grams FROM g GROUP BY doc_id)
+    SELECT doc_id, array_to_string(list_concat(coalesce(grams, []), {TOKENS.format(CLEAN.format("text"))}), '|') AS grams FROM r LEFT JOIN grams USING (doc_id)
 """)
 def cjk_ngrams(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "专用频率"), (2, "频"), (3, "无线电设备管理"), (4, "")], "id int, s string")
-    return rows.select("id", F.array_join(tx.tokenize(F.col("s")), "|").alias("grams"))
+    """The tokens of every text, with a run of another script before it."""
+    run = F.element_at(F.array(*map(F.lit, RUNS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(run, F.lit(" "), tx.strip_markup(F.col("text"))).alias("s"))
+    return rows.select("doc_id", F.array_join(tx.tokenize(F.col("s")), "|").alias("grams"))
 
 
 @query("SELECT doc_id, substr(sha1('page|' || source || '|' || doc_id), 1, 12) AS chunk_id FROM documents")
@@ -111,25 +116,37 @@ def query_variants(spark, sf_dir):
     return v.select("conv_id", "turn", F.size("v").cast("long").alias("n_variants"), F.array_join("v", "|").alias("variants"))
 
 
+ASKED = ("产品手册有哪些设备", "杂志里的案例", "中国无线电目录", "plain", "产品手册与杂志")
+
+
 @query("""
-    WITH q(id, s) AS (VALUES (1, '产品手册有哪些设备'), (2, '杂志里的案例'), (3, '中国无线电目录'), (4, 'plain'), (5, '产品手册与杂志'))
-    SELECT id, concat_ws(',', CASE WHEN contains(s, '产品手册') THEN '产品手册.pdf' END, CASE WHEN contains(s, '杂志') OR contains(s, '中国无线电') THEN '杂志.pdf' END) AS hints,
+    WITH q AS (SELECT conv_id, turn, text || list_extract(['产品手册有哪些设备', '杂志里的案例', '中国无线电目录', 'plain', '产品手册与杂志'], CAST((conv_id + turn) % 5 AS INTEGER) + 1) AS s FROM conversations)
+    SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(s, '产品手册') THEN '产品手册.pdf' END, CASE WHEN contains(s, '杂志') OR contains(s, '中国无线电') THEN '杂志.pdf' END) AS hints,
            regexp_matches(s, '有哪些|列举|记录了|包括哪些|目录|案例|文章|主题') AS navigation FROM q
 """)
 def source_hints_and_navigation(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "产品手册有哪些设备"), (2, "杂志里的案例"), (3, "中国无线电目录"), (4, "plain"), (5, "产品手册与杂志")], "id int, s string")
-    return rows.select("id", F.array_join(tx.source_hints(F.col("s")), ",").alias("hints"), tx.is_navigation(F.col("s")).alias("navigation"))
+    """Of every turn, with a question in another script after it."""
+    phrase = F.element_at(F.array(*map(F.lit, ASKED)), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", phrase).alias("s"))
+    return rows.select("conv_id", "turn", F.array_join(tx.source_hints(F.col("s")), ",").alias("hints"), tx.is_navigation(F.col("s")).alias("navigation"))
+
+
+HEADS = ("应用场景", "抗干扰检测设备", "概述", "综合——管理分类说明", "设备")
 
 
 @query("""
-    WITH t(id, title, lvl) AS (VALUES (1, '应用场景', 1), (2, '抗干扰检测设备', 3), (3, '概述', NULL), (4, '综合——管理分类说明', 4), (5, '设备', 3))
-    SELECT id, CASE WHEN replace(title, ' ', '') IN ('主要功能', '主要设备', '应用场景', '产品介绍', '主要技术指标', '远程指挥调度功能') THEN greatest(coalesce(lvl, 2), 2)
+    WITH t AS (SELECT doc_id, list_extract(['应用场景', '抗干扰检测设备', '概述', '综合——管理分类说明', '设备'], CAST(doc_id % 5 AS INTEGER) + 1) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' ' || source END AS title,
+                      CASE WHEN doc_id % 7 < 5 THEN CAST(doc_id % 7 AS INTEGER) END AS lvl FROM documents)
+    SELECT doc_id, CASE WHEN replace(title, ' ', '') IN ('主要功能', '主要设备', '应用场景', '产品介绍', '主要技术指标', '远程指挥调度功能') THEN greatest(coalesce(lvl, 2), 2)
                     WHEN regexp_matches(title, '设备|装置|终端|接收机|系统|服务') AND length(replace(title, ' ', '')) >= 6 THEN least(coalesce(lvl, 2), 1)
                     WHEN regexp_matches(title, '——|类') AND length(replace(title, ' ', '')) >= 8 THEN least(coalesce(lvl, 2), 1) ELSE coalesce(lvl, 2) END AS level FROM t
 """)
 def title_levels(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "应用场景", 1), (2, "抗干扰检测设备", 3), (3, "概述", None), (4, "综合——管理分类说明", 4), (5, "设备", 3)], "id int, title string, lvl int")
-    return rows.select("id", title_level(F.col("title"), F.col("lvl")).alias("level"))
+    """Of a heading for every document, half of them with its source."""
+    head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    title = F.concat(head, F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "source")))
+    level = F.when(F.col("doc_id") % 7 < 5, (F.col("doc_id") % 7).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", title_level(title, level).alias("level"))
 
 
 PHRASES = "(VALUES (0, '什么产品手册频率'), (1, '无线电设备'), (2, '频'), (3, '根据杂志说明'), (4, '')) f(k, phrase)"
@@ -512,7 +529,8 @@ def manifest_check(spark, sf_dir):
 @query()
 def hash_embedding(spark, sf_dir):
     v = read(spark, sf_dir, "documents").select("doc_id", HashEmbedder().embed(tx.strip_markup(F.col("text"))).alias("v"))
-    return v.select("doc_id", F.size("v").alias("dimensions"), F.round(F.sqrt(tx.dot(F.col("v"), F.col("v"))), 6).alias("length"))
+    digits = F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x + 0.0)), ",")
+    return v.select("doc_id", F.size("v").alias("dimensions"), F.round(F.sqrt(tx.dot(F.col("v"), F.col("v"))), 6).alias("length"), F.sha2(digits.cast("binary"), 256).alias("vector_sha256"))
 
 
 LISTS = """

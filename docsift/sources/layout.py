@@ -7,6 +7,9 @@ read as text and checked.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,12 +88,13 @@ def section_paths(blocks: DataFrame, levels: list[int] | None = None) -> DataFra
     """Adds ``section``: the names of the open titles above each block, joined by `` > ``.
 
     blocks: (doc_key, block_pos, title, title_level), the last two null for other blocks. A
-    title closes those of its level and below. The last title of a level is open unless a
-    title of a smaller level came after it, so running maxima by level are enough: one sort
-    for each document, no join.
+    title closes those of its level and below. With known ``levels``, running maxima for each are
+    enough: the last title of a level is open unless a title of a smaller level came after it.
+    Otherwise one pass over each document's blocks, in order, carries the open titles, however many levels there are.
     """
     if levels is None:
-        levels = [r[0] for r in blocks.where("title_level is not null").select("title_level").distinct().collect()]
+        place = blocks.withColumn("section", F.lit("")).repartition("doc_key").sortWithinPartitions("doc_key", "block_pos")
+        return place.mapInArrow(_sections, place.schema)
     running = Window.partitionBy("doc_key").orderBy("block_pos").rowsBetween(Window.unboundedPreceding, 0)
     named, open_ = blocks, []
     for i, level in enumerate(sorted(levels)):
@@ -102,6 +106,25 @@ def section_paths(blocks: DataFrame, levels: list[int] | None = None) -> DataFra
     return named.withColumn("section", section).drop(*[f"_{k}{i}" for i in range(len(levels)) for k in ("last", "above")])
 
 
+def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over blocks sorted by document and place: fills ``section``."""
+    key, names, depths, section = None, [], [], ""
+    for batch in batches:
+        out = []
+        for doc, title, level in zip(*(batch.column(c).to_pylist() for c in ("doc_key", "title", "title_level")), strict=True):
+            if doc != key:
+                key, names, depths, section = doc, [], [], ""
+            if level is not None:
+                while depths and depths[-1] >= level:
+                    depths.pop()
+                    names.pop()
+                depths.append(level)
+                names.append(title)
+                section = " > ".join(n for n in names if n is not None)
+            out.append(section)
+        yield batch.set_column(batch.schema.get_field_index("section"), "section", pa.array(out, pa.string()))
+
+
 def blocks_of_items(items: DataFrame, flat: bool) -> DataFrame:
     """Blocks of (doc_key, source_file, priority, block_pos, item): one JSON object each, of a flat or a nested layout.
 
