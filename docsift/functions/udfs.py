@@ -19,6 +19,9 @@ BREAKS = "。；，"
 WORD = re.compile(r"[a-z0-9][a-z0-9_\-./]*|[一-鿿]+")
 BREAK_CODES = np.array([ord(c) for c in BREAKS], np.uint32)
 ROWS_AT_ONCE = 1024
+#: What tokens consist of, as bytes: letters and digits begin one, these marks go on with it. Fixed values.
+BEGIN = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
+INSIDE = BEGIN | np.array([chr(b) in "_-./" for b in range(256)])
 
 
 def repair(text: str) -> str:
@@ -79,7 +82,7 @@ def hash_vectors(offsets: np.ndarray, tokens: pa.Array, dimensions: int = DIMENS
 
     Each distinct token is hashed once; counts and sums are taken over all rows together.
     """
-    coded = pa.array(tokens, pa.string()).dictionary_encode()
+    coded = tokens.dictionary_encode()
     digests = b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in coded.dictionary.to_pylist())
     parts = np.frombuffer(digests, np.dtype([("slot", "<u4"), ("sign", "u1"), ("rest", "V3")]))
     slots, signs = (parts["slot"] % dimensions).astype(np.int64), 1.0 - 2.0 * (parts["sign"] & 1).astype(np.float64)
@@ -106,6 +109,40 @@ def batch_tokens(texts: list[str]) -> tuple[np.ndarray, list[str]]:
     return np.array(ends), tokens
 
 
+def token_arrays(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of tokens of each lower-case text, the tokens of all), as ``functions.text.tokenize`` has them; null counts as empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # CJK characters begin with these bytes; texts with any go another way
+    wide = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))
+    if len(wide):
+        ends, tokens = batch_tokens(texts.cast(pa.large_string()).to_pylist())
+        return np.diff(ends), pa.array(tokens, pa.large_string())
+    inside = np.concatenate([INSIDE[data], [False]])
+    first = inside.copy()
+    first[1:] = inside[1:] & ~inside[:-1]
+    cut = offsets[:-1][(offsets[:-1] < len(data))]
+    first[cut] = inside[cut]  # a text begins anew
+    starts = np.flatnonzero(first)
+    stop = np.concatenate([inside[:-1] & ~inside[1:], [False]])
+    last = offsets[1:][(offsets[1:] > 0)] - 1
+    stop[last] = inside[last]
+    ends = np.flatnonzero(stop) + 1
+    begins = np.concatenate([np.flatnonzero(BEGIN[data]), [len(data)]])
+    starts = begins[np.searchsorted(begins, starts)]  # marks before the first letter or digit are none of the token's
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    mask = np.zeros(len(data) + 1, np.int8)
+    mask[starts] += 1
+    np.subtract.at(mask, ends, 1)
+    letters = data[np.cumsum(mask[:-1], dtype=np.int8).astype(bool)]
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(letters))])
+    return np.diff(np.searchsorted(starts, offsets)), tokens
+
+
 def hash_embedding(dimensions: int = DIMENSIONS):
     """A UDF from a clean text to the hashed vector of its tokens; null counts as empty."""
 
@@ -113,8 +150,9 @@ def hash_embedding(dimensions: int = DIMENSIONS):
     def embed(texts: pa.Array) -> pa.Array:
         made = [np.zeros((0, dimensions))]
         for lo in range(0, len(texts), ROWS_AT_ONCE):
-            ends, tokens = batch_tokens(texts.slice(lo, ROWS_AT_ONCE).fill_null("").to_pylist())
-            made.append(hash_vectors(ends, pa.array(tokens, pa.string()), dimensions))
+            some = pa.array([(t or "").lower() for t in texts.slice(lo, ROWS_AT_ONCE).to_pylist()], pa.large_string())
+            sizes, tokens = token_arrays(some)
+            made.append(hash_vectors(np.concatenate([[0], np.cumsum(sizes)]), tokens, dimensions))
         flat = np.concatenate(made)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * dimensions, pa.int32()), pa.array(flat.ravel()))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsift.functions.text import tokenize
-from docsift.functions.udfs import batch_tokens
+from docsift.functions.udfs import token_arrays
 from docsift.operators.vectors import places
 from docsift.sources.scratch import written
 
@@ -25,9 +25,6 @@ ROWS_AT_ONCE = 1024
 #: Chunks of a shard and of a block, about.
 SHARD_CHUNKS = 8192
 BLOCK_CHUNKS = 4
-#: What tokens consist of, as bytes: letters and digits begin one, these marks go on with it. Fixed values.
-BEGIN = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
-INSIDE = BEGIN | np.array([chr(b) in "_-./" for b in range(256)])
 
 
 @dataclass(frozen=True)
@@ -53,45 +50,11 @@ def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
     return chunks.select("chunk_id", F.size(tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(number of tokens of each lower-case text, the tokens of all), as ``functions.text.tokenize`` has them; null counts as empty."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    # CJK characters begin with these bytes; texts with any go another way
-    wide = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))
-    if len(wide):
-        ends, tokens = batch_tokens(texts.cast(pa.large_string()).to_pylist())
-        return np.diff(ends), pa.array(tokens, pa.large_string())
-    inside = np.concatenate([INSIDE[data], [False]])
-    first = inside.copy()
-    first[1:] = inside[1:] & ~inside[:-1]
-    cut = offsets[:-1][(offsets[:-1] < len(data))]
-    first[cut] = inside[cut]  # a text begins anew
-    starts = np.flatnonzero(first)
-    stop = np.concatenate([inside[:-1] & ~inside[1:], [False]])
-    last = offsets[1:][(offsets[1:] > 0)] - 1
-    stop[last] = inside[last]
-    ends = np.flatnonzero(stop) + 1
-    begins = np.concatenate([np.flatnonzero(BEGIN[data]), [len(data)]])
-    starts = begins[np.searchsorted(begins, starts)]  # marks before the first letter or digit are none of the token's
-    some = starts < ends
-    starts, ends = starts[some], ends[some]
-    mask = np.zeros(len(data) + 1, np.int8)
-    mask[starts] += 1
-    np.subtract.at(mask, ends, 1)
-    letters = data[np.cumsum(mask[:-1], dtype=np.int8).astype(bool)]
-    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    tokens = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(letters))])
-    return np.diff(np.searchsorted(starts, offsets)), tokens
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lower-case text, other columns) as rows (term, tf, dl, other columns): the distinct tokens of all rows of a batch counted together."""
     for batch in batches:
         for part in (batch.slice(lo, ROWS_AT_ONCE) for lo in range(0, batch.num_rows, ROWS_AT_ONCE)):
-            sizes, tokens = _tokens(part.column(0))
+            sizes, tokens = token_arrays(part.column(0))
             coded = tokens.dictionary_encode()
             kinds = max(1, len(coded.dictionary))
             pairs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)

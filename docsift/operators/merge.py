@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsift.functions.text import stable_id
+from docsift.sources.scratch import delete, exists
 
 SUMMARY_TYPES = ("section_summary", "page_summary")
 SUMMARY_MIN_CHARS = 160
@@ -25,6 +27,38 @@ def upsert(*layers: DataFrame, key: str = "chunk_id", order: str = "ordinal") ->
     return merged.select("row.*", F.col("place").alias(order))
 
 
+def upsert_buckets(path: str, changes: DataFrame, buckets: int = 64, key: str = "chunk_id", order: str = "ordinal") -> list[int]:
+    """Upserts ``changes`` into the table at ``path``, which lies in buckets of its keys; only buckets with a changed key are written anew.
+
+    Values and places are those of ``upsert``: the changes' values, the place that a key has already. The
+    merged buckets are written beside the table first and copied from there, so a run that is
+    stopped on the way loses nothing: the next one copies them once more before it begins. One
+    writer at a time; the columns and the number of buckets stay those of the first call. Returns the buckets written.
+    """
+    spark, table, staged = changes.sparkSession, f"{path}/table", f"{path}/staged"
+    schema = changes.schema
+    held = lambda at: spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(at)
+
+    def copy() -> None:
+        held(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        delete(spark, staged)
+
+    spark.createDataFrame([], schema).withColumn("bucket", F.lit(0)).write.mode("append").partitionBy("bucket").parquet(table)
+    if exists(spark, f"{staged}/_SUCCESS"):
+        copy()
+    fresh = changes.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # as many as there are buckets
+    if touched:
+        merged = upsert(held(table).where(F.col("bucket").isin(touched)), fresh, key=key, order=order)
+        merged.withColumn(order, F.col(f"{order}.at")).write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        copy()
+    return touched
+
+
+def read_buckets(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/table").drop("bucket")
+
+
 def summary_candidates(chunks: DataFrame, limit: int = 0) -> DataFrame:
     """Page and section chunks of 160 characters or more without a summary yet; the first ``limit`` in order, all for 0."""
     done = chunks.where("block_type = 'llm_summary'").select(F.col("chunk_id").alias("summary_id"))

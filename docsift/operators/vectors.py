@@ -1,6 +1,6 @@
 """Exact vector search: the inner product of every query with every vector, block by block.
 
-A batch of at most QUERIES_AT_ONCE queries is sent to all tasks, which scan the vectors where
+A batch of at most QUERIES_AT_ONCE queries, and of QUERY_BYTES, is sent to all tasks, which scan the vectors where
 they lie. Larger batches stay a table: its queries are dealt in blocks, the vectors in shards, and
 every block meets every shard in one task, which holds the block and reads the vectors as they come.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 QUERIES_AT_ONCE = 4096
+#: Bytes of the vectors of the queries that are held at once.
+QUERY_BYTES = 64 << 20
 ROWS_AT_ONCE = 2048
 #: Vectors in a shard of the large batches' way, about.
 SHARD_ROWS = 1 << 20
@@ -48,11 +50,12 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_co
     kinds = {"qid": names["qid"].dataType, **{c: vectors.schema[c].dataType for c in ("chunk_id", "ordinal")}}
     schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", score double"
 
-    rows = asked.limit(QUERIES_AT_ONCE + 1).toArrow()
-    if rows.num_rows <= QUERIES_AT_ONCE:
-        found = frame.mapInArrow(_scan(Block(rows), k), schema)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("v") + F.coalesce(F.octet_length(F.array_join("sources", "")), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size["n"] // QUERIES_AT_ONCE), -(-size["bytes"] // QUERY_BYTES))
+    if blocks <= 1:
+        found = frame.mapInArrow(_scan(Block(asked.toArrow()), k), schema)
     else:
-        found = _dealt(frame, asked, k, schema, kinds)
+        found = _dealt(frame, asked, blocks, k, schema, kinds)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "ordinal")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
 
@@ -129,9 +132,9 @@ def _scan(block: Block, k: int):
     return run
 
 
-def _dealt(frame: DataFrame, asked: DataFrame, k: int, schema: str, kinds: dict) -> DataFrame:
+def _dealt(frame: DataFrame, asked: DataFrame, blocks: int, k: int, schema: str, kinds: dict) -> DataFrame:
     """Rows (shard, block, kind, ...): the queries of a block come first, then the vectors of a shard."""
-    blocks, shards = -(-asked.count() // QUERIES_AT_ONCE), max(1, -(-frame.count() // SHARD_ROWS))
+    shards = max(1, -(-frame.count() // SHARD_ROWS))
     none = {c: F.lit(None).cast(t) for c, t in kinds.items()}
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")

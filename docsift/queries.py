@@ -17,7 +17,7 @@ from docsift.operators import answer, bm25, chunking, evaluate, fusion, merge, r
 from docsift.operators.groups import group_vectors, grouped_search
 from docsift.operators.vectors import vector_search
 from docsift.plans.engine import Engine
-from docsift.plans.models import HashEmbedder
+from docsift.plans.models import HashEmbedder, LetterEmbedder
 from docsift.sources import storage
 from docsift.sources.layout import assemble, layout_files, section_paths, title_level
 from docsift.sources.scratch import fresh
@@ -529,7 +529,7 @@ def manifest_check(spark, sf_dir):
 @query()
 def hash_embedding(spark, sf_dir):
     v = read(spark, sf_dir, "documents").select("doc_id", HashEmbedder().embed(tx.strip_markup(F.col("text"))).alias("v"))
-    digits = F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x + 0.0)), ",")
+    digits = F.array_join(F.transform("v", lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",")
     return v.select("doc_id", F.size("v").alias("dimensions"), F.round(F.sqrt(tx.dot(F.col("v"), F.col("v"))), 6).alias("length"), F.sha2(digits.cast("binary"), 256).alias("vector_sha256"))
 
 
@@ -751,6 +751,20 @@ def chunk_upsert(spark, sf_dir):
     return out.select("chunk_id", "body", F.col("ordinal.layer").alias("first_layer"))
 
 
+@query("""
+    WITH l AS (SELECT 0 AS layer, doc_id AS k, text AS body FROM documents UNION ALL SELECT 1, doc_id, 'quality ' || quality || ' toxic ' || toxic FROM labels UNION ALL SELECT 2, item_id, text FROM benchmark)
+    SELECT k AS chunk_id, arg_max(body, layer) AS body, min(layer * 1000000000 + k) AS ordinal FROM l GROUP BY k
+""")
+def chunk_upsert_buckets(spark, sf_dir):
+    """The same layers, each upserted into a table of buckets."""
+    path, schema = fresh(spark, "buckets"), "chunk_id long, body string, ordinal long"
+    label = F.concat_ws(" ", F.lit("quality"), F.col("quality").cast("string"), F.lit("toxic"), F.col("toxic").cast("string"))
+    for i, (name, key, body) in enumerate((("documents", "doc_id", F.col("text")), ("labels", "doc_id", label), ("benchmark", "item_id", F.col("text")))):
+        rows = read(spark, sf_dir, name).select(F.col(key).alias("chunk_id"), body.alias("body"), (F.col(key) + i * 1_000_000_000).alias("ordinal"))
+        merge.upsert_buckets(path, rows, buckets=16)
+    return merge.read_buckets(spark, path, schema)
+
+
 @query(f"""
     WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, {KIND_SQL} AS block_type, text FROM documents), done AS (SELECT substr(sha1('llm_summary|' || (doc_id - 2)), 1, 12) AS id FROM documents WHERE doc_id % 20 = 6)
     SELECT chunk_id FROM c WHERE block_type IN ('page_summary', 'section_summary') AND length(text) >= 160 AND substr(sha1('llm_summary|' || chunk_id), 1, 12) NOT IN (SELECT id FROM done)
@@ -776,3 +790,66 @@ def hybrid(spark, sf_dir) -> DataFrame:
     chunks = d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("source_file"), page.alias("page_start"), page.alias("page_end"), F.lit("").alias("section"), F.lit("text").alias("block_type"), body.alias("index_text"), body.alias("display_text"), F.col("doc_id").alias("ordinal"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return Engine.build(chunks).written().retrieve(asked, 8).select("qid", "rank", "chunk_id", "source_file", "page_start", F.round("score", 9).alias("score"))
+
+
+ENDINGS = ("", " 产品手册", " 有哪些", "；产品手册 有哪些文章")
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: CAST(length({0}) - length(replace({0}, c, '')) AS DOUBLE))"
+_ENDING = "list_extract(['', ' 产品手册', ' 有哪些', '；产品手册 有哪些文章'], CAST(item_id % 4 AS INTEGER) + 1)"
+
+
+def _unit(text: str) -> str:
+    return f"list_transform({_LETTERS.format(text)}, lambda x: x / sqrt(greatest(list_sum(list_transform({_LETTERS.format(text)}, lambda y: y * y)), 1e-300)))"
+
+
+@query(f"""
+    WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '产品手册.pdf' ELSE source END AS source, CAST(1 + doc_id % 50 AS INTEGER) AS page, {KIND_SQL} AS kind, {CLEAN.format("text")} AS body FROM documents),
+    tokens AS (SELECT doc_id, {TOKENS.format("body")} AS t FROM docs),
+    stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tokens),
+    postings AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM tokens) GROUP BY doc_id, dl, term),
+    terms AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings, stats GROUP BY term, n),
+    asked AS (SELECT item_id AS qid, item_id % 4 IN (1, 3) AS hinted, item_id % 4 >= 2 AS navigation, CASE WHEN item_id % 4 >= 2 THEN 60 ELSE 30 END AS most, text || {_ENDING} AS query,
+                     CASE item_id % 4 WHEN 2 THEN ['有哪'] WHEN 3 THEN ['产品', '品手', '手册', '产品手', '品手册', '有哪', '些文', '哪些文', '些文章'] ELSE [] END AS grams FROM benchmark),
+    navigating AS (SELECT *, list_concat(grams, list_filter(list_distinct({TOKENS.format(CLEAN.format("query"))}), lambda x: length(x) >= 2)) AS words FROM asked),
+    parts AS (SELECT qid, query, list_transform(string_split_regex(query, '[，,；;。\n]|并|以及|同时|且'), lambda p: regexp_replace(p, '^[ ？?：:]+|[ ？?：:]+$', '', 'g')) AS p FROM asked),
+    each AS (SELECT qid, query AS v, 0 AS i FROM parts UNION ALL SELECT qid, unnest(p), unnest(generate_series(1, len(p))) FROM parts),
+    distinct_parts AS (SELECT qid, v, min(i) AS i FROM each WHERE i = 0 OR length(v) >= 4 GROUP BY ALL),
+    variants AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS no, {CLEAN.format("v")} AS v FROM distinct_parts QUALIFY no < 8),
+    wanted AS (SELECT qid, no, term, count(*) AS qtf FROM (SELECT qid, no, unnest({TOKENS.format("v")}) AS term FROM variants) GROUP BY ALL),
+    words AS (SELECT qid, no, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM wanted JOIN terms USING (term) JOIN postings USING (term), stats GROUP BY ALL),
+    doc_vectors AS MATERIALIZED (SELECT doc_id, {_unit("lower(body)")} AS e FROM docs), variant_vectors AS MATERIALIZED (SELECT qid, no, {_unit("lower(v)")} AS e FROM variants),
+    near AS (SELECT qid, no, doc_id, round(list_dot_product(a.e, b.e), 9) AS score FROM variant_vectors a, doc_vectors b),
+    scored AS (SELECT 0 AS kind, * FROM words UNION ALL SELECT 1, * FROM near),
+    inside AS (SELECT s.kind + 2 AS kind, s.qid, s.no, s.doc_id, s.score FROM scored s JOIN docs d USING (doc_id) JOIN asked a USING (qid) WHERE a.hinted AND d.source = '产品手册.pdf'),
+    lists AS (SELECT qid, no * CASE WHEN hinted THEN 4 ELSE 2 END + kind AS list_no, doc_id, score, row_number() OVER (PARTITION BY qid, no, kind ORDER BY score DESC, doc_id) AS rank
+              FROM (SELECT * FROM scored UNION ALL SELECT * FROM inside) JOIN asked USING (qid) WHERE score > 0 QUALIFY rank <= most),
+    shares AS (SELECT *, 1.0 / (60 + rank) + 0.03 * score / max(score) OVER (PARTITION BY qid, list_no) AS part FROM lists),
+    fused AS (SELECT qid, doc_id, round(sum(part), 12) AS score, min(list_no * 1000 + rank) AS seen FROM shares GROUP BY ALL),
+    covered AS (SELECT f.*, d.source, d.page, d.kind, a.hinted, a.navigation, a.most, length(d.body) AS n,
+                       CASE WHEN a.navigation AND d.kind IN ('local_heading_index', 'graph_index') THEN CAST(len(list_intersect(a.words, t.t)) AS DOUBLE) / len(a.words) ELSE 0.0 END AS c
+                FROM fused f JOIN docs d USING (doc_id) JOIN navigating a USING (qid) JOIN tokens t USING (doc_id)),
+    weighed AS (SELECT *, CAST(CASE WHEN NOT hinted THEN score WHEN source = '产品手册.pdf' THEN score * 1.35 ELSE score * 0.85 END AS DOUBLE)
+           * CAST(CAST(CASE WHEN kind IN ('title', 'outline', 'local_heading_index', 'graph_index') THEN 0.72 WHEN kind IN ('table', 'table_body') THEN 1.12 WHEN kind = 'page_summary' THEN 1.04 WHEN kind = 'llm_summary' THEN 0.82 ELSE 1.0 END AS DOUBLE)
+           * CAST(CASE WHEN n < 25 THEN 0.55 WHEN n < 80 THEN 0.82 ELSE 1.0 END AS DOUBLE) AS DOUBLE)
+           * CAST(CASE WHEN NOT navigation THEN 1.0 WHEN kind = 'local_heading_index' THEN CASE WHEN c < 0.2 THEN 0.58 ELSE 1.35 + 2.2 * c END WHEN kind = 'graph_index' THEN CASE WHEN c < 0.2 THEN 0.72 ELSE 1.2 + 1.8 * c END
+                  WHEN kind = 'outline' THEN 2.2 WHEN kind IN ('page_summary', 'section_summary') THEN 1.18 WHEN kind = 'llm_summary' THEN 1.08 ELSE 1.0 END AS DOUBLE) AS w FROM covered),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY w DESC, seen) AS place FROM weighed),
+    shared AS (SELECT *, max(CAST(place <= 8 AS INTEGER)) OVER (PARTITION BY qid, source) = 1 AS s, max(CAST(place <= 8 AS INTEGER)) OVER (PARTITION BY qid, source, page) = 1 AS p FROM placed),
+    boosted AS (SELECT *, CASE WHEN place <= most AND p AND kind IN ('text', 'table', 'table_body') THEN w * 1.15
+                               WHEN place <= most AND s AND kind IN ('text', 'table', 'table_body', 'page_summary', 'section_summary') THEN w * 1.08 ELSE w END AS b FROM shared),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY b DESC, CASE kind WHEN 'table_body' THEN 5 WHEN 'table' THEN 5 WHEN 'text' THEN 4 WHEN 'page_summary' THEN 3 WHEN 'section_summary' THEN 2 WHEN 'llm_summary' THEN 2
+                WHEN 'graph_index' THEN 2 WHEN 'local_heading_index' THEN 2 WHEN 'title' THEN 1 WHEN 'outline' THEN 0 ELSE 1 END DESC, seen) AS pos FROM boosted),
+    first AS (SELECT *, CASE WHEN count(*) FILTER (WHERE hinted AND source = '产品手册.pdf') OVER (PARTITION BY qid) >= 3 AND NOT (hinted AND source = '产品手册.pdf') THEN 1 ELSE 0 END AS later FROM ordered),
+    moved AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY later, pos) AS pos2 FROM first),
+    again AS (SELECT *, row_number() OVER (PARTITION BY qid, source, page ORDER BY pos2) > 1 AS repeat FROM moved),
+    final AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY repeat, pos2) AS INTEGER) AS rank FROM again)
+    SELECT qid, rank, CAST(doc_id AS VARCHAR) AS chunk_id, source AS source_file, page AS page_start, round(b, 9) AS score FROM final WHERE rank <= 8
+""")
+def hybrid_search_letters(spark, sf_dir):
+    """The whole search with hinted sources, navigation questions and chunks of all types; vectors by built-in functions, so that SQL can follow."""
+    d = read(spark, sf_dir, "documents")
+    page, body = F.expr("cast(1 + doc_id % 50 as int)"), tx.strip_markup(F.col("text"))
+    source = F.when(F.col("doc_id") % 10 == 0, "产品手册.pdf").otherwise(F.col("source"))
+    chunks = d.select(F.col("doc_id").cast("string").alias("chunk_id"), source.alias("source_file"), page.alias("page_start"), page.alias("page_end"), F.lit("").alias("section"), kind_of(F.col("doc_id")).alias("block_type"), body.alias("index_text"), body.alias("display_text"), F.col("doc_id").alias("ordinal"))
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("item_id") % 4 + 1).cast("int"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat("text", ending).alias("query"))
+    return Engine.build(chunks, LetterEmbedder()).written().retrieve(asked, 8).select("qid", "rank", "chunk_id", "source_file", "page_start", F.round("score", 9).alias("score"))

@@ -36,6 +36,11 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written once and read again: lineage is cut, and what reads them several times computes them once."""
     path = fresh(rows.sparkSession, name)

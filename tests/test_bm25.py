@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsift.functions.text import tokenize
+from docsift.functions.udfs import token_arrays
 from docsift.operators import bm25
 from docsift.operators.bm25 import bm25_scores, bm25_search, build_bm25, top_k
 
@@ -19,7 +20,7 @@ LETTERS = [*"abz09_-./ \n!'", "é", "漢", "字", "🙂", "i̇"]
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(LETTERS), max_size=12).map("".join)), max_size=6), st.integers(0, 2))
 def test_tokens_of_bytes_are_those_of_the_pattern(texts, skip):
-    counts, tokens = bm25._tokens(pa.array(texts, pa.string()).slice(skip))
+    counts, tokens = token_arrays(pa.array(texts, pa.string()).slice(skip))
     want = [tokens_of(t or "") for t in texts[skip:]]
     assert counts.tolist() == [len(w) for w in want] and tokens.to_pylist() == [t for w in want for t in w]
 
