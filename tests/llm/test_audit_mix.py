@@ -205,6 +205,15 @@ def test_mix_of_awkward_texts(spark):
         mix(docs, cycle=(0, 1))
 
 
+def test_mix_runs_no_python_and_no_large_window(spark):
+    """Every window but those over the table of sources is by a bucket, a group of buckets or a shard."""
+    m = mix(rows_of(spark, mixed_rows(9, 40)), block_words=40, shard_blocks=5)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (m.taken(), m.pieces, m.sources)]
+    assert not any(re.search("Python|Pandas|Arrow", p) for p in plans)
+    windows = [line for line in "\n".join(plans).split("\n") if re.search(r"Window \[", line)]
+    assert windows and all(re.search(r"\[no#\d+L?, pass#\d+L?, (bucket|group)#\d+L?\]|\[shard#\d+L?\]|\[no#\d+L?, pass#\d+L?, 0\]|\[no#\d+L?, pass#\d+L?\]", line) for line in windows), windows
+
+
 def test_hypergeometric_draws_have_their_distribution(spark):
     """Against the exact probabilities, and at numbers that no table of them would fit."""
     from math import comb
