@@ -84,6 +84,7 @@ def evidence_coverage(terms: Column, evidence: Column) -> tuple[Column, Column]:
 
 def insufficiency_note(coverage: Column, missing: Column, threshold: float = 0.35) -> Column:
     shown = F.array_join(F.slice(missing, 1, 8), "、")
+    # the words of the note are fixed values
     note = F.concat(F.lit("证据充分性提示：当前候选证据对问题关键词覆盖较低（coverage="), F.format_string("%.2f", coverage), F.lit("）。未覆盖的关键词包括："), shown, F.lit("。如果后续 LLM 生成答案，应优先触发拒答或要求继续检索。"))
     return F.when(coverage >= threshold, F.lit("")).otherwise(note)
 

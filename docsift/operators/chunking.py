@@ -42,7 +42,9 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def leaf_prefix(source: Column, page: Column, section: Column, kind: Column) -> Column:
+    # fixed value
     where = F.when(section != "", F.concat(F.lit("，章节/栏目为“"), section, F.lit("”"))).otherwise(F.lit(""))
+    # the words of the prefix are fixed values
     return F.concat(F.lit("该片段来自《"), source, F.lit("》"), page_label(page, page), where, F.lit("，内容类型为 "), kind, F.lit("。"))
 
 
@@ -82,6 +84,7 @@ def page_chunks(leaves: DataFrame) -> DataFrame:
     pages = pages.join(sections, ["source_file", "page_start"], "left").withColumn("section", F.coalesce("section", F.lit("")))
     pages = pages.withColumn("body", compact_join(F.col("texts"), 1800)).where("length(body) >= 80").withColumn("page_end", F.col("page_start"))
     main = F.when(F.col("section") != "", F.concat(F.lit("，主要章节/栏目为“"), F.col("section"), F.lit("”"))).otherwise(F.lit(""))
+    # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》第 "), F.col("page_start").cast("string"), F.lit(" 页的自动页面聚合块"), main, F.lit("。"))
     return _chunk(pages, stable_id(F.lit("page"), F.col("source_file"), F.col("page_start")), F.lit("page_summary"), prefix, F.col("body"), 1, _key(F.col("source_file"), F.col("page_start")))
 
@@ -90,6 +93,7 @@ def section_chunks(leaves: DataFrame) -> DataFrame:
     """One chunk for each section with two leaves or more and 120 characters or more."""
     groups = leaves.where("section <> ''").groupBy("source_file", "section").agg(F.count("*").alias("n"), F.min("page_start").alias("first"), F.max("page_start").alias("last"), _ordered().alias("texts")).where("n >= 2")
     groups = groups.withColumn("body", compact_join(F.col("texts"), 2200)).where("length(body) >= 120").withColumnsRenamed({"first": "page_start", "last": "page_end"})
+    # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》"), page_label(F.col("page_start"), F.col("page_end")), F.lit(" 章节/栏目“"), F.col("section"), F.lit("”的自动章节聚合块。"))
     ids = stable_id(F.lit("section"), F.col("source_file"), F.col("section"), F.col("page_start"), F.col("page_end"))
     return _chunk(groups, ids, F.lit("section_summary"), prefix, F.col("body"), 2, _key(F.col("source_file"), F.lit(0), F.col("section")))
@@ -118,6 +122,7 @@ def heading_chunks(leaves: DataFrame, window: int = 8, step: int = 4) -> DataFra
     placed = titles.join(spans, "source_file").withColumn("w", F.explode(F.sequence(low, high)))
     groups = placed.groupBy("source_file", "w").agg(F.count("*").alias("n"), F.min("page_start").alias("p"), F.max("page_end").alias("q"), _lines(_title_line()).alias("lines")).where("n >= 3")
     groups = groups.withColumnsRenamed({"p": "page_start", "q": "page_end"}).withColumn("section", F.lit("局部标题索引"))
+    # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》第 "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"), F.lit(" 页的局部标题索引，用于回答有哪些文章、有哪些案例、涉及哪些主题等导航型问题。"))
     ids = stable_id(F.lit("local_heading_index"), F.col("source_file"), F.col("w"), F.col("page_start"), F.col("page_end"))
     return _chunk(groups, ids, F.lit("local_heading_index"), prefix, F.array_join("lines", "\n"), 3, _key(F.col("source_file"), F.col("w")))
@@ -129,6 +134,7 @@ def graph_chunks(leaves: DataFrame) -> DataFrame:
     line = F.concat(F.lit("第 "), F.col("page_start").cast("string"), F.lit(" 页："), F.replace(F.col("section"), F.lit(" > "), F.lit(" -> ")))
     groups = titles.groupBy("source_file", "root").agg(F.min("page_start").alias("p"), F.max("page_start").alias("q"), _lines(line).alias("lines")).withColumnsRenamed({"p": "page_start", "q": "page_end"})
     groups = groups.withColumn("body", F.array_join("lines", "\n")).where("length(body) >= 80").withColumn("section", F.concat(F.lit("结构图索引："), F.col("root")))
+    # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》围绕“"), F.col("root"), F.lit("”的轻量结构图索引，列出栏目、文章、案例、产品或子主题之间的层级关系和页码。"))
     ids = stable_id(F.lit("section_graph_index"), F.col("source_file"), F.col("root"), F.col("page_start"), F.col("page_end"))
     return _chunk(groups, ids, F.lit("graph_index"), prefix, F.col("body"), 4, _key(F.col("source_file"), F.lit(0), F.col("root")))
@@ -139,6 +145,7 @@ def outline_chunks(leaves: DataFrame, size: int = 30) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source_file").orderBy("at"))
     titles = _titles(leaves).withColumn("w", F.floor((place - 1) / size).cast("int"))
     groups = titles.groupBy("source_file", "w").agg(F.min("page_start").alias("p"), F.max("page_end").alias("q"), _lines(_title_line()).alias("lines")).withColumnsRenamed({"p": "page_start", "q": "page_end"}).withColumn("section", F.lit("文档大纲"))
+    # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》第 "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"), F.lit(" 页的自动文档大纲块，列出该范围内的标题、栏目和文章线索。"))
     ids = stable_id(F.lit("outline"), F.col("source_file"), F.col("w"), F.col("page_start"), F.col("page_end"))
     return _chunk(groups, ids, F.lit("outline"), prefix, F.array_join("lines", "\n"), 5, _key(F.col("source_file"), F.col("w")))

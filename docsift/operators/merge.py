@@ -69,6 +69,7 @@ def summary_candidates(chunks: DataFrame, limit: int = 0) -> DataFrame:
 
 def summary_chunks(summaries: DataFrame) -> DataFrame:
     """Chunks of summaries: rows of ``summary_candidates`` with a ``summary`` text."""
+    # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》第 "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"), F.lit(" 页章节“"), F.col("section"), F.lit("”的 LLM 生成摘要索引。"))
     text = F.trim("summary")
     rows = summaries.where(text != "")

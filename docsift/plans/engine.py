@@ -43,8 +43,9 @@ class Engine:
         return Engine(chunks, build_bm25(chunks), vectors, embedder, reranker)
 
     def written(self) -> Engine:
-        """The engine with its postings and vectors written to the shared folder, for any number of searches."""
-        return replace(self, bm25=self.bm25.written(), vectors=written(self.vectors, "vectors"))
+        """The engine with its tables written to the shared folder, for any number of searches; texts are read and cleaned once."""
+        own = self if self.bm25.chunks is None else Engine.build(written(self.chunks, "chunks"), self.embedder, self.reranker)
+        return replace(own, bm25=own.bm25.written(), vectors=written(own.vectors, "vectors"))
 
     def ranked_lists(self, asked: DataFrame, variants: DataFrame, most: int = 2 * CANDIDATES) -> DataFrame:
         """(qid, list_no, chunk_id, score, rank): for each variant, words and vectors, over all chunks and over hinted sources; ``most``: the longest list asked for."""
