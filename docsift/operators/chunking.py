@@ -28,7 +28,7 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
 
     Places come from counts by file and their running sum over files, so no task sees all blocks.
     """
-    counts = blocks.groupBy("doc_key").agg(F.count("*").alias("n"))
+    counts = written(blocks.groupBy("doc_key").agg(F.count("*").alias("n")), "counts")  # so that ranges are sampled from these, not from the blocks
     # running sums over ranges of files, then over the ranges; written, so that a task that runs again finds the same ranges
     ranges = written(counts.repartitionByRange("doc_key").withColumn("part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("part").orderBy("doc_key").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,7 +38,8 @@ def number_blocks(blocks: DataFrame) -> DataFrame:
     offsets = totals.withColumn("offset", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = starts.join(F.broadcast(offsets.select("part", "offset")), "part").select("doc_key", (F.col("before") + F.col("offset")).alias("start"))
     at = F.row_number().over(Window.partitionBy("doc_key").orderBy("block_pos")) - 1
-    return blocks.withColumn("at", at).join(starts, "doc_key").withColumn("block_index", F.col("start") + F.col("at")).drop("at", "start")
+    # not broadcast, however few files there are: blocks stay dealt by file, in as many tasks as their work needs
+    return blocks.withColumn("at", at).join(starts.hint("merge"), "doc_key").withColumn("block_index", F.col("start") + F.col("at")).drop("at", "start")
 
 
 def leaf_prefix(source: Column, page: Column, section: Column, kind: Column) -> Column:
