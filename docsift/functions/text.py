@@ -33,6 +33,11 @@ def strip_markup(text: Column) -> Column:
     return squeeze(F.regexp_replace(text, "!\\[[^\\]]*\\]\\([^)]+\\)", " "))
 
 
+def whole_entities(text: Column) -> Column:
+    """The text for ``clean`` to resolve only entities that end in a semicolon: other ampersands are escaped, so those of a text cut within ``&amp;`` stay as they are."""
+    return F.regexp_replace(text, "&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)", "&amp;")
+
+
 def clean(text: Column) -> Column:
     """Repairs, resolves entities, strips markup, in this order, so that escaped tags go as well."""
     return strip_markup(repair_and_unescape(text))

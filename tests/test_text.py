@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
 from docsift.functions.udfs import hash_vector, repair, split_at_punctuation, split_points
+from docsift.queries import ORACLE_SQL, QUERIES
 
 from .plain import tokens_of
 
@@ -29,6 +31,16 @@ def test_clean_resolves_entities_before_tags(spark):
     assert one(spark, None, tx.clean) is None
 
 
+def test_html_clean_leaves_entities_without_semicolon(spark, tmp_path):
+    html = ["<p>a &amp;&amp; b&amp</p>", "&lt &#39 c&#39;d &copy;", "&amp;amp e & f &quot;g&quot;"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.body for r in QUERIES["html_clean"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a && b&amp", 1: "&lt &#39 c'd ©", 2: '&amp e & f "g"'}
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert dict(sql.sql(ORACLE_SQL["html_clean"]).fetchall()) == got
+
+
 def test_mojibake_rule():
     assert repair("浜у搧鎵嬪唽.pdf") == "浜у搧鎵嬪唽.pdf"
     assert repair("璐ｈ▊") == "责訂"
