@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -96,3 +97,21 @@ def test_a_term_of_all_chunks_is_no_single_task(spark, monkeypatch):
     sizes = [r["count"] for r in chunks.groupBy(F.pmod(F.xxhash64("chunk_id"), F.lit(8))).count().collect()]
     assert max(sizes) <= 3 * np.median(sizes)
     assert found.count() == 60
+
+
+def test_queries_of_many_terms_are_scored_without_bounds():
+    r = random.Random(5)
+    s = shard([(f"t{t}", c, r.random()) for c in range(4000) for t in {min(int(r.expovariate(0.05)), 99) for _ in range(40)}])
+    asked = [(sorted(r.sample(range(len(s.terms)), 30)), np.array([r.random() for _ in range(30)]), mask) for mask in (None, np.arange(4000) % 3 == 0) for _ in range(15)]
+    took, found = [], []
+    for search in (s.best, s.every):
+        begin = time.perf_counter()
+        found.append([search(terms, weights, 5, mask) for terms, weights, mask in asked])
+        took.append(time.perf_counter() - begin)
+    for (ids, scores), (others, more) in zip(*found, strict=True):
+        assert ids.tolist() == others.tolist() and np.abs(scores - more).max() < 1e-8
+    assert took[1] < took[0] / 2  # so many questions at once are a matter of what a pair costs
+    table = pa.table({"q": [1], "terms": [[f"t{t}" for t in range(40)]], "weights": [[1.0] * 40], "sources": pa.array([None], pa.list_(pa.string()))})
+    s.scored = s.matched = 0
+    s.best = None
+    assert s.top(table, 5).num_rows == 5 and s.scored == s.matched
