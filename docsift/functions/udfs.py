@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +21,8 @@ BREAKS = "。；，"
 WORD = re.compile(r"[a-z0-9][a-z0-9_\-./]*|[一-鿿]+")
 BREAK_CODES = np.array([ord(c) for c in BREAKS], np.uint32)
 ROWS_AT_ONCE = 1024
+#: Texts that are Python objects at a time, whatever Arrow's batches hold.
+TEXTS_AT_ONCE = 128
 #: What tokens consist of, as bytes: letters and digits begin one, these marks go on with it. Fixed values.
 BEGIN = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" for b in range(256)])
 INSIDE = BEGIN | np.array([chr(b) in "_-./" for b in range(256)])
@@ -42,11 +46,24 @@ def repair(text: str) -> str:
     return best
 
 
+def by_parts(batches: Iterator[pa.Array], work: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """``work`` of each text, null of null; a few texts are held and given back at a time."""
+    for texts in batches:
+        for lo in range(0, len(texts), TEXTS_AT_ONCE) or (0,):
+            yield pa.array([None if t is None else work(t) for t in texts.slice(lo, TEXTS_AT_ONCE).to_pylist()], kind)
+
+
 @F.arrow_udf(T.StringType())
-def repair_and_unescape(texts: pa.Array) -> pa.Array:
+def _repair_and_unescape(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return by_parts(texts, lambda t: html.unescape(repair(t)), pa.string())
+
+
+def repair_and_unescape(text: Column | str) -> Column:
     """Repairs mojibake, then resolves HTML entities; null stays null."""
-    # plain ASCII without an ampersand needs neither
-    return pa.array([t if t is None or (t.isascii() and "&" not in t) else html.unescape(repair(t)) for t in texts.to_pylist()], pa.string())
+    text = F.col(text) if isinstance(text, str) else text
+    # plain ASCII without an ampersand needs neither, and does not travel to Python
+    needed = text.rlike("[^\\x00-\\x7f]|&")
+    return F.when(needed, _repair_and_unescape(F.when(needed, text))).otherwise(text)
 
 
 def split_points(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
@@ -73,8 +90,15 @@ def split_points(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP_CHARS)
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def split_at_punctuation(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else split_points(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+def _split_at_punctuation(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return by_parts(texts, split_points, pa.list_(pa.string()))
+
+
+def split_at_punctuation(text: Column | str) -> Column:
+    """``split_points`` of a text; only those that are split travel to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    long = F.length(text) > MAX_CHARS
+    return F.when(long, _split_at_punctuation(F.when(long, text))).when(text != "", F.array(text)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def hash_vectors(offsets: np.ndarray, tokens: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:

@@ -1,13 +1,14 @@
 import math
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
-from docsift.functions.udfs import hash_vector, repair, split_at_punctuation, split_points
+from docsift.functions.udfs import by_parts, hash_vector, repair, repair_and_unescape, split_at_punctuation, split_points
 from docsift.queries import ORACLE_SQL, QUERIES
 
 from .plain import tokens_of
@@ -129,3 +130,27 @@ def test_notes(spark):
     assert "coverage=0.20" in note and "词7" in note and "词8" not in note
     assert one(spark, "x", lambda s: tx.insufficiency_note(F.lit(0.35), F.array(F.lit("a")))) == ""
     assert math.isclose(one(spark, "设备", lambda s: tx.evidence_coverage(F.array(s, F.lit("y")), F.array(s))[0]), 0.5)
+
+
+def test_few_texts_are_held_in_python_at_a_time(spark):
+    texts = pa.array([None, "a。" * 500, "b" * 900, "", "c&amp;é"] * 200)
+    held = []
+
+    def work(text):
+        held.append(text)
+        return split_points(text)
+
+    sizes, got = [], []
+    for part in by_parts(iter([texts, texts.slice(0, 0)]), work, pa.list_(pa.string())):
+        sizes.append(len(part))
+        got += part.to_pylist()
+        assert len(held) <= sum(sizes)  # no text is worked on before the last part is given back
+    assert max(sizes) <= 128 and got == [None if t is None else split_points(t) for t in texts.to_pylist()]
+
+
+def test_texts_that_need_no_python_do_not_travel(spark):
+    rows = spark.createDataFrame([("plain",), ("a" * 701,), ("&lt;é",), ("",), (None,)], "s string")
+    sent = rows.select(split_at_punctuation("s").alias("x"), repair_and_unescape("s").alias("y"))
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN (length(s" in plan and "CASE WHEN RLIKE(s" in plan  # null goes in place of the others
+    assert [(r.x, r.y) for r in sent.collect()] == [(["plain"], "plain"), (["a" * 700, "a" * 81], "a" * 701), (["&lt;é"], "<é"), ([], ""), (None, None)]
