@@ -57,6 +57,14 @@ def small_chunks(spark):
     return chunking.build_chunks(chunking.number_blocks(df))
 
 
+def test_chunk_files_are_smaller_than_the_texts_they_hold(spark, tmp_path):
+    chunks = small_chunks(spark).withColumn("display_text", F.repeat("display_text", F.lit(50)))
+    chunks = chunks.withColumns({"raw_text": F.col("display_text"), "index_text": F.col("display_text")}).cache()
+    storage.write_chunks(chunks, str(tmp_path))
+    texts = chunks.agg(F.sum(F.octet_length("display_text")).alias("n")).first()["n"]
+    assert sum(f.stat().st_size for f in tmp_path.glob("part-*")) < texts
+
+
 def test_chunks_survive_a_round_trip_in_order(spark, tmp_path):
     chunks = small_chunks(spark).cache()
     storage.write_chunks(chunks, str(tmp_path / "chunks"))
