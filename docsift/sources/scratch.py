@@ -41,8 +41,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
+def written(rows: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows, written once and read again: lineage is cut, and what reads them several times computes them once."""
     path = fresh(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -103,3 +103,20 @@ def test_summaries_skip_what_has_one(spark):
     assert {r.display_text for r in made.collect()} == {"short"} and made.count() == 3
     more = chunks.unionByName(made.select(chunks.columns))
     assert summary_candidates(more).count() == 10 - 3
+
+
+def test_leaves_are_written_with_their_text_once(spark, monkeypatch):
+    held = []
+
+    def keep(rows, name, *options):
+        held.append((name, rows.columns))
+        return rows
+
+    rows = [("f", "f", k, 1, "text", f"chunk number {k} with a few words", "s", None) for k in range(3)]
+    blocks = spark.createDataFrame(rows, "doc_key string, source_file string, block_pos int, page int, block_type string, text string, section string, image_refs array<string>")
+    numbered = chunking.number_blocks(blocks)
+    monkeypatch.setattr(chunking, "written", keep)
+    got = chunking.build_chunks(numbered).where("family = 0")
+    [columns] = [c for name, c in held if name == "leaves"]
+    assert "display_text" in columns and not {"raw_text", "index_text"} & set(columns)
+    assert sorted(map(str, got.select(*chunking.COLUMNS).collect())) == sorted(map(str, chunking.leaf_chunks(numbered).select(*chunking.COLUMNS).collect()))
