@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ SOURCE_RULES = (("产品手册", "产品手册.pdf"), ("杂志", "杂志.pdf"),
 SOURCE_NAMES = {"浜у搧鎵嬪唽.pdf": "产品手册.pdf", "鏉傚織.pdf": "杂志.pdf"}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squeeze(text: Column) -> Column:
     """Runs of any blanks as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, "(?U)[\\s\\x1c-\\x1f]+", " "))
@@ -78,7 +85,12 @@ def navigation_terms(text: Column) -> Column:
 
 def lexical_coverage(terms: Column, text: Column) -> Column:
     """The share of distinct terms among the text's tokens; 0 without terms."""
-    return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, tokenize(text))) / F.size(terms)).otherwise(F.lit(0.0))
+    return term_coverage(terms, tokenize(text))
+
+
+def term_coverage(terms: Column, held: Column) -> Column:
+    """The share of distinct terms among those held; 0 without terms."""
+    return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, held)) / F.size(terms)).otherwise(F.lit(0.0))
 
 
 def evidence_coverage(terms: Column, evidence: Column) -> tuple[Column, Column]:
@@ -133,6 +145,9 @@ def page_label(start: Column, end: Column) -> Column:
 
 def cut_at_word(text: Column, size: int) -> Column:
     """A clean text's first ``size`` characters, without the last word if it was cut; whole words only where there are any."""
-    head = F.substring(text, 1, size)
-    words = F.trim(F.regexp_extract(head, "^(?s)(.*) ", 1))
-    return F.when(F.length(text) <= size, text).when(words != "", words).otherwise(F.trim(head))
+
+    def cut(t: Column) -> Column:
+        words = lambda head: bound(F.trim(F.regexp_extract(head, "^(?s)(.*) ", 1)), lambda w: F.when(w != "", w).otherwise(F.trim(head)))
+        return F.when(F.length(t) <= size, t).otherwise(bound(F.substring(t, 1, size), words))
+
+    return bound(text, cut)

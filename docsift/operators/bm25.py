@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +41,20 @@ class BM25Index:
     terms: DataFrame
     stats: DataFrame
     chunks: DataFrame | None = None  # of an index being built: what is counted
+    counted: bool = False  # whether ``terms`` is no table, but counted from all postings wherever it is read
+
+    def only(self, asked: DataFrame) -> BM25Index:
+        """The index of the terms in ``asked`` (term), which are sent to all tasks: others are neither counted nor shuffled. The corpus's statistics stay."""
+        postings = self.postings.join(F.broadcast(asked), "term", "left_semi")
+        return replace(self, postings=postings, terms=_terms(postings, self.stats) if self.counted else self.terms)
 
     def written(self) -> BM25Index:
         """The index with its tables written to the shared folder: the statistics come from the postings, and a search reads no texts."""
         spark, postings = self.postings.sparkSession, written(self.postings, "postings")
         tokens = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()["tokens"]
         n = self.chunks.count()
-        stats = spark.createDataFrame([(n, tokens / max(n, 1))], "n long, avgdl double")
-        return BM25Index(postings, _terms(postings, stats), stats)
+        stats = spark.range(0, 1, 1, 1).select(F.lit(n).cast("long").alias("n"), F.lit(tokens / max(n, 1)).alias("avgdl"))  # needs no Python worker
+        return BM25Index(postings, _terms(postings, stats), stats, counted=True)
 
 
 def lengths(chunks: DataFrame, text_col: str = "index_text") -> DataFrame:
@@ -86,7 +92,7 @@ def of_postings(postings: DataFrame, chunks: DataFrame) -> BM25Index:
     """The index of postings that are there already, of ``chunks``, which are only counted: texts are read once where postings are persisted or saved."""
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
     stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))
-    return BM25Index(postings, _terms(postings, stats), stats, chunks)
+    return BM25Index(postings, _terms(postings, stats), stats, chunks, counted=True)
 
 
 def _terms(postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -139,15 +145,14 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int = 10, text_col: str
         lists = allowed.groupBy(*keys).agg(F.collect_set("source_file").alias("sources"))
         asked = asked.drop("sources").join(lists, keys, "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
     asked = asked.select(F.struct(*keys).alias("q"), F.col(text_col).alias("text"), F.col("sources").cast("array<string>").alias("sources"))
-    terms = query_terms(asked.select("q", "text")).join(index.terms, "term").groupBy("q").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * F.col("idf")).alias("weights"))
-    wanted = terms.join(asked.select("q", "sources"), "q")
-
     # what is sent is bounded by the queries' number and by the length of all of them
     sent = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("bytes"))
     size = sent.join(F.broadcast(index.stats.select(F.col("n").alias("chunks"))), how="cross").first()
-    postings = index.postings
     if size["n"] <= QUERIES_AT_ONCE and size["bytes"] <= BROADCAST_BYTES:
-        postings = postings.join(F.broadcast(query_terms(queries, text_col).select("term").distinct()), "term", "left_semi")
+        index = index.only(query_terms(queries, text_col).select("term").distinct())
+    postings = index.postings
+    terms = query_terms(asked.select("q", "text")).join(index.terms, "term").groupBy("q").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * F.col("idf")).alias("weights"))
+    wanted = terms.join(asked.select("q", "sources"), "q")
     shards = max(-(-size["chunks"] // SHARD_CHUNKS), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-size["n"] // QUERIES_AT_ONCE), -(-size["bytes"] // QUERY_BYTES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docsift.functions.text import lexical_coverage
+from docsift.functions.text import term_coverage, tokenize
 
 RRF_K = 60
 SCORE_WEIGHT = 0.03
@@ -42,8 +42,16 @@ def source_hint_weight(score: Column, source: Column, hints: Column) -> Column:
 
 def quality_weight(kind: Column, text: Column) -> Column:
     """A factor by type and by the length of what is shown."""
+    return length_weight(kind, shown_length(text))
+
+
+def shown_length(text: Column) -> Column:
+    """Characters of a text without the blanks at its ends."""
+    return F.length(F.regexp_replace(text, "(?U)^\\s+|\\s+$", ""))
+
+
+def length_weight(kind: Column, n: Column) -> Column:
     by_type = F.when(kind.isin("title", "outline", "local_heading_index", "graph_index"), 0.72).when(kind.isin("table", "table_body"), 1.12).when(kind == "page_summary", 1.04).when(kind == "llm_summary", 0.82).otherwise(1.0)
-    n = F.length(F.regexp_replace(text, "(?U)^\\s+|\\s+$", ""))
     return by_type * F.when(n < 25, 0.55).when(n < 80, 0.82).otherwise(1.0)
 
 
@@ -61,12 +69,15 @@ def type_priority(kind: Column) -> Column:
 
 def weigh(fused: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """Source hints, then quality, then navigation. asked: (qid, hints, navigation, terms)."""
-    shown = chunks.select("chunk_id", "source_file", "page_start", "page_end", "block_type", "display_text")
+    # what depends on the chunk alone is computed before the join: once for each chunk, not for each query that found it
+    headings = F.when(F.col("block_type").isin("local_heading_index", "graph_index"), tokenize(F.col("display_text")))
+    shown = chunks.select("chunk_id", "source_file", "page_start", "page_end", "block_type", shown_length(F.col("display_text")).alias("n_shown"), headings.alias("shown_terms"))
     rows = fused.join(shown, "chunk_id").join(asked, "qid")
-    score = source_hint_weight(F.col("score"), F.col("source_file"), F.col("hints")) * quality_weight(F.col("block_type"), F.col("display_text"))
-    cover = F.when(F.col("navigation") & F.col("block_type").isin("local_heading_index", "graph_index"), lexical_coverage(F.col("terms"), F.col("display_text"))).otherwise(0.0)
-    score = score * F.when(F.col("navigation"), navigation_weight(F.col("block_type"), cover)).otherwise(1.0)
-    return rows.withColumn("score", score).drop("display_text", "terms")
+    cover = F.when(F.col("navigation") & F.col("shown_terms").isNotNull(), term_coverage(F.col("terms"), F.col("shown_terms"))).otherwise(0.0)
+    rows = rows.withColumn("cover", cover)  # a column, as the weight reads it several times
+    score = source_hint_weight(F.col("score"), F.col("source_file"), F.col("hints")) * length_weight(F.col("block_type"), F.col("n_shown"))
+    score = score * F.when(F.col("navigation"), navigation_weight(F.col("block_type"), F.col("cover"))).otherwise(1.0)
+    return rows.withColumn("score", score).drop("n_shown", "shown_terms", "cover", "terms")
 
 
 def expand(ranked: DataFrame, candidates: Column, focus: int = 8) -> DataFrame:

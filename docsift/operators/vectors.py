@@ -30,8 +30,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector_co
 
     vectors: (chunk_id, ordinal, embedding, and source_file if sources are restricted); queries:
     (qid, embedding), and possibly ``sources``, the sources that a query is restricted to, null for all; or
-    ``allowed``: the same as rows (qid, source_file), where a query without any finds nothing. Of
-    every few thousand vectors at most k rows stay for each query, and each task ranks these
+    ``allowed``: the same as rows (qid, source_file), where a query without any finds nothing. A
+    task carries each query's k best scores along and gives on only rows that reach the k-th so far, and ranks these
     before a shuffle. Null vectors take no part; one of another length than the query's is an error,
     and so is one that names another ``embedder`` than that of the queries, in a column of that name.
     """
@@ -93,9 +93,15 @@ class Block:
         held = np.array([[s is None or name in s for name in (*coded.dictionary.to_pylist(), None)] for s in self.sources])
         return held[:, coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
 
-    def hits(self, ids: pa.Array, ordinals: pa.Array, vectors: pa.Array, source: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    def least(self, k: int) -> np.ndarray:
+        """What ``hits`` carries from slice to slice: the k best scores of each query so far."""
+        return np.full((len(self.qids), k), -np.inf)
+
+    def hits(self, ids: pa.Array, ordinals: pa.Array, vectors: pa.Array, source: pa.Array, k: int, best: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows that may be among the k best of all slices that share ``best``: none below the k-th score so far."""
         valid = pc.is_valid(vectors)
         ids, ordinals, vectors, source = (c.filter(valid) for c in (ids, ordinals, vectors, source))
+        best = self.least(k) if best is None else best
         for lo in range(0, len(ids) if len(self.qids) else 0, ROWS_AT_ONCE):
             at = places(ordinals.slice(lo, ROWS_AT_ONCE))
             id_, ordinal, v, s = (c.slice(lo, ROWS_AT_ONCE).take(at) for c in (ids, ordinals, vectors, source))
@@ -105,14 +111,25 @@ class Block:
             score = np.round(self.matrix @ v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).T, 9)  # so that equal vectors tie wherever they lie
             if (mask := self.allowed(s)) is not None:
                 score[~mask] = -np.inf
-            # the k best of each query; rows are in order, so of those that tie with the last the first ones
-            last = max(0, score.shape[1] - k)
-            floor = np.partition(score, last, axis=1)[:, last, None]
-            above, even = score > floor, score == floor
-            keep = above | (even & (np.cumsum(even, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-            q, r = np.nonzero(keep & (score > 0))
+            # the k best of each query, of this slice and those before
+            top = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, -k:]
+            if np.isnan(top).any():  # sorted last, so any is among these; such a score is none
+                score[np.isnan(score)] = -np.inf
+                top = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, -k:]
+            best[:] = np.partition(np.concatenate([best, top], axis=1), top.shape[1], axis=1)[:, -k:]
+            floor = best.min(axis=1, keepdims=True)
+            # rows are in order, so of those that tie with the last the first ones
+            q, r = np.nonzero((score >= floor) & (score > 0))
+            value = score[q, r]
+            even = value == floor[q, 0]
+            ties = np.cumsum(even)
+            begin = np.searchsorted(q, np.arange(len(self.qids)))  # where a query's rows begin
+            before = np.concatenate([[0], ties])[begin]
+            above = np.bincount(q, ~even, len(self.qids))
+            keep = ~even | (ties - before[q] <= k - above[q])
+            q, r, value = q[keep], r[keep], value[keep]
             if len(q):
-                yield pa.record_batch([self.qids.take(pa.array(q)), id_.take(pa.array(r)), ordinal.take(pa.array(r)), pa.array(score[q, r])], ["qid", "chunk_id", "ordinal", "score"])
+                yield pa.record_batch([self.qids.take(pa.array(q)), id_.take(pa.array(r)), ordinal.take(pa.array(r)), pa.array(value)], ["qid", "chunk_id", "ordinal", "score"])
 
 
 def places(ordinals: pa.Array) -> pa.Array:
@@ -126,8 +143,9 @@ def places(ordinals: pa.Array) -> pa.Array:
 
 def _scan(block: Block, k: int):
     def run(batches):
+        best = block.least(k)
         for batch in batches:
-            yield from block.hits(batch.column(0), batch.column(1), batch.column(2), batch.column(3), k)
+            yield from block.hits(batch.column(0), batch.column(1), batch.column(2), batch.column(3), k, best)
 
     return run
 
@@ -143,7 +161,7 @@ def _dealt(frame: DataFrame, asked: DataFrame, blocks: int, k: int, schema: str,
     rows = left.unionByName(right).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
 
     def run(batches):
-        key, held, block = None, [], None
+        key, held, block, best = None, [], None, None
         for batch in batches:
             place = np.stack([batch.column(c).to_numpy() for c in range(3)])
             cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
@@ -156,6 +174,7 @@ def _dealt(frame: DataFrame, asked: DataFrame, blocks: int, k: int, schema: str,
                 elif held or block:
                     if block is None:
                         block, held = Block(pa.Table.from_batches(held)), []
-                    yield from block.hits(part.column("chunk_id"), part.column("ordinal"), part.column("v"), part.column("source"), k)
+                        best = block.least(k)
+                    yield from block.hits(part.column("chunk_id"), part.column("ordinal"), part.column("v"), part.column("source"), k, best)
 
     return rows.mapInArrow(run, schema)

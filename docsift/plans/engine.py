@@ -20,7 +20,8 @@ from docsift.plans.ship import ship
 from docsift.sources.scratch import written
 
 CANDIDATES = 30
-HIT_COLUMNS = ("qid", "rank", "chunk_id", "score", "source_file", "page_start", "page_end", "section", "block_type", "display_text")
+SHOWN = ("chunk_id", "source_file", "page_start", "page_end", "section", "block_type", "display_text")
+HIT_COLUMNS = ("qid", "rank", "chunk_id", "score", *SHOWN[1:])
 
 
 @dataclass(frozen=True)
@@ -71,12 +72,14 @@ class Engine:
         asked = written(asked, "asked")  # several joins read them
         variants = asked.select("qid", F.posexplode(query_variants(F.col("query"))).alias("variant_no", "raw")).select("qid", "variant_no", clean(F.col("raw")).alias("text"))
         variants = written(variants, "variants")
-        fused = fusion.rrf(self.ranked_lists(asked, variants, 2 * candidates))
-        ranked = fusion.weigh(fused, self.chunks, asked.select("qid", "hints", "navigation", "terms", "candidates"))
+        fused = written(fusion.rrf(self.ranked_lists(asked, variants, 2 * candidates)), "fused")
+        # the chunks that were found, so that the texts of all others do not travel
+        held = written(self.chunks.select(*SHOWN).join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi"), "held")
+        ranked = fusion.weigh(fused, held, asked.select("qid", "hints", "navigation", "terms", "candidates"))
         ranked = fusion.expand(ranked, F.col("candidates"))
         ranked = fusion.prioritize_sources(ranked, max(1, min(k, 3)))
         pool = fusion.diversify(ranked, F.greatest(F.lit(k), F.least(F.col("candidates"), F.lit(4 * k))))
-        hits = pool.select("qid", F.col("pos").alias("rank"), "chunk_id", "score").join(self.chunks.select("chunk_id", "source_file", "page_start", "page_end", "section", "block_type", "display_text"), "chunk_id").select(*HIT_COLUMNS)
+        hits = pool.select("qid", F.col("pos").alias("rank"), "chunk_id", "score").join(held, "chunk_id").select(*HIT_COLUMNS)
         if self.reranker is not None:
             return self.reranker.rerank(queries, hits, k).select(*HIT_COLUMNS)
         return hits.where(F.col("rank") <= k)
@@ -90,7 +93,7 @@ class Engine:
         changed = queries.where("enhanced <> query")
         second = self.search(changed.select("qid", F.col("enhanced").alias("query")), wide)
         both = fusion.fuse_queries(first.join(changed.select("qid"), "qid", "left_semi"), second, k)
-        shown = self.chunks.select("chunk_id", "source_file", "page_start", "page_end", "section", "block_type", "display_text")
+        shown = self.chunks.select(*SHOWN)
         fused = both.join(shown, "chunk_id").select(*HIT_COLUMNS)
         return first.join(changed.select("qid"), "qid", "left_anti").where(F.col("rank") <= k).unionByName(fused)
 

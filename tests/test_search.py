@@ -278,3 +278,55 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert spark.read.parquet(f"{SF}/benchmark.parquet").count() * 8 == e.entry(spark).count()
+
+
+# --- what grows with the chunks ------------------------------------------------------------
+
+
+def test_only_chunks_that_are_found_travel_with_their_texts(spark, monkeypatch):
+    import docsift.plans.engine as module
+
+    kept, write = {}, module.written
+
+    def watch(rows, name, *more):
+        kept[name] = write(rows, name, *more)
+        return kept[name]
+
+    monkeypatch.setattr(module, "written", watch)
+    chunks = simple(spark, [f"word{k} of chunk {k}" for k in range(300)])
+    hits = Engine.build(chunks).search(spark.createDataFrame([(1, "word7"), (2, "word8")], "qid int, query string"), 3).collect()
+    assert {h.chunk_id for h in hits} >= {"d8", "d9"}
+    found = {r.chunk_id for r in kept["fused"].collect()}
+    assert {r.chunk_id for r in kept["held"].collect()} == found and len(found) < 300
+
+
+def test_a_search_counts_only_the_terms_asked_for(spark):
+    index = build_bm25(simple(spark, ["a b", "a c", "d"])).written()
+    some = index.only(spark.createDataFrame([("a",), ("z",)], "term string"))
+    every = {r.term: (r.df, r.idf) for r in index.terms.collect()}
+    assert {r.term: (r.df, r.idf) for r in some.terms.collect()} == {"a": every["a"]} and every["a"][0] == 2
+
+
+def test_later_slices_give_only_rows_that_reach_the_kth_score(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    import docsift.operators.vectors as vs
+
+    monkeypatch.setattr(vs, "ROWS_AT_ONCE", 10)
+    score = np.random.default_rng(3).integers(-3, 40, 1000).astype(float)
+    score[500] = np.nan
+    block = vs.Block(pa.table({"qid": [1], "v": [[1.0]], "sources": pa.array([None], pa.list_(pa.string()))}))
+    rows = [r for b in block.hits(pa.array(range(1000)), pa.array(range(1000)), pa.array([[s] for s in score]), pa.nulls(1000, pa.string()), 5) for r in b.to_pylist()]
+    best = sorted((-s, k) for k, s in enumerate(score) if s > 0)[:5]
+    assert sorted((-r["score"], r["chunk_id"]) for r in rows)[:5] == best and len(rows) < 100
+
+
+def test_terms_of_headings_are_taken_once_for_each_chunk(spark):
+    chunks = simple(spark, ["alpha beta"]).withColumn("block_type", F.lit("graph_index"))
+    fused = spark.createDataFrame([(1, "d1", 1.0, 0, 1)], "qid int, chunk_id string, score double, first_list int, first_rank int")
+    asked = spark.createDataFrame([(1, ["h"], True, ["alpha", "gamma"])], "qid int, hints array<string>, navigation boolean, terms array<string>")
+    rows = fusion.weigh(fused, chunks, asked)
+    assert round(rows.first()["score"], 6) == round(0.85 * 0.72 * 0.55 * (1.2 + 1.8 * 0.5), 6)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2  # the two branches of one tokenize
