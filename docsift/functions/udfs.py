@@ -19,6 +19,7 @@ DIMENSIONS = 384
 #: Punctuation after which a long text may be cut. Fixed values.
 BREAKS = "。；，"
 WORD = re.compile(r"[a-z0-9][a-z0-9_\-./]*|[一-鿿]+")
+WIDE = re.compile("[一-鿿]")
 BREAK_CODES = np.array([ord(c) for c in BREAKS], np.uint32)
 ROWS_AT_ONCE = 1024
 #: Texts that are Python objects at a time, whatever Arrow's batches hold.
@@ -34,16 +35,14 @@ def repair(text: str) -> str:
     Readings are compared by fewer replacement and question marks, then more CJK
     characters, then length; the text as it stands wins ties.
     """
-    best, most = "", None
-    for encoding in (None, "gbk", "gb18030"):
+    readings = [text]
+    for encoding in () if text.isascii() else ("gbk", "gb18030"):
         try:
-            reading = text if encoding is None else text.encode(encoding).decode("utf-8")
+            readings.append(text.encode(encoding).decode("utf-8"))
         except UnicodeError:
             continue
-        worth = (-reading.count("�") - reading.count("?"), sum("一" <= c <= "鿿" for c in reading), len(reading))
-        if most is None or worth > most:
-            best, most = reading, worth
-    return best
+    # most texts have no other reading, and nothing to count
+    return text if len(readings) == 1 else max(readings, key=lambda r: (-r.count("\ufffd") - r.count("?"), len(WIDE.findall(r)), len(r)))
 
 
 def by_parts(batches: Iterator[pa.Array], work: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
@@ -95,7 +94,7 @@ def _split_at_punctuation(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def split_at_punctuation(text: Column | str) -> Column:
-    """``split_points`` of a text; only those that are split travel to Python."""
+    """``split_points`` of a text, a column better than an expression, as it is read several times; only those that are split travel to Python."""
     text = F.col(text) if isinstance(text, str) else text
     long = F.length(text) > MAX_CHARS
     return F.when(long, _split_at_punctuation(F.when(long, text))).when(text != "", F.array(text)).when(text.isNotNull(), F.array().cast("array<string>"))

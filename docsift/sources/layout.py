@@ -59,20 +59,17 @@ def source_name(doc_key: Column, origin: Column) -> Column:
     return known_source(clean(name))
 
 
-def first_text(item: Column) -> Column:
-    """The first of the text fields that is a string and not blank, clean; else the empty text."""
-    fields = [F.get_json_object(item, f"$.{f}") for f in ("text", "table_body", "table_caption", "table_footnote")]
-    raw = F.coalesce(*[F.when(is_string(item, f) & v.rlike("(?U)\\S"), v) for f, v in zip(("text", "table_body", "table_caption", "table_footnote"), fields, strict=True)], F.lit(""))
-    return clean(raw)
+TEXT_FIELDS = ("text", "table_body", "table_caption", "table_footnote")
 
 
-def json_type(item: Column, field: str) -> Column:
-    """The type of a JSON object's field: STRING, BIGINT and so on; null without it."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(item), f"$.{field}", "variant"))
+def json_type(parsed: Column, field: str) -> Column:
+    """The type of a field of a JSON object that is parsed as a variant: STRING, BIGINT and so on; null without it."""
+    return F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
 
 
-def is_string(item: Column, field: str) -> Column:
-    return F.coalesce(json_type(item, field) == "STRING", F.lit(False))
+def first_text(parsed: Column) -> Column:
+    """The first of the text fields, which are columns, that is a string of the parsed object and not blank, as it stands; else the empty text."""
+    return F.coalesce(*[F.when(F.col(f).rlike("(?U)\\S") & F.coalesce(json_type(parsed, f) == "STRING", F.lit(False)), F.col(f)) for f in TEXT_FIELDS], F.lit(""))
 
 
 def title_level(title: Column, level: Column) -> Column:
@@ -131,18 +128,23 @@ def blocks_of_items(items: DataFrame, flat: bool) -> DataFrame:
     In a flat layout a text with a whole number as its level is a title; in a nested one
     discarded blocks are left out.
     """
-    get = lambda f: F.get_json_object("item", f"$.{f}")
     depth = "text_level" if flat else "level"
-    level = F.when(json_type(F.col("item"), depth) == "BIGINT", get(depth).try_cast("int"))
-    rows = items.withColumn("kind", F.coalesce(get("type"), F.lit(""))).where(F.col("kind").isin(*CONTENT_TYPES))
+    # an item is parsed twice, once for all values and once for their types, however many fields are read
+    fields = ("type", "page_idx", "is_discarded", depth, *TEXT_FIELDS)
+    rows = items.select("doc_key", "source_file", "priority", "block_pos", "item", F.json_tuple("item", *fields).alias(*fields))
+    rows = rows.withColumn("kind", F.coalesce("type", F.lit(""))).where(F.col("kind").isin(*CONTENT_TYPES))
     if not flat:
-        dropped = F.coalesce(get("is_discarded"), F.lit("false")).isin("false", "0", "", "null")
+        dropped = F.coalesce("is_discarded", F.lit("false")).isin("false", "0", "", "null")
         rows = rows.where(dropped & ~F.col("kind").isin(*DISCARDED_TYPES))
-    rows = rows.withColumn("text", first_text(F.col("item"))).where("text <> ''").withColumn("level", level)
+    rows = rows.withColumn("parsed", F.try_parse_json("item"))
+    level = F.when(json_type(F.col("parsed"), depth) == "BIGINT", F.col(depth).try_cast("int"))
+    rows = rows.withColumn("raw_text", first_text(F.col("parsed"))).withColumn("found_level", level)
+    # exploded, so that the filter follows the cleaning; a plain column's would be cleaned once more for the filter
+    rows = rows.select("doc_key", "source_file", "priority", "block_pos", "item", "kind", "page_idx", F.col("found_level").alias("level"), F.explode(F.array(clean(F.col("raw_text")))).alias("text")).where("text <> ''")
     if flat:
         rows = rows.withColumn("kind", F.when((F.col("kind") == "text") & F.col("level").isNotNull(), F.lit("title")).otherwise(F.col("kind")))
     title = F.when(F.col("kind") == "title", F.trim(F.regexp_replace("text", "^#+", "")))
-    return rows.select("doc_key", "source_file", "priority", "block_pos", (F.coalesce(get("page_idx").try_cast("int"), F.lit(0)) + 1).alias("page"), F.col("kind").alias("block_type"), "text", "level", F.array().cast("array<string>").alias("image_refs"), F.col("item").alias("raw"), title.alias("title")).withColumn("title_level", F.when(F.col("title").isNotNull(), title_level(F.col("title"), F.col("level"))))
+    return rows.select("doc_key", "source_file", "priority", "block_pos", (F.coalesce(F.col("page_idx").try_cast("int"), F.lit(0)) + 1).alias("page"), F.col("kind").alias("block_type"), "text", "level", F.array().cast("array<string>").alias("image_refs"), F.col("item").alias("raw"), title.alias("title")).withColumn("title_level", F.when(F.col("title").isNotNull(), title_level(F.col("title"), F.col("level"))))
 
 
 def load_blocks(spark: SparkSession, root: str) -> DataFrame:

@@ -169,3 +169,14 @@ def test_streamed_upserts_keep_places_and_take_the_last_values(spark, tmp_path):
         q.awaitTermination()
     table = current(spark, str(tmp_path / "table"), "chunk_id string, v int, ordinal struct<batch:bigint,at:string>")
     assert [(r.chunk_id, r.v) for r in table.orderBy("ordinal").collect()] == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_items_are_parsed_for_all_fields_at_once(spark):
+    from docsift.sources.layout import blocks_of_items
+
+    items = [{"type": "text", "text": " ", "table_body": "a <b>b</b> &amp; c", "text_level": 1, "page_idx": "2"}, {"type": "text", "text": 5, "table_caption": "x", "text_level": 1.5}, {"type": "table", "text": ["no"], "page_idx": 3.0}, "no object"]
+    rows = spark.createDataFrame([("d", "s", "1", k, i if isinstance(i, str) else json.dumps(i)) for k, i in enumerate(items)], "doc_key string, source_file string, priority string, block_pos int, item string")
+    got = blocks_of_items(rows, True)
+    assert [(r.block_pos, r.block_type, r.text, r.level, r.page) for r in got.orderBy("block_pos").collect()] == [(0, "title", "a b & c", 1, 3), (1, "text", "x", None, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 0 and plan.count("<[^>]+>") == 1
