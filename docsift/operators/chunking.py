@@ -56,7 +56,8 @@ def _chunk(df: DataFrame, chunk_id: Column, kind: Column, prefix: Column, body:
 
 def leaf_chunks(blocks: DataFrame) -> DataFrame:
     """Leaves of numbered blocks: overlapping parts of their clean texts, short ones of most types dropped."""
-    parts = blocks.select("source_file", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.coalesce("section", F.lit("")).alias("section"), "block_type", F.coalesce("image_refs", F.array().cast("array<string>")).alias("image_refs"), "block_index", F.posexplode(split_at_punctuation(clean(F.col("text")))).alias("part", "body"))
+    # a column of its own: within the split, the text would be cleaned for each use
+    parts = blocks.withColumn("clean", clean(F.col("text"))).select("source_file", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.coalesce("section", F.lit("")).alias("section"), "block_type", F.coalesce("image_refs", F.array().cast("array<string>")).alias("image_refs"), "block_index", F.posexplode(split_at_punctuation("clean")).alias("part", "body"))
     parts = parts.where((F.length("body") >= MIN_CHARS) | F.col("block_type").isin(*SHORT_TYPES))
     prefix = leaf_prefix(F.col("source_file"), F.col("page_start"), F.col("section"), F.col("block_type"))
     key = F.struct(F.lit("").alias("a"), F.col("block_index").cast("long").alias("b"), F.col("part").cast("long").alias("c"), F.lit("").alias("d"))
@@ -79,11 +80,14 @@ def _key(a: Column, b: Column, d: Column | None = None) -> Column:
 
 def page_chunks(leaves: DataFrame) -> DataFrame:
     """One chunk for each page with two leaves or more and 80 characters or more, under the commonest section."""
-    first = leaves.where("section <> ''").groupBy("source_file", "page_start", "section").agg(F.count("*").alias("c"), F.min("order_key").alias("k"))
-    sections = first.groupBy("source_file", "page_start").agg(F.min_by("section", F.struct(-F.col("c"), F.col("k"))).alias("section"))
-    pages = leaves.groupBy("source_file", "page_start").agg(F.count("*").alias("n"), _ordered().alias("texts")).where("n >= 2")
-    pages = pages.join(sections, ["source_file", "page_start"], "left").withColumn("section", F.coalesce("section", F.lit("")))
-    pages = pages.withColumn("body", compact_join(F.col("texts"), 1800)).where("length(body) >= 80").withColumn("page_end", F.col("page_start"))
+    # dealt by page once, for both aggregations, so that leaves are made once
+    dealt = leaves.select("source_file", "page_start", "section", "order_key", "display_text").repartition("source_file", "page_start")
+    parts = dealt.groupBy("source_file", "page_start", "section").agg(F.count("*").alias("c"), F.min("order_key").alias("k"), F.collect_list(F.struct("order_key", F.col("display_text").alias("x"))).alias("held"))
+    section = F.expr("min_by(section, struct(-c, k)) FILTER (WHERE section <> '')")
+    pages = parts.groupBy("source_file", "page_start").agg(F.sum("c").alias("n"), F.coalesce(section, F.lit("")).alias("section"), F.flatten(F.collect_list("held")).alias("held")).where("n >= 2")
+    pages = pages.withColumn("texts", F.transform(F.array_sort("held"), lambda s: s["x"]))
+    # exploded, so that the filter follows the joining of texts and does not join them once more
+    pages = pages.withColumn("body", F.explode(F.array(compact_join(F.col("texts"), 1800)))).where("length(body) >= 80").withColumn("page_end", F.col("page_start"))
     main = F.when(F.col("section") != "", F.concat(F.lit("，主要章节/栏目为“"), F.col("section"), F.lit("”"))).otherwise(F.lit(""))
     # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》第 "), F.col("page_start").cast("string"), F.lit(" 页的自动页面聚合块"), main, F.lit("。"))
@@ -93,7 +97,7 @@ def page_chunks(leaves: DataFrame) -> DataFrame:
 def section_chunks(leaves: DataFrame) -> DataFrame:
     """One chunk for each section with two leaves or more and 120 characters or more."""
     groups = leaves.where("section <> ''").groupBy("source_file", "section").agg(F.count("*").alias("n"), F.min("page_start").alias("first"), F.max("page_start").alias("last"), _ordered().alias("texts")).where("n >= 2")
-    groups = groups.withColumn("body", compact_join(F.col("texts"), 2200)).where("length(body) >= 120").withColumnsRenamed({"first": "page_start", "last": "page_end"})
+    groups = groups.withColumn("body", F.explode(F.array(compact_join(F.col("texts"), 2200)))).where("length(body) >= 120").withColumnsRenamed({"first": "page_start", "last": "page_end"})
     # the words of the prefix are fixed values
     prefix = F.concat(F.lit("该片段是《"), F.col("source_file"), F.lit("》"), page_label(F.col("page_start"), F.col("page_end")), F.lit(" 章节/栏目“"), F.col("section"), F.lit("”的自动章节聚合块。"))
     ids = stable_id(F.lit("section"), F.col("source_file"), F.col("section"), F.col("page_start"), F.col("page_end"))

@@ -120,3 +120,11 @@ def test_leaves_are_written_with_their_text_once(spark, monkeypatch):
     [columns] = [c for name, c in held if name == "leaves"]
     assert "display_text" in columns and not {"raw_text", "index_text"} & set(columns)
     assert sorted(map(str, got.select(*chunking.COLUMNS).collect())) == sorted(map(str, chunking.leaf_chunks(numbered).select(*chunking.COLUMNS).collect()))
+
+
+def test_leaves_are_made_once_and_cleaned_once_for_pages(spark):
+    numbered = blocks(spark, [("f", 1, "text", "some words that make up a leaf of enough length", "s")])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    leaves = chunking.leaf_chunks(numbered)
+    assert plan(leaves).count("<[^>]+>") == 1
+    assert plan(chunking.page_chunks(leaves)).count("Generate posexplode") == 1
