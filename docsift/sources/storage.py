@@ -27,7 +27,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_bm25(index: BM25Index, path: str) -> None:
-    """Tables below a path; postings lie sorted by term, so a probe skips most row groups."""
+    """Tables below a path; postings lie sorted by term, so a probe skips most row groups.
+
+    Those of an index being built are written unsorted first: ranges and statistics come from them, and texts are read once.
+    """
+    if index.chunks is not None:
+        index = index.written()
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     for name in ("terms", "stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")

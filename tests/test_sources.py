@@ -171,6 +171,21 @@ def test_streamed_upserts_keep_places_and_take_the_last_values(spark, tmp_path):
     assert [(r.chunk_id, r.v) for r in table.orderBy("ordinal").collect()] == [("x", 1), ("y", 2), ("z", 3)]
 
 
+def test_saving_an_index_reads_the_texts_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    chunks = small_chunks(spark).select("chunk_id", "source_file", "index_text").cache()
+    n = chunks.count()
+    index = build_bm25(chunks.mapInArrow(count, chunks.schema))
+    storage.save_bm25(index, str(tmp_path / "bm25"))
+    assert read.value == 2 * n  # tokens, and the number of chunks
+
+
 def test_items_are_parsed_for_all_fields_at_once(spark):
     from docsift.sources.layout import blocks_of_items
 
