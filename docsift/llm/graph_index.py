@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product, with robust-pruned directed graphs.
 
-Vectors are dealt at random to shards of bounded size. In each, vectors enter a graph in
+Vectors are dealt at random to shards of bounded size, which grow with the table so that there are few. In each, vectors enter a graph in
 batches: a greedy beam search over the graph so far proposes neighbours, and relaxed distance
 pruning keeps a few diverse ones: a candidate goes if a kept one is nearer to it, by the
 factor ``alpha``, than the new vector is. Kept edges are also offered in reverse, and lists
@@ -17,6 +17,8 @@ can name, so none is missed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,13 +29,17 @@ from docsift.llm.arrays import releasing
 from docsift.llm.shared import Tables, small_batches
 
 SHARD_VECTORS = 8192
+SHARDS = 32  # beyond so many of the size above, shards grow in place of their number, up to the size below
+MOST_VECTORS = 65536
 QUERY_BLOCK = 65536
 DEGREE = 32
 BUILD_BEAM = 96
 SEARCH_BEAM = 64
 ALPHA = 1.2
 BATCH = 256
-STEP = 4
+STEP = 16
+WALKS = 128  # queries that search a shard at a time, and the distances that they hold at most
+WALK_CELLS = 1 << 22
 ENTRIES = 16
 BAND = 1  # a shard's lengths differ by at most so many powers of two
 MOST_TASKS = 65536
@@ -45,39 +51,93 @@ def _distances(x: np.ndarray, squares: np.ndarray, ids: np.ndarray, q: np.ndarra
     return squares[ids] - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0] + (q * q).sum(axis=1)[:, None]
 
 
+class Walk:
+    """Best-first searches of one graph by several queries, that go on with a wider beam from what they have seen.
+
+    A round follows the nearest nodes of each beam that are open. Only neighbours not seen before are measured.
+    """
+
+    def __init__(self, x: np.ndarray, squares: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray):
+        self.x, self.squares, self.graph, self.entry, self.q = x, squares, graph, entry, q
+        self.own = (q * q).sum(axis=1)
+        self.gap = np.full((len(q), len(x) + 1), np.inf)  # squared distances of the nodes seen; the last column is for absent neighbours
+        self.gap[:, -1] = 0
+        self.gap[:, entry] = squares[entry] - 2 * (q @ x[entry].T) + self.own[:, None]
+        self.done = np.zeros((len(q), len(x)), bool)  # nodes followed
+
+    def _nearest_seen(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        some = self.entry if not self.done.any() else np.arange(len(self.x))
+        far = self.gap[rows[:, None], some]
+        if len(some) <= beam:
+            return (np.pad(a, ((0, 0), (0, beam - len(some))), constant_values=c) for a, c in ((np.tile(some, (len(rows), 1)), 0), (far, np.inf)))
+        best = np.argpartition(far, beam - 1, axis=1)[:, :beam]
+        return some[best], np.take_along_axis(far, best, 1)
+
+    def _products(self, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        out, cuts = np.empty(len(row)), [*np.flatnonzero(np.diff(row, prepend=-1)).tolist(), len(row)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            np.dot(self.x[node[lo:hi]], self.q[row[lo]], out=out[lo:hi])
+        return out
+
+    def on(self, rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the queries of these rows, in rising order: the nearest nodes found, nearest first, and their squared distances; -1 and inf where fewer."""
+        n, step, gap, done = len(self.x), min(STEP, beam), self.gap.reshape(-1), self.done.reshape(-1)
+        ids, far = self._nearest_seen(rows, beam)
+        open_ = np.where(self.done[rows[:, None], ids], np.inf, far)  # the distance where a node is open
+        worst, live = far.max(axis=1), np.arange(len(rows))
+        while True:
+            now = open_[live]
+            pick = np.argpartition(now, step - 1, axis=1)[:, :step]
+            some = np.take_along_axis(now, pick, 1) < np.inf
+            has = some.any(axis=1)
+            live, pick, some = live[has], pick[has], some[has]
+            if not len(live):
+                break
+            r, c = np.nonzero(some)
+            at, r = pick[r, c], live[r]
+            node = ids[r, at]
+            open_[r, at] = np.inf
+            done[rows[r] * n + node] = True
+            near, r = self.graph[node].reshape(-1), np.repeat(r, self.graph.shape[1])
+            place = np.where(near < 0, n, near) + rows[r] * (n + 1)
+            new = np.flatnonzero(gap[place] == np.inf)
+            gap[place[new]] = new
+            new = new[gap[place[new]] == new]  # once where several nodes have the neighbour
+            r, near, place = r[new], near[new], place[new]
+            d = self.squares[near] - 2 * self._products(rows[r], near) + self.own[rows[r]]
+            gap[place] = d
+            new = np.flatnonzero(d < worst[r])
+            r, near, d = r[new], near[new], d[new]
+            if not len(r):
+                continue
+            heads, first, times = np.unique(r, return_index=True, return_counts=True)
+            slot = np.repeat(np.arange(len(heads)), times), np.arange(len(r)) - np.repeat(first, times)
+            more_ids, more_far = np.zeros((len(heads), times.max()), np.int64), np.full((len(heads), times.max()), np.inf)
+            more_ids[slot], more_far[slot] = near, d
+            all_far = np.concatenate([far[heads], more_far], 1)
+            best = np.argpartition(all_far, beam - 1, axis=1)[:, :beam]
+            far[heads] = np.take_along_axis(all_far, best, 1)
+            ids[heads] = np.take_along_axis(np.concatenate([ids[heads], more_ids], 1), best, 1)
+            open_[heads] = np.take_along_axis(np.concatenate([open_[heads], more_far], 1), best, 1)
+            worst[heads] = far[heads].max(axis=1)
+        order = np.argsort(far, axis=1, kind="stable")
+        far = np.take_along_axis(far, order, 1)
+        return np.where(far < np.inf, np.take_along_axis(ids, order, 1), -1), far
+
+
+def walks(x: np.ndarray, squares: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray) -> Iterator[tuple[slice, Walk]]:
+    """The rows of q in blocks, each with its search, so that what one holds is bounded."""
+    size = max(16, min(WALKS, WALK_CELLS // len(x)))
+    for lo in range(0, len(q), size):
+        rows = slice(lo, min(lo + size, len(q)))
+        yield rows, Walk(x, squares, graph, entry, q[rows])
+
+
 def beam_search(x: np.ndarray, squares: np.ndarray, graph: np.ndarray, entry: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q: the nearest nodes found, nearest first, and their squared distances; -1 and inf where fewer."""
-    b = len(q)
-    ids = np.full((b, beam), -1, np.int64)
-    far = np.full((b, beam), np.inf)
-    open_ = np.zeros((b, beam), bool)
-    seen = np.zeros((b, len(x) + 1), bool)  # the last column is for absent neighbours
-    seen[:, -1] = True
-    seen[:, entry] = True
-    first = squares[entry] - 2 * (q @ x[entry].T) + (q * q).sum(axis=1)[:, None]
-    best = np.argsort(first, axis=1, kind="stable")[:, :beam]
-    ids[:, : best.shape[1]], far[:, : best.shape[1]] = entry[best], np.take_along_axis(first, best, 1)
-    open_[:, : best.shape[1]] = True
-    live = np.arange(b)
-    while len(live):
-        pick = np.argsort(~open_[live], axis=1, kind="stable")[:, :STEP]  # the nearest that are open
-        was = np.take_along_axis(open_[live], pick, 1)
-        some = was.any(axis=1)
-        live, pick, was = live[some], pick[some], was[some]
-        if not len(live):
-            break
-        open_[live[:, None], pick] = False
-        near = np.where(was[:, :, None], graph[np.where(was, ids[live[:, None], pick], 0)], -1).reshape(len(live), -1)
-        near[seen[live[:, None], near]] = -1
-        near.sort(axis=1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        seen[live[:, None], near] = True
-        gap = _distances(x, squares, np.maximum(near, 0), q[live])
-        gap[near < 0] = np.inf
-        all_ids, all_far = np.concatenate([ids[live], near], 1), np.concatenate([far[live], gap], 1)
-        all_open = np.concatenate([open_[live], near >= 0], 1)
-        order = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
-        ids[live], far[live], open_[live] = (np.take_along_axis(a, order, 1) for a in (all_ids, all_far, all_open))
+    ids, far = np.empty((len(q), beam), np.int64), np.empty((len(q), beam))
+    for rows, walk in walks(x, squares, graph, entry, q):
+        ids[rows], far[rows] = walk.on(np.arange(len(walk.q)), beam)
     return ids, far
 
 
@@ -197,6 +257,11 @@ def _tasks(shards: int) -> int:
     return min(max(shards, min(4 * shards, 1024)), MOST_TASKS)
 
 
+def shards_of(vectors: int, least: int) -> int:
+    """The number of shards for so many vectors: a query visits each, so it stands still from SHARDS until the size of one reaches the largest."""
+    return -(-vectors // max(least, min(-(-vectors // SHARDS), MOST_VECTORS)))
+
+
 def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, int, int]:
     """(index table, shards, dimensions) over every usable vector.
 
@@ -215,7 +280,7 @@ def build_index(vectors: DataFrame, k: int, tables: Tables, id_col: str = "vec_i
     nodes = tables.write(nodes.withColumn("band", F.expr(f"cast(round(({length}) / {BAND}) as int)")).drop("most"))
     shards, of, first = 0, [], []
     for band, n in sorted(nodes.groupBy("band").count().collect()):  # as many as a double's exponent has bands
-        some = -(-n // shard_vectors)
+        some = shards_of(n, shard_vectors)
         of += [F.lit(band), F.lit(some)]
         first += [F.lit(band), F.lit(shards)]
         shards += some
@@ -246,20 +311,27 @@ class Shard:
         self.exponents = np.frexp(np.abs(self.original).max(axis=1))[1]
         self.original = np.ldexp(self.original, -self.exponents[:, None])
         self.x = np.ldexp(self.original, (self.exponents - self.exponents.max())[:, None])
+        self.longest = (self.x * self.x).sum(axis=1).max()
 
     def found(self, q: np.ndarray, k: int, beam: int) -> np.ndarray:
-        """For each row of q the nodes of largest product found, largest first, -1 where fewer: by a beam that doubles while the k best get better."""
-        flat, wide = np.zeros(len(self.x)), max(beam, k)
-        out, far = beam_search(self.x, flat, self.graph, self.entry, q, wide)
-        live = np.arange(len(q))
+        """For each row of q the k nodes of largest product found, those that may tie with the last, and maybe more; -1 where fewer: by a beam that doubles while the k best get better."""
+        parts = [self._found(walk, k, max(beam, k)) for _, walk in walks(self.x, np.zeros(len(self.x)), self.graph, self.entry, q)]
+        wide = max(p.shape[1] for p in parts)
+        return np.concatenate([np.pad(p, ((0, 0), (0, wide - p.shape[1])), constant_values=-1) for p in parts])
+
+    def _found(self, walk: Walk, k: int, wide: int) -> np.ndarray:
+        live = np.arange(len(walk.q))
+        out, far = walk.on(live, wide)
         while len(live) and wide < len(self.x):
             wide = min(2 * wide, len(self.x))
-            now, gap = beam_search(self.x, flat, self.graph, self.entry, q[live], wide)
+            now, gap = walk.on(live, wide)
             better = (gap[:, :k] < far[live, :k]).any(axis=1)
             out, far = (np.pad(a, ((0, 0), (0, wide - a.shape[1])), constant_values=c) for a, c in ((out, -1), (far, np.inf)))
             out[live], far[live] = now, gap
             live = live[better]
-        return out
+        # products are summed anew in another order, by far less than this apart
+        near = far <= far[:, k - 1 : k] + 1e-9 * np.sqrt(walk.own * self.longest)[:, None]
+        return out[:, : max(1, int(near.sum(axis=1).max()))]
 
     def search(self, asked: list[int], q: np.ndarray, k: int, beam: int) -> tuple[list, list, list]:
         """(query ids, vector ids, scores): of each query the k best nodes' ids, without its own; of scores that tie with the last, the smaller ids."""

@@ -300,6 +300,24 @@ def test_pruning_keeps_near_and_diverse_neighbours():
     assert kept[0].tolist()[:3] == [1, 3, 4] and 2 not in kept
 
 
+def test_a_wider_beam_measures_no_node_again(monkeypatch):
+    x = np.random.default_rng(6).normal(size=(1500, 32))
+    graph, entry = gi.build_graph(gi.directions(x))
+    measured, products = [], gi.Walk._products
+    monkeypatch.setattr(gi.Walk, "_products", lambda self, row, node: (measured.extend(zip(row.tolist(), node.tolist(), strict=True)), products(self, row, node))[1])
+    walk = gi.Walk(x, np.zeros(len(x)), graph, entry, x[:40])
+    for beam in (30, 60, 1500):
+        ids, far = walk.on(np.arange(40), beam)
+        assert (np.diff(far[:, :30], axis=1) >= 0).all()
+    assert len(measured) == len(set(measured)) and not any(node in set(entry.tolist()) for _, node in measured)
+    assert (ids[:, :10] == np.argsort(-(x[:40] @ x.T), axis=1)[:, :10]).mean() > 0.99  # all that is reached is in the widest beam
+
+
+def test_the_shards_that_a_query_visits_do_not_grow_with_the_table():
+    assert [gi.shards_of(n, 8192) for n in (1, 8192, 8193, 32 * 8192, 600_000, 2_000_000)] == [1, 1, 2, 32, 32, 32]
+    assert gi.shards_of(64 * 65536, 8192) == 64 and gi.shards_of(1500, 400) == 4
+
+
 def test_each_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 13))
     random.seed(0)
