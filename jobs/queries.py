@@ -31,10 +31,11 @@ def job1_chunk_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark, "chunk_intake")
     for _ in range(2):
         chunk_intake.run(spark, f"{sf_dir}/documents.parquet", f"{out}/tables", f"{out}/checkpoint")
-    chunks = chunk_intake.current_chunks(spark, f"{out}/tables").select("chunk_id", "doc_id", "part", "source_file", "display_text")
+    # digests, so that the join moves no texts
+    chunks = chunk_intake.current_chunks(spark, f"{out}/tables").select("chunk_id", "doc_id", "part", "source_file", F.sha2(F.col("display_text").cast("binary"), 256).alias("text_sha256"))
     words = chunk_intake.current_index(spark, f"{out}/tables").postings.groupBy("chunk_id").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"))
     rows = chunks.join(words, "chunk_id", "left")
-    return rows.select("chunk_id", "doc_id", "part", "source_file", F.sha2(F.col("display_text").cast("binary"), 256).alias("text_sha256"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    return rows.select("chunk_id", "doc_id", "part", "source_file", "text_sha256", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 def job2_evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:

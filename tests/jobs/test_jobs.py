@@ -89,6 +89,41 @@ def test_intake_of_an_empty_folder_and_without_partitions(spark, tmp_path):
     assert {r.source_file for r in chunk_intake.current_chunks(spark, out).collect()} == {"a/b=c", ""}
 
 
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intake_moves_and_stores_texts_once(spark, tmp_path, monkeypatch):
+    docs, out, state = (str(tmp_path / x) for x in ("docs", "out", "state"))
+    add(spark, [(1, long("one"), "a"), (2, long("two"), None), (3, long("three"), "c")], docs)
+    seen, write = [], chunk_intake._write
+    monkeypatch.setattr(chunk_intake, "_write", lambda rows, path, *rest: (seen.append((path, plan(rows))), write(rows, path, *rest)))
+    monkeypatch.setattr(chunk_intake, "LEFT_OUT_SENT", 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunk_intake.run(spark, docs, out, state)
+        assert all("Exchange" not in p and "Join" not in p and "Sort" not in p for _, p in seen) and len(seen) == 3
+        assert "Exchange" not in plan(chunk_intake.current_chunks(spark, out))
+        add(spark, [(2, long("again"), "b")], docs)
+        chunk_intake.run(spark, docs, out, state)
+        assert "BroadcastHashJoin" in plan(chunk_intake.current_chunks(spark, out))
+        add(spark, [(3, long("first"), "c"), (3, long("last"), "c")], docs)
+        chunk_intake.run(spark, docs, out, state)
+        assert "SortMergeJoin" in plan(chunk_intake.current_chunks(spark, out))  # two are left out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = chunk_intake.current_chunks(spark, out)
+    want = chunk_intake.chunks_of(spark.createDataFrame([(1, long("one"), "a"), (2, long("again"), "b"), (3, long("last"), "c")], "doc_id long, text string, source string"))
+    columns = ["chunk_id", "section", "block_type", "index_text", "display_text"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert "index_text" not in spark.read.parquet(f"{out}/chunks").columns
+    # the postings of a chunk are one run in its file
+    for _, ids in spark.read.parquet(f"{out}/postings").select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), "chunk_id").orderBy("i").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("i", "chunk_id")))).collect():
+        runs = [a.chunk_id for a, b in zip(ids, [None, *ids[:-1]], strict=True) if b is None or a.chunk_id != b.chunk_id]
+        assert len(runs) == len(set(runs))
+
+
 QUESTIONS = "conv_id long, turn long, role string, text string, rank int"
 
 
