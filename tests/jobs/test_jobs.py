@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators.bm25 import bm25_search, build_bm25
+from docsift.sources.scratch import shared_folder
 from jobs import chunk_intake, evidence_report
 from jobs.settings import load
 
@@ -145,6 +146,17 @@ def test_report_of_questions(spark, tmp_path):
     assert {p.name for p in (tmp_path / "report" / "questions").iterdir() if p.is_dir()} == {"sufficient=true", "sufficient=false"}
 
 
+def test_report_leaves_no_tables_behind(spark, tmp_path):
+    docs, asked, shared = str(tmp_path / "docs"), str(tmp_path / "asked"), Path(shared_folder(spark).removeprefix("file:")) / "docsift"
+    add(spark, [(1, "the turbine runs at 300 rpm and weighs little", "a")], docs)
+    spark.createDataFrame([(1, 0, "user", "turbine rpm", 1)], QUESTIONS).write.parquet(asked)
+    before = {p.name for p in shared.iterdir()} if shared.exists() else set()
+    was = spark.conf.get(evidence_report.CLEANUP, None)
+    evidence_report.run(spark, asked, str(tmp_path / "report"), docs)
+    assert {p.name for p in shared.iterdir()} <= before and spark.conf.get(evidence_report.CLEANUP, None) == was
+    assert evidence_report.read_report(spark, str(tmp_path / "report")).count() == 1
+
+
 def test_report_from_an_intake(spark, tmp_path):
     asked, out, tables = f"{SF}/conversations.parquet", str(tmp_path / "a"), str(tmp_path / "tables")
     chunk_intake.run(spark, f"{SF}/documents.parquet", tables, str(tmp_path / "state"))

@@ -115,3 +115,30 @@ def test_queries_of_many_terms_are_scored_without_bounds():
     s.scored = s.matched = 0
     s.best = None
     assert s.top(table, 5).num_rows == 5 and s.scored == s.matched
+
+
+def test_copies_of_many_queries_are_few(spark, monkeypatch):
+    assert bm25.shards_of(43_000, 4.5e6, 5_000, 200, 16) == 200  # few queries: as many tasks as may be
+    assert bm25.shards_of(43_000, 4.5e6, 6_500_000, 200, 16) == 16
+    assert bm25.shards_of(2_900_000, 3e8, 27_000_000, 100, 24) == 24 and bm25.shards_of(29_000_000, 3e9, 270_000_000, 1000, 24) == 222
+    assert bm25.shards_of(0, 0.0, 0, 8, 16) == 8
+    chunks, words = corpus(spark, 11, 200)
+    r = random.Random(11)
+    queries = spark.createDataFrame([(q, " ".join(r.choices([*words, "Unknown"], k=r.choice([0, 3, 20])))) for q in range(40)], "qid int, text string")
+    index = build_bm25(chunks)
+    want = sorted(map(tuple, bm25_search(index, queries, 4).collect()))
+    for name, n in (("QUERIES_AT_ONCE", 5), ("BLOCK_QUERIES", 7), ("SHARD_MOST", 60), ("TERMS_IN_A_ROW", 2)):
+        monkeypatch.setattr(bm25, name, n)
+    found = bm25_search(index, queries, 4)
+    assert sorted(map(tuple, found.collect())) == want and want
+    # a chunk's postings travel in one row, and queries as texts
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "collect_list((cast(qtf" not in plan
+
+
+def test_postings_of_a_chunk_become_one_row():
+    rows = pa.record_batch([["a", "b", "c", "a"], [1.0, 2.0, 3.0, 4.0], ["x", "x", "y", "x"], [1, 1, 2, 1], ["s", "s", None, "s"]], ["term", "impact", "chunk_id", "ordinal", "source"])
+    (packed,) = bm25._packed([rows, rows.slice(0, 0)])
+    assert packed.to_pydict() == {"term": ["a\nb", "c", "a"], "impact": [[1.0, 2.0], [3.0], [4.0]], "chunk_id": ["x", "y", "x"], "ordinal": [1, 2, 1], "source": ["s", None, "s"]}
+    got = bm25.Shard(pa.Table.from_batches([packed])).of_texts(pa.table({"q": [7, None], "text": ["a c b b", None], "sources": pa.array([None, None], pa.list_(pa.string())), "terms": [None, ["a", "b", "z"]], "idf": [None, [1.0, 0.5, 9.0]]}), 5)
+    assert got.to_pydict() == {"q": [7], "chunk_id": ["x"], "ordinal": [1], "score": [7.0]}
